@@ -29,8 +29,20 @@ def _sorted_breaks(breaks: Sequence[float]) -> list[float]:
     return ordered
 
 
+def tree_text(value: str, bounds: Sequence[str], leaves: Sequence[str]) -> str:
+    """SQL text of a balanced search: leaf ``i`` for ``bounds[i-1] < value <= bounds[i]``."""
+
+    def node(lo: int, hi: int) -> str:
+        if lo == hi:
+            return leaves[lo]
+        mid = (lo + hi) // 2
+        return f"CASE WHEN {value} <= {bounds[mid]} THEN {node(lo, mid)} ELSE {node(mid + 1, hi)} END"
+
+    return node(0, len(leaves) - 1)
+
+
 def search_tree(value: Column, bounds: Sequence, leaves: Sequence[Column]) -> Column:
-    """Leaf ``i`` for ``bounds[i-1] < value <= bounds[i]``; ``len(leaves) == len(bounds) + 1``."""
+    """The same search as a Column, for any value expression."""
 
     def node(lo: int, hi: int) -> Column:
         if lo == hi:

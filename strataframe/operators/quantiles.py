@@ -8,12 +8,13 @@ ranks, and only the buckets holding such a rank are ordered.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strataframe.functions.binning import search_tree
+from strataframe.functions.binning import tree_text
 
 COARSE, FINE = 64, 64
 SPLIT_SAMPLE = 4_096
@@ -21,21 +22,19 @@ SPLIT_SAMPLE = 4_096
 
 def value_bucket(df: DataFrame, value: str) -> Column:
     """Monotone bucket number of a double: sampled splits, each cut into equal widths."""
-    seen = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    sample = sorted({r.v for r in seen.orderBy(F.rand(seed=7)).limit(SPLIT_SAMPLE).collect()})
+    seen = df.select(value).where(F.col(value).isNotNull() & ~F.isnan(value))
+    sample = sorted({r[0] for r in seen.orderBy(F.rand(seed=7)).limit(SPLIT_SAMPLE).collect()})
     points = sorted({sample[len(sample) * i // COARSE] for i in range(1, COARSE)}) if sample else []
-    v = F.col(value).cast("double")
-    leaves = []
-    edges = [None, *points, None]
-    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        base = F.lit(i * FINE).cast("long")
-        if lo is None or hi is None:
-            # Outside the sampled range there is no width to cut.
-            leaves.append(base)
-        else:
-            fine = F.floor((v - lo) / (hi - lo) * FINE)
-            leaves.append(base + F.least(F.greatest(fine, F.lit(0)), F.lit(FINE - 1)))
-    return search_tree(v, [F.lit(p) for p in points], leaves) if points else F.lit(0).cast("long")
+    points = [p for p in points if math.isfinite(p)]
+    if not points:
+        return F.lit(0).cast("long")
+    leaves = ["0L"]
+    for i, (lo, hi) in enumerate(zip(points, points[1:]), start=1):
+        # Outside the sampled range there is no width to cut; inside there is.
+        fine = f"floor((`{value}` - {lo!r}D) / {hi - lo!r}D * {FINE}D)"
+        leaves.append(f"{i * FINE}L + least(greatest({fine}, 0L), {FINE - 1}L)")
+    leaves.append(f"{len(points) * FINE}L")
+    return F.expr(tree_text(f"`{value}`", [f"{p!r}D" for p in points], leaves))
 
 
 def _same(keys: Sequence[str], prefix: str) -> Column:

@@ -3,12 +3,11 @@ leaders with ties, top-k."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from strataframe.functions.binning import search_tree
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 SPLIT_SAMPLE = 4_096
 
@@ -30,13 +29,34 @@ def range_bucket(df: DataFrame, order: Sequence[str], *, buckets: int = 128) ->
     """Order-preserving bucket number of each row over the composite key ``order``.
 
     Nulls sort first. Comparing the whole key lets a tie-breaker split rows that
-    share their leading value.
+    share their leading value. The split points enter as constant arrays searched in
+    two steps, which keeps the generated code small whatever the key is made of.
     """
     points = _split_points(df, order, buckets)
-    types = dict(df.dtypes)
-    key = F.struct(*[F.col(c) for c in order])
-    bounds = [F.struct(*[F.lit(p[c]).cast(types[c]).alias(c) for c in order]) for p in points]
-    return search_tree(key, bounds, [F.lit(i) for i in range(len(bounds) + 1)])
+    if not points:
+        return F.lit(0)
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order])
+    rows = [[json_value(p[c]) for c in order] for p in points]
+    as_objects = [dict(zip(order, r)) for r in rows]
+    step = max(1, round(len(rows) ** 0.5))
+    chunks = [as_objects[i : i + step] for i in range(0, len(as_objects), step)]
+    coarse = F.from_json(F.lit(json.dumps([c[-1] for c in chunks])), T.ArrayType(schema))
+    # Behind the last block there is nothing left to search.
+    fine = F.from_json(F.lit(json.dumps([*chunks, []])), T.ArrayType(T.ArrayType(schema)))
+
+    def below(bounds: Column, key: Column) -> Column:
+        return F.size(F.filter(bounds, lambda b: b < key))
+
+    # One-element arrays bind the key and the block, so that each is evaluated once.
+    key = F.array(F.struct(*order).cast(schema))
+    located = F.transform(key, lambda k: F.struct(k.alias("key"), below(coarse, k).alias("block")))
+    numbered = F.transform(located, lambda s: s["block"] * step + below(F.get(fine, s["block"]), s["key"]))
+    return F.get(numbered, 0)
+
+
+def json_value(value):
+    """A split value as JSON; dates and decimals travel as text."""
+    return value if value is None or isinstance(value, (bool, int, float, str)) else str(value)
 
 
 def keyed_row_number(

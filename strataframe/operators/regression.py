@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from strataframe.functions.numeric import percent_change, t_critical, t_p_value
+from strataframe.functions.numeric import normal_p_value, percent_change, t_critical, t_p_value
 from strataframe.functions.text import interval_text, percent_text
 from strataframe.sources.dimensions import literal_table, take_dimension
 
@@ -99,8 +99,6 @@ _COEFFICIENTS = T.StructType([
     T.StructField("term", T.StringType()),
     T.StructField("estimate", T.DoubleType()),
     T.StructField("se", T.DoubleType()),
-    T.StructField("z", T.DoubleType()),
-    T.StructField("p", T.DoubleType()),
 ])
 
 
@@ -117,25 +115,28 @@ def logistic_fit(
     likelihood only needs those, so the fit iterates over a tiny table whatever
     the number of raw rows.
     """
-    both = cells.where(F.col(weight) > 0).agg(
-        F.min(response).alias("lo"), F.max(response).alias("hi")
+    seen = cells.where(F.col(weight) > 0).agg(
+        F.min(response).alias("lo"), F.max(response).alias("hi"), F.max(weight).alias("top")
     ).first()
-    if both.lo is None or both.lo == both.hi:
-        raise ConstantResponse(f"{response} is constant ({both.lo}); the test would pass vacuously")
+    if seen.lo is None or seen.lo == seen.hi:
+        raise ConstantResponse(f"{response} is constant ({seen.lo}); the test would pass vacuously")
     named = [c.cast("double").alias(f"__t{i}") for i, (_, c) in enumerate(terms)]
+    # The solver starts from (w y + 1/2) / (w + 1). Weights above 1 would push that to the
+    # boundary and let it diverge; scaling all weights only scales the standard errors.
+    scaled = (F.col(weight) / F.lit(float(seen.top))).alias("__w")
     design = VectorAssembler(
         inputCols=[f"__t{i}" for i in range(len(terms))], outputCol="__features"
-    ).transform(cells.select(F.col(response).cast("double").alias("__y"),
-                             F.col(weight).cast("double").alias("__w"), *named))
+    ).transform(cells.select(F.col(response).cast("double").alias("__y"), scaled, *named))
     model = GeneralizedLinearRegression(
         family="binomial", link="logit", featuresCol="__features", labelCol="__y", weightCol="__w",
         tol=1e-10, maxIter=50,
     ).fit(design)
-    summary = model.summary
-    estimates = [*model.coefficients, model.intercept]
-    rows = zip([*(n for n, _ in terms), "(Intercept)"], map(float, estimates),
-               summary.coefficientStandardErrors, summary.tValues, summary.pValues)
-    return literal_table(cells.sparkSession, rows, _COEFFICIENTS)
+    errors = [e / seen.top**0.5 for e in model.summary.coefficientStandardErrors]
+    estimates = map(float, [*model.coefficients, model.intercept])
+    rows = zip([*(n for n, _ in terms), "(Intercept)"], estimates, errors)
+    table = literal_table(cells.sparkSession, rows, _COEFFICIENTS)
+    z = F.try_divide("estimate", "se")
+    return table.withColumn("z", z).withColumn("p", normal_p_value("z"))
 
 
 def treatment_terms(df: DataFrame, column: str) -> list[tuple[str, Column]]:

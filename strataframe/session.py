@@ -12,6 +12,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the Python call site of every Column call is slow for long expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

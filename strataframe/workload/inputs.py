@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strataframe.plans.occurrences import clean_occurrences, synonym_table
 from strataframe.plans.traits import attach_ages, correct_epochs, curate_traits
@@ -30,63 +30,77 @@ TODAY = "2002-01-01"
 DIGITS, LETTERS = "0123456789", "bdghijklmo"
 
 
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A supplied table, read with its declared schema."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pick(index: str, *labels: str | None) -> str:
+    return f"get(array({', '.join('null' if x is None else repr(x) for x in labels)}), {index})"
 
 
-def _coded(number: Column) -> Column:
-    """Digits as letters, so that name cleaning leaves the names apart."""
-    return F.translate(number.cast("string"), DIGITS, LETTERS)
+# Digits become letters, so that name cleaning leaves the names apart.
+def _coded(number: str) -> str:
+    return f"translate(cast({number} as string), '{DIGITS}', '{LETTERS}')"
 
 
-def _genus(key: Column) -> Column:
-    return F.concat(F.lit("G"), _coded(F.floor(key / 10)))
+def _genus(key: str) -> str:
+    return f"concat('G', {_coded(f'{key} div 10')})"
 
 
-def _pick(index: Column, *labels: str | None) -> Column:
-    return F.get(F.array(*[F.lit(x).cast("string") for x in labels]), index)
+def _species(key: str) -> str:
+    return f"concat('t', {_coded(key)})"
+
+
+_AGE = f"cast(datediff(date'{TODAY}', cast(l_shipdate as date)) as double)"
+_ERAS = ("Paleozoic", "Mesozoic", "Cenozoic")
+_PERIODS = ("Period P", "Period Q", "Period R")
 
 
 def raw_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trait spreadsheet from ``part``: mixed-case headers, sizes as a list of texts."""
-    p = table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    r = F.round(F.col("p_retailprice") * 10).cast("int")
-    early = r % 6
-    late = F.least(early + F.col("p_size") % 3, F.lit(5))
-    old_name = F.when(F.col("p_brand") == "Brand#7", "Old").otherwise("")
-    genus, species = F.concat(old_name, _genus(k)), F.concat(F.lit("t"), _coded(k))
-    is_species = F.col("p_size") > 8
-    group = F.when(F.col("p_size") == 50, "Mammals").otherwise(_pick(
-        (F.floor(k / 10) % 6).cast("int"),
-        "Invertebrates", "Bony_fishes", "Jawless_fishes", "Placoderms", "Birds", "Mammals"))
-    late_name = F.when((late == 5) & (F.col("p_type") == "SMALL"), "Upper Epoch F").when(
-        (F.col("p_size") == 49) & (F.col("p_type") == "LARGE"), None).otherwise(
-        F.concat(F.lit("Epoch "), _pick(late, *"ABCDEF")))
-    early_name = F.when((early == 1) & (F.col("p_type") == "PROMO"), "Epoch B beds").otherwise(
-        F.concat(F.lit("Epoch "), _pick(early, *"ABCDEF")))
-    size = (F.col("p_size") / 2).cast("string")
-    eras = ("Paleozoic", "Mesozoic", "Cenozoic")
-    half = lambda c: F.floor(c / 2).cast("int")
-    return p.select(
-        F.when(is_species, F.concat_ws(" ", genus, species))
-        .otherwise(F.concat(genus, species, F.lit(" sp."))).alias("Taxa"),
-        F.when(is_species, "species").otherwise("genus").alias("Taxonomic_rank"),
-        group.alias("Group"),
-        F.col("p_brand").alias("Clade"),
-        F.when(F.col("p_type") == "PROMO", F.array(size, F.lit("unknown")))
-        .when((F.col("p_type") == "MEDIUM") & (F.col("p_size") == 40), F.array().cast("array<string>"))
-        .otherwise(F.array(size)).alias("Max_size_m"),
-        _pick(r % 4, "Herbivore", "Micropredator", "Macropredator", None).alias("Guild"),
-        _pick(F.floor(r / 4).cast("int") % 4, "Benthic", "Benthopelagic", "Pelagic", None).alias("Vertical"),
-        _pick(F.floor(r / 16).cast("int") % 4, "Coastal", "Coastal/Oceanic", "Oceanic", None).alias("Habitat"),
-        _pick(half(early), *eras).alias("Early_era"),
-        _pick(half(late), *eras).alias("Late_era"),
-        _pick(half(early), "Period P", "Period Q", "Period R").alias("Early_period"),
-        F.when((late == 5) & (F.col("p_type") == "MEDIUM"), "Recent").otherwise(
-            _pick(half(late), "Period P", "Period Q", "Period R")).alias("Late_period"),
-        early_name.alias("Early_epoch"),
-        late_name.alias("Late_epoch"),
+    ranged = table(spark, sf_dir, "part").selectExpr(
+        "*", "cast(round(p_retailprice * 10) as int) as r", "p_partkey as k", "cast(p_size / 2 as string) as size"
+    ).selectExpr(
+        "*", "r % 6 as e", "least(r % 6 + p_size % 3, 5) as l",
+        f"concat(if(p_brand = 'Brand#7', 'Old', ''), {_genus('k')}) as g", f"{_species('k')} as s",
+    )
+    groups = ("Invertebrates", "Bony_fishes", "Jawless_fishes", "Placoderms", "Birds", "Mammals")
+    return ranged.selectExpr(
+        "if(p_size > 8, concat(g, ' ', s), concat(g, s, ' sp.')) as Taxa",
+        "if(p_size > 8, 'species', 'genus') as Taxonomic_rank",
+        f"if(p_size = 50, 'Mammals', {_pick('cast((k div 10) % 6 as int)', *groups)}) as Group",
+        "p_brand as Clade",
+        """case when p_type = 'PROMO' then array(size, 'unknown')
+                when p_type = 'MEDIUM' and p_size = 40 then cast(array() as array<string>)
+                else array(size) end as Max_size_m""",
+        f"{_pick('r % 4', 'Herbivore', 'Micropredator', 'Macropredator', None)} as Guild",
+        f"{_pick('cast(r div 4 as int) % 4', 'Benthic', 'Benthopelagic', 'Pelagic', None)} as Vertical",
+        f"{_pick('cast(r div 16 as int) % 4', 'Coastal', 'Coastal/Oceanic', 'Oceanic', None)} as Habitat",
+        f"{_pick('cast(e div 2 as int)', *_ERAS)} as Early_era",
+        f"{_pick('cast(l div 2 as int)', *_ERAS)} as Late_era",
+        f"{_pick('cast(e div 2 as int)', *_PERIODS)} as Early_period",
+        f"if(l = 5 and p_type = 'MEDIUM', 'Recent', {_pick('cast(l div 2 as int)', *_PERIODS)}) as Late_period",
+        f"if(e = 1 and p_type = 'PROMO', 'Epoch B beds', concat('Epoch ', {_pick('e', *'ABCDEF')})) as Early_epoch",
+        f"""case when l = 5 and p_type = 'SMALL' then 'Upper Epoch F'
+                 when p_size = 49 and p_type = 'LARGE' then null
+                 else concat('Epoch ', {_pick('l', *'ABCDEF')}) end as Late_epoch""",
     )
 
 
@@ -101,33 +115,26 @@ def traits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrence responses from ``lineitem``, with messy names and uneven ranks."""
-    li = table(spark, sf_dir, "lineitem")
-    k = F.col("l_partkey")
-    genus, species = _genus(k), F.concat(F.lit("t"), _coded(k))
-    flag = F.col("l_returnflag")
-    plain = F.concat_ws(" ", genus, species)
-    min_ma = F.datediff(F.lit(TODAY).cast("date"), F.col("l_shipdate").cast("date")).cast("double")
-    stage = (F.col("l_suppkey") % 12).cast("int")
-    late = F.least(stage + F.col("l_linenumber") % 3, F.lit(11))
-    names = list(INTERVAL_NAMES)
-    return li.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", k, "l_suppkey", F.col("l_extendedprice").cast("decimal(20,2)").cast("string")).alias("occurrence_no"),
-        F.when(flag == "R", F.concat(genus, F.lit(" ? cf. "), species))
-        .when(flag == "A", F.concat(plain, F.lit(" (Subg 12)")))
-        .otherwise(F.concat(F.lit(" "), genus, F.lit("  "), species)).alias("accepted_name"),
-        F.when(flag == "R", F.concat(F.lit("Old"), genus, F.lit(" n. "), species))
-        .when(flag == "A", F.concat(genus, F.lit(" aff. "), species)).otherwise(plain).alias("identified_name"),
-        F.when(flag == "R", "subjective synonym of").when(flag == "A", "recombined as")
-        .otherwise("misspelling of").alias("difference"),
-        F.when(F.col("l_quantity") >= 50, "species").when(F.col("l_quantity") >= 49, "genus")
-        .otherwise("unranked clade").alias("accepted_rank"),
-        genus.alias("genus"),
-        _pick(stage, *names).alias("early_interval"),
-        F.when(F.col("l_linenumber") % 3 != 0, _pick(late, *names)).alias("late_interval"),
-        (min_ma + F.col("l_linenumber") * 10).alias("max_ma"),
-        min_ma.alias("min_ma"),
-        (F.col("l_extendedprice") - F.floor(F.col("l_extendedprice") / 360) * 360 - 180).alias("lng"),
-        (F.col("l_quantity") * 3.5 - 89).alias("lat"),
+    named = table(spark, sf_dir, "lineitem").selectExpr(
+        "*", f"{_genus('l_partkey')} as g", f"{_species('l_partkey')} as s",
+        "cast(l_suppkey % 12 as int) as st", f"{_AGE} as age",
+    )
+    return named.selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_extendedprice as decimal(20,2))) as occurrence_no",
+        """case l_returnflag when 'R' then concat(g, ' ? cf. ', s) when 'A' then concat(g, ' ', s, ' (Subg 12)')
+                else concat(' ', g, '  ', s) end as accepted_name""",
+        """case l_returnflag when 'R' then concat('Old', g, ' n. ', s) when 'A' then concat(g, ' aff. ', s)
+                else concat(g, ' ', s) end as identified_name""",
+        """case l_returnflag when 'R' then 'subjective synonym of' when 'A' then 'recombined as'
+                else 'misspelling of' end as difference""",
+        "case when l_quantity >= 50 then 'species' when l_quantity >= 49 then 'genus' else 'unranked clade' end as accepted_rank",
+        "g as genus",
+        f"{_pick('st', *INTERVAL_NAMES)} as early_interval",
+        f"if(l_linenumber % 3 <> 0, {_pick('least(st + l_linenumber % 3, 11)', *INTERVAL_NAMES)}, null) as late_interval",
+        "age + l_linenumber * 10 as max_ma",
+        "age as min_ma",
+        "l_extendedprice - floor(l_extendedprice / 360) * 360 - 180 as lng",
+        "l_quantity * 3.5D - 89 as lat",
     )
 
 
@@ -137,14 +144,11 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of every rank under their plain name, for binning by age."""
-    li = table(spark, sf_dir, "lineitem")
-    k = F.col("l_partkey")
-    min_ma = F.datediff(F.lit(TODAY).cast("date"), F.col("l_shipdate").cast("date")).cast("double")
-    return li.select(
-        F.concat_ws(" ", _genus(k), F.concat(F.lit("t"), _coded(k))).alias("accepted_name"),
-        _genus(k).alias("genus"),
-        (min_ma + F.col("l_linenumber") * 10).alias("max_ma"),
-        min_ma.alias("min_ma"),
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        f"concat({_genus('l_partkey')}, ' ', {_species('l_partkey')}) as accepted_name",
+        f"{_genus('l_partkey')} as genus",
+        f"{_AGE} + l_linenumber * 10 as max_ma",
+        f"{_AGE} as min_ma",
     )
 
 

@@ -49,9 +49,23 @@ def partition_flag(spark, sf_dir):
     return _signal(spark, sf_dir).groupBy("bin_occ", "ext_signal").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("risk_glm")
+# A saturated model has a closed form: differences of the cells' log odds.
+@query("risk_glm", with_(f"""{src.SIGNAL_SQL},
+cells AS (SELECT "group" AS g, group_id AS side, sum(ext_signal) AS s, sum(1 - ext_signal) AS f FROM signal GROUP BY 1, 2),
+odds AS (SELECT b.g, ln(b.s / b.f) AS b, ln(m.s / m.f) AS m, 1 / b.s + 1 / b.f AS vb, 1 / m.s + 1 / m.f AS vm
+  FROM cells b JOIN cells m ON b.g = m.g WHERE b.side = 'baseline' AND m.side = 'megafauna'),
+base AS (SELECT b AS b0, m AS m0, vb AS vb0, vm AS vm0 FROM odds ORDER BY g LIMIT 1),
+terms AS (
+  SELECT '(Intercept)' AS term, b0 AS estimate, sqrt(vb0) AS se FROM base
+  UNION ALL SELECT 'megafauna', m0 - b0, sqrt(vm0 + vb0) FROM base
+  UNION ALL SELECT 'group' || g, b - b0, sqrt(vb + vb0) FROM odds, base WHERE g <> (SELECT min(g) FROM odds)
+  UNION ALL SELECT 'megafauna:group' || g, (m - b) - (m0 - b0), sqrt(vb + vm + vb0 + vm0) FROM odds, base
+    WHERE g <> (SELECT min(g) FROM odds))""", """
+SELECT term, round(estimate, 5) AS estimate, round(se, 5) AS se, round(estimate / se, 4) AS z FROM terms"""))
 def risk_glm(spark, sf_dir):
-    return rounded(risk.risk_model(_signal(spark, sf_dir)))
+    fit = risk.risk_model(_signal(spark, sf_dir))
+    return fit.select("term", (F.round("estimate", 5) + F.lit(0.0)).alias("estimate"), F.round("se", 5).alias("se"),
+                      (F.round("z", 4) + F.lit(0.0)).alias("z"))
 
 
 @query("risk_glm_through_time")
