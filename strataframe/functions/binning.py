@@ -9,7 +9,7 @@ long for that go through ``operators.joins.interval_join``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -84,13 +84,25 @@ def era_of_age(age: Column, breaks=ERA_BREAKS, labels=ERA_LABELS) -> Column:
     return cut_label(age, breaks, labels)
 
 
+def has_older_stage(age: Column, bottoms: Sequence[float]) -> Column:
+    """Whether an older bound falls in some stage: a plain range, which reaches the scan."""
+    return age.between(min(bottoms), max(bottoms))
+
+
+def has_younger_stage(age: Column, tops: Sequence[float], *, closed: str = "right") -> Column:
+    return age.between(min(tops), max(tops)) if closed == "right" else age >= min(tops)
+
+
 def stage_of_older_bound(age: Column, bottoms: Sequence[float]) -> Column:
     """Stage ordinal of an older bound, binned on the stage bottoms.
 
     The lowest bottom is closed on both sides, so the youngest stage is never
     returned and ages younger than every bottom are null.
     """
-    return F.lit(len(bottoms)) - cut_index(age, bottoms, include_lowest=True)
+    b = _sorted_breaks(bottoms)
+    n = len(b)
+    stages = [F.lit(n - i) for i in range(1, n)]
+    return F.when(has_older_stage(age, b), search_tree(age, [F.lit(x) for x in b[1:-1]], stages))
 
 
 def stage_of_younger_bound(age: Column, tops: Sequence[float], *, closed: str = "right") -> Column:
@@ -99,13 +111,35 @@ def stage_of_younger_bound(age: Column, tops: Sequence[float], *, closed: str =
     ``closed='right'`` is the published behaviour: an age exactly on a top falls
     into the stage above it. ``closed='left'`` keeps it in its own stage.
     """
-    n = len(tops)
-    if closed == "right":
-        return F.lit(n + 1) - cut_index(age, tops, include_lowest=True)
     b = _sorted_breaks(tops)
+    n = len(b)
+    inside = has_younger_stage(age, b, closed=closed)
+    if closed == "right":
+        return F.when(inside, search_tree(age, [F.lit(x) for x in b[1:-1]], [F.lit(n + 1 - i) for i in range(1, n)]))
     # Mirroring the axis turns the right-closed search into a left-closed one.
-    mirrored = cut_index(-age, [-x for x in b])
-    return F.when(age >= b[-1], F.lit(1)).otherwise(mirrored + 1)
+    mirrored = search_tree(-age, [F.lit(-x) for x in b[:0:-1]], [F.lit(s) for s in range(1, n + 1)])
+    return F.when(inside, mirrored)
+
+
+def single_stage(
+    max_ma: Column, min_ma: Column, bottoms: Sequence[float], tops: Sequence[float],
+    *, closed: str = "right", leaf: Callable[[int], Column] = F.lit,
+) -> Column:
+    """``leaf(stage)`` where both bounds give the same stage, else null.
+
+    One search on the older bound; each leaf only compares the younger bound with
+    the two tops that would put it in the same stage.
+    """
+    b, t = _sorted_breaks(bottoms), _sorted_breaks(tops)
+    n = len(b)
+    leaves = []
+    for i in range(1, n):
+        if closed == "right":
+            same = (min_ma > t[i]) & (min_ma <= t[i + 1]) if i + 1 < n else F.lit(False)
+        else:
+            same = (min_ma >= t[i]) & (min_ma < t[i + 1]) if i + 1 < n else min_ma >= t[i]
+        leaves.append(F.when(same, leaf(n - i)))
+    return F.when(has_older_stage(max_ma, b), search_tree(max_ma, [F.lit(x) for x in b[1:-1]], leaves))
 
 
 def histogram_bin(value: Column, width: float) -> Column:

@@ -44,8 +44,11 @@ def strip_qualifiers(name: Column, patterns: Sequence[str] = QUALIFIERS) -> Colu
 
 
 def squish(text: Column) -> Column:
-    """Trim both ends and squeeze inner blanks to one space."""
-    return F.trim(F.regexp_replace(text, BLANK + "+", " "))
+    """Trim both ends and squeeze inner blanks to one space.
+
+    A lone space is already right, so the pattern only matches other runs.
+    """
+    return F.trim(F.regexp_replace(text, rf"[\t\n\f\r\p{{Z}}&&[^ ]]{BLANK}*| {BLANK}+", " "))
 
 
 def clean_name(name: Column, patterns: Sequence[str] = QUALIFIERS) -> Column:

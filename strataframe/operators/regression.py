@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, GroupedData, functions as F, types as T
 
 from strataframe.functions.numeric import normal_p_value, percent_change, t_critical, t_p_value
 from strataframe.functions.text import interval_text, percent_text
@@ -19,14 +19,19 @@ def least_squares(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> Data
     Built on the mergeable ``regr_*`` moments, so a hot group is reduced map-side.
     A group without residual degrees of freedom keeps its slope but has no error.
     """
+    return _slopes(df.groupBy(*by), y, x)
+
+
+def _slopes(grouped: GroupedData, y: str, x: str, *extra: Column) -> DataFrame:
     yc, xc = F.col(y), F.col(x)
-    moments = df.groupBy(*by).agg(
+    moments = grouped.agg(
         F.regr_count(yc, xc).alias("n"),
         F.regr_slope(yc, xc).alias("slope"),
         F.regr_intercept(yc, xc).alias("intercept"),
         F.regr_sxx(yc, xc).alias("__sxx"),
         F.regr_syy(yc, xc).alias("__syy"),
         F.regr_sxy(yc, xc).alias("__sxy"),
+        *extra,
     )
     dof = F.col("n") - 2
     rss = F.greatest(F.col("__syy") - F.col("__sxy") * F.col("__sxy") / F.col("__sxx"), F.lit(0.0))
@@ -69,8 +74,10 @@ def trend_table(
 ) -> DataFrame:
     """Slopes of a log response as percent change per ``per`` units, one row per group and
     one pooled. The factor is applied linearly, not compounded."""
-    pooled = least_squares(df, y, x).select(F.lit(overall).alias(group), "*")
-    fits = with_inference(pooled.unionByName(least_squares(df, y, x, [group])))
+    # A rollup gives the groups and the pooled fit from one scan.
+    both = _slopes(df.rollup(group), y, x, F.grouping(group).alias("__pooled"))
+    named = both.withColumn(group, F.when(F.col("__pooled") == 1, overall).otherwise(F.col(group)))
+    fits = with_inference(named.drop("__pooled"))
     scaled = lambda c: percent_change(F.col(c)) * per
     star = stars(F.col("p_value"), as_published=as_published)
     if as_published:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from strataframe.functions.binning import stage_of_older_bound, stage_of_younger_bound
+from strataframe.functions.binning import (
+    has_older_stage, has_younger_stage, single_stage, stage_of_older_bound, stage_of_younger_bound,
+)
 from strataframe.functions.numeric import age_midpoint
 from strataframe.functions.text import first_word
 from strataframe.operators.aggregates import counts, strict_max, strict_min
@@ -20,11 +22,16 @@ def bin_bounds(
     occurrences: DataFrame, intervals: Intervals, *, older: str = "bin_max", younger: str = "bin_min",
     closed: str = "right",
 ) -> DataFrame:
-    """Stage ordinals of both age bounds; rows without either are dropped."""
-    return occurrences.withColumns({
-        older: stage_of_older_bound(F.col("max_ma"), intervals.bottoms),
-        younger: stage_of_younger_bound(F.col("min_ma"), intervals.tops, closed=closed),
-    }).dropna(subset=[older, younger])
+    """Stage ordinals of both age bounds; rows without either are dropped.
+
+    The drop is written on the ages, where it is a range filter the scan can use.
+    """
+    max_ma, min_ma = F.col("max_ma"), F.col("min_ma")
+    staged = has_older_stage(max_ma, intervals.bottoms) & has_younger_stage(min_ma, intervals.tops, closed=closed)
+    return occurrences.where(staged).withColumns({
+        older: stage_of_older_bound(max_ma, intervals.bottoms),
+        younger: stage_of_younger_bound(min_ma, intervals.tops, closed=closed),
+    })
 
 
 def species_names(traits: DataFrame) -> DataFrame:
@@ -53,15 +60,35 @@ def single_stage_occurrences(
 ) -> DataFrame:
     """Distinct taxon x stage sightings confined to one stage, labelled.
 
-    Repeats go before the label joins, which then see at most one row per taxon
-    and stage.
+    The stages of a taxon are gathered as bit sets, so the shuffle carries one
+    fixed-width row per taxon and map task and the labels are joined at taxon grain.
     """
-    binned = bin_bounds(occurrences, intervals, closed=closed)
-    once = (
-        binned.where(F.col("bin_max") == F.col("bin_min"))
-        .select("accepted_name", F.col("bin_max").alias("bin")).distinct()
+    words = [f"__word{i}" for i in range((len(intervals) + 61) // 62)]
+    sets = occurrences.groupBy("accepted_name").agg(
+        *[F.bit_or(_stage_bit(intervals, i, closed)).alias(w) for i, w in enumerate(words)]
+    )
+    seen = sets.where(F.coalesce(*words).isNotNull())
+
+    def is_member(stage: Column) -> Column:
+        word = F.get(F.array(*words), F.floor((stage - 1) / 62).cast("int"))
+        return F.bit_get(word, (stage - 1) % 62) == 1
+
+    every = F.sequence(F.lit(1), F.lit(len(intervals)))
+    return label_taxa(seen, traits).select(
+        "accepted_name", F.explode(F.filter(every, is_member)).alias("bin"), "group_id", "group"
+    )
+
+
+def _stage_bit(intervals: Intervals, word: int, closed: str) -> Column:
+    """The bit of a row's single stage within one 62-bit word of the set, else null."""
+
+    def leaf(stage: int) -> Column:
+        at = stage - 1 - 62 * word
+        return F.lit(1 << at if 0 <= at < 62 else None).cast("long")
+
+    return single_stage(
+        F.col("max_ma"), F.col("min_ma"), intervals.bottoms, intervals.tops, closed=closed, leaf=leaf
     )
-    return label_taxa(once, traits).select("accepted_name", "bin", "group_id", "group").distinct()
 
 
 def presence_absence(sightings: DataFrame, bins: Sequence[int]) -> DataFrame:

@@ -43,6 +43,18 @@ def take_dimension(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> list:
     return rows
 
 
+def settle(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
+    """Compute a small aggregate once for repeated use, e.g. by an iterative fit.
+
+    Up to ``max_rows`` rows become a local table. A bigger one stays distributed
+    and is cached, so its rows never meet on the driver.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df.persist()
+    return literal_table(df.sparkSession, rows, df.schema)
+
+
 @dataclass(frozen=True)
 class Intervals:
     """Ordered interval table: ordinals grow towards the present."""
