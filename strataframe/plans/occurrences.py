@@ -81,11 +81,9 @@ def resolve_names(names: DataFrame, synonyms: DataFrame) -> DataFrame:
 
     A name with two accepted names gives two rows.
     """
-    flagged = membership_flag(
-        names.select(F.col("taxa").alias("taxon")), "taxon", synonyms, "identified_name_clean",
-        yes=F.col("taxon"), no=F.lit(None), out="identified_name_clean",
-    )
-    joined = nullsafe_join(flagged, synonyms, ["identified_name_clean"], "left").distinct()
+    listed = names.select(F.col("taxa").alias("taxon"))
+    # Synonyms are never null, so a plain key is enough and one join does it.
+    joined = listed.join(synonyms, F.col("taxon") == F.col("identified_name_clean"), "left").distinct()
     return joined.select(
         "taxon", "identified_name_clean", "accepted_name_clean",
         F.coalesce("accepted_name_clean", "taxon").alias("taxon_clean"),
