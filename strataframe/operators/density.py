@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strataframe.functions.binning import histogram_bin
 from strataframe.operators.quantiles import exact_quantiles
+from strataframe.sources.dimensions import settle
 
 GRID = 512
 
@@ -24,7 +25,7 @@ def bandwidths(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Per key: n, range and the rule-of-thumb bandwidth 0.9 min(sd, IQR/1.34) n^(-1/5).
 
     A zero spread falls back to the standard deviation, then to the magnitude of
-    the data, then to 1. A single value has no bandwidth.
+    the data, then to 1. A single value has a null bandwidth.
     """
     moments = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(f"__m_{k}") for k in by]).agg(
         F.count(F.lit(1)).alias("n"),
@@ -37,11 +38,9 @@ def bandwidths(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     spread = F.least("__sd", (F.col("__q3") - F.col("__q1")) / 1.34)
     positive = lambda c: F.when(c > 0, c)
     scale = F.coalesce(positive(spread), positive(F.col("__sd")), positive(F.abs("__min")), F.lit(1.0))
-    return (
-        quartiles.join(moments, on)
-        .where(F.col("n") > 1)
-        .select(*by, "n", F.col("__min").alias("lo"), F.col("__max").alias("hi"),
-                (0.9 * scale * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
+    bw = F.when(F.col("n") > 1, 0.9 * scale * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    return quartiles.join(moments, on).select(
+        *by, "n", F.col("__min").alias("lo"), F.col("__max").alias("hi"), bw.alias("bw")
     )
 
 
@@ -53,15 +52,17 @@ def kernel_density(
 
     Linear binning on a ``grid``-point axis reaching four bandwidths beyond the
     range, Gaussian smoothing of the binned weights, linear interpolation between
-    axis points. The raw rows meet one partial aggregate; what follows works on at
-    most ``grid`` rows per key. ``lower_bound`` folds the mass below it back.
+    axis points. The bandwidths are settled first, so the raw rows only meet a small
+    table and one partial aggregate; what follows works on at most ``grid`` rows per
+    key. ``lower_bound`` folds the mass below it back. A key with a single value has
+    no curve.
     """
     points = out_points or grid
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
-    bw = bandwidths(rows, "__x", by)
-    start = rows.agg(F.min("__x")).scalar() if lower_bound is None else F.lit(float(lower_bound))
-    stop = rows.agg(F.max("__x")).scalar()
-    axis = bw.select(
+    bw = settle(bandwidths(rows, "__x", by))
+    start = bw.agg(F.min("lo")).scalar() if lower_bound is None else F.lit(float(lower_bound))
+    stop = bw.agg(F.max("hi")).scalar()
+    axis = bw.where(F.col("bw").isNotNull()).select(
         *[F.col(k).alias(f"__a_{k}") for k in by], "n", "bw", start.alias("__from"), stop.alias("__to")
     ).withColumn("__lo", F.col("__from") - 4 * F.col("bw"))
     axis = axis.withColumn("__step", (F.col("__to") + 4 * F.col("bw") - F.col("__lo")) / (grid - 1))

@@ -56,8 +56,16 @@ def count_by_name(
     The count collapses before the join, so a name holding a third of all rows
     reaches the shuffle as one row per map task.
     """
-    counted = rows.groupBy(F.col(row_name).alias("__name")).agg(F.count(F.lit(1)).alias("__n"))
-    joined = names.join(counted, F.col(name) == F.col("__name"), "left")
+    counted = rows.groupBy(row_name).agg(F.count(F.lit(1)).alias("n"))
+    return attach_counts(names, name, counted, row_name, out)
+
+
+def attach_counts(
+    names: DataFrame, name: str, counted: DataFrame, counted_name: str, out: str = "occurrences"
+) -> DataFrame:
+    """Left join of ready counts ``n``; an unlisted name has zero."""
+    sized = counted.select(F.col(counted_name).alias("__name"), F.col("n").alias("__n"))
+    joined = names.join(sized, F.col(name) == F.col("__name"), "left")
     return joined.withColumn(out, F.coalesce("__n", F.lit(0).cast("long"))).drop("__name", "__n")
 
 

@@ -1,9 +1,9 @@
 """Exact quantiles that never gather a group into one task.
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer.
-Here rows collapse to (key, value, count), values spread over order-preserving
-buckets, bucket counts (at most a few thousand rows per key) locate the wanted
-ranks, and only the buckets holding such a rank are ordered.
+Here values are numbered by order-preserving buckets; the bucket counts, reduced
+map-side to at most a few thousand rows per key, locate the wanted ranks, and only
+rows in the buckets holding such a rank are shuffled and ordered.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataframe.functions.binning import tree_text
+from strataframe.sources.dimensions import settle
 
 COARSE, FINE = 64, 64
 SPLIT_SAMPLE = 4_096
@@ -54,10 +55,9 @@ def exact_quantiles(
     keys = list(by) or ["__all"]
     src = df if by else df.withColumn("__all", F.lit(1))
     src = src.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    tagged = src.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    tagged = tagged.withColumn("__b", value_bucket(src, "__v"))
+    tagged = src.withColumn("__b", value_bucket(src, "__v"))
 
-    per_bucket = tagged.groupBy(*keys, "__b").agg(F.sum("__n").alias("__bn"))
+    per_bucket = tagged.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__bn"))
     running = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     located = per_bucket.select(
@@ -69,10 +69,13 @@ def exact_quantiles(
     position = [(F.col("__total") - 1) * F.lit(float(p)) for p in probs]
     ranks = [r.cast("long") for h in position for r in (F.floor(h), F.ceil(h))]
     hit = reduce(lambda a, b: a | b, [(r >= F.col("__before")) & (r < F.col("__upto")) for r in ranks])
-    wanted = located.where(hit).select(
+    wanted = settle(located.where(hit).select(
         *[F.col(k).alias(f"__w_{k}") for k in keys], F.col("__b").alias("__wb"), "__total", "__before"
+    ))
+    candidates = (
+        tagged.join(wanted, _same(keys, "__w_") & (F.col("__b") == F.col("__wb")))
+        .groupBy(*keys, "__b", "__total", "__before", "__v").agg(F.count(F.lit(1)).alias("__n"))
     )
-    candidates = tagged.join(wanted, _same(keys, "__w_") & (F.col("__b") == F.col("__wb")))
     inside = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = candidates.withColumn("__hi", F.col("__before") + F.sum("__n").over(inside))
     covers = [(r < F.col("__hi")) & (r >= F.col("__hi") - F.col("__n")) for r in ranks]

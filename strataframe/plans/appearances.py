@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from strataframe.functions.categories import restrict_levels
+from strataframe.functions.text import clean_name
 from strataframe.operators.aggregates import counts, share_of_total, strict_max, strict_min
 from strataframe.operators.joins import members_only, nullsafe_join
 from strataframe.operators.reshape import blank_repeats, unpivot
@@ -19,15 +20,16 @@ def appearances_from_occurrences(
     """Oldest and youngest interval midpoint per taxon.
 
     Rows first collapse to distinct (name, early, late) combinations, of which a
-    taxon has few, so neither the lookups nor the semi join see a hot taxon.
+    taxon has few, so neither name cleaning, the lookups nor the semi join see a hot
+    taxon.
     A name lacking a bin on any row has no range. ``as_published`` takes the
     first appearance from the late bin and the last one from the early bin.
     """
     spark = occurrences.sparkSession
     combos = occurrences.select(
-        F.col("accepted_name_clean").alias("taxon"), "early_interval",
+        "accepted_name", "early_interval",
         F.coalesce("late_interval", "early_interval").alias("late_interval"),
-    ).distinct()
+    ).distinct().withColumn("taxon", clean_name(F.col("accepted_name"))).drop("accepted_name")
     combos = members_only(combos, "taxon", resolved, "taxon_clean")
     mids = intervals.dimension(spark, F.col("stg").alias("bin"), "mid", "stg")
     lookup = F.broadcast(keys.join(mids, "bin").select("interval_name", "mid", "stg"))

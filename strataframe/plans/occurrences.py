@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strataframe.functions.text import clean_name, first_word, strip_open_suffix, token_count
 from strataframe.operators.aggregates import counts, ratio_of_counts
-from strataframe.operators.joins import count_by_name, membership_flag, nullsafe_join
+from strataframe.operators.joins import attach_counts, membership_flag, nullsafe_join
 from strataframe.operators.reshape import pivot_counts
 from strataframe.sources.landing import drop_repeated_occurrences
 
@@ -27,18 +27,17 @@ def clean_occurrences(
 def synonym_table(occurrences: DataFrame, reasons: Sequence[str]) -> DataFrame:
     """Pairs of accepted and formerly used names, for the given reasons of renaming.
 
-    Pairs that only moved a name to its genus are left out. Distinct raw pairs are
-    taken before the regular expressions run.
+    Pairs that only moved a name to its genus are left out. The regular expressions
+    run on the distinct pairs, not on the occurrences.
     """
     pairs = (
         occurrences.where(F.col("difference").isin(*reasons))
-        .select("identified_name", "accepted_name_clean").distinct()
-        .withColumn("identified_name_clean", clean_name(F.col("identified_name")))
-    )
-    return (
-        pairs.where(F.col("accepted_name_clean") != first_word(F.col("identified_name_clean")))
-        .select("accepted_name_clean", "identified_name_clean").distinct()
+        .select("identified_name", "accepted_name").distinct()
+        .select(clean_name(F.col("accepted_name")).alias("accepted_name_clean"),
+                clean_name(F.col("identified_name")).alias("identified_name_clean"))
+        .distinct()
     )
+    return pairs.where(F.col("accepted_name_clean") != first_word(F.col("identified_name_clean")))
 
 
 def taxon_names(traits: DataFrame, *, as_published: bool = False) -> DataFrame:
@@ -49,8 +48,19 @@ def taxon_names(traits: DataFrame, *, as_published: bool = False) -> DataFrame:
     )
 
 
+def _cleaned_names(df: DataFrame) -> DataFrame:
+    return df.withColumn("name", clean_name(F.col("accepted_name")))
+
+
+def name_counts(occurrences: DataFrame) -> DataFrame:
+    """Occurrences per cleaned name: counted per raw name first, so that each distinct
+    spelling is cleaned once."""
+    per_spelling = occurrences.groupBy("accepted_name").agg(F.count(F.lit(1)).alias("n"))
+    return _cleaned_names(per_spelling).groupBy("name").agg(F.sum("n").alias("n"))
+
+
 def known_names(occurrences: DataFrame, synonyms: DataFrame) -> DataFrame:
-    accepted = occurrences.select(F.col("accepted_name_clean").alias("name")).distinct()
+    accepted = _cleaned_names(occurrences.select("accepted_name").distinct()).select("name").distinct()
     return accepted.unionByName(synonyms.select(F.col("identified_name_clean").alias("name")))
 
 
@@ -94,7 +104,7 @@ def occurrences_per_taxon(
     resolved: DataFrame, occurrences: DataFrame, traits: DataFrame, *, as_published: bool = False
 ) -> DataFrame:
     """Occurrence count of each resolved name with the traits of the listed name."""
-    counted = count_by_name(resolved, "taxon_clean", occurrences, "accepted_name_clean")
+    counted = attach_counts(resolved, "taxon_clean", name_counts(occurrences), "name")
     base = counted.select(
         F.col("taxon_clean").alias("taxon"), "occurrences",
         F.col("identified_name_clean").alias("synonym"),

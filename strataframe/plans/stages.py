@@ -12,7 +12,7 @@ from strataframe.functions.binning import (
 from strataframe.functions.numeric import age_midpoint
 from strataframe.functions.text import first_word
 from strataframe.operators.aggregates import counts, strict_max, strict_min
-from strataframe.operators.joins import membership_flag, nullsafe_join
+from strataframe.operators.joins import membership_flag, spread_left_join
 from strataframe.operators.reshape import expand_range, presence_matrix
 from strataframe.plans.traits import attach_epoch_values
 from strataframe.sources.dimensions import Intervals
@@ -52,7 +52,8 @@ def label_taxa(
         df, name, species_names(traits), "taxa", yes="megafauna", no="baseline", out="group_id"
     )
     named = flagged.withColumn("genus", first_word(F.col(name)))
-    return nullsafe_join(named, genus_groups(traits), ["genus"], "left").dropna(subset=["group"])
+    # One genus may hold a third of the taxa, so the join is spread.
+    return spread_left_join(named, genus_groups(traits), "genus").dropna(subset=["group"])
 
 
 def single_stage_occurrences(

@@ -44,15 +44,16 @@ def take_dimension(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> list:
 
 
 def settle(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
-    """Compute a small aggregate once for repeated use, e.g. by an iterative fit.
+    """Compute a small aggregate once, so that its size is known before it is used again.
 
-    Up to ``max_rows`` rows become a local table. A bigger one stays distributed
-    and is cached, so its rows never meet on the driver.
+    Up to ``max_rows`` rows become a local table to broadcast: raw rows then meet it
+    without a shuffle. A bigger one stays distributed and is cached, its rows never
+    meet on the driver, and joins with it shuffle.
     """
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return df.persist()
-    return literal_table(df.sparkSession, rows, df.schema)
+    return F.broadcast(literal_table(df.sparkSession, rows, df.schema))
 
 
 @dataclass(frozen=True)

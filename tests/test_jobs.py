@@ -110,7 +110,7 @@ def test_synonyms_and_counts(spark):
 def test_appearances(spark):
     keys = interval_keys(spark, {"I1": 1, "I2": 2, "I3": 3, "I4": 4})
     o = spark.createDataFrame([("A a", "I1", "I2"), ("A a", "I3", None), ("B b", "I2", "unknown"), ("Z z", "I1", None)],
-                              "accepted_name_clean string, early_interval string, late_interval string")
+                              "accepted_name string, early_interval string, late_interval string")
     resolved = spark.createDataFrame([("A a", "A a"), ("B b", "B b")], "taxon string, taxon_clean string")
     got = app.appearances_from_occurrences(o, resolved, keys, FOUR)
     assert rows(got) == [("A a", 35.0, 15.0, 1, 3)]
