@@ -80,7 +80,7 @@ def t_quantile(tail, df) -> np.ndarray:
         if not grow.any():
             break
         hi = np.where(grow, hi * 2, hi)
-    for _ in range(120):
+    for _ in range(64):
         mid = (lo + hi) / 2
         over = t_tail(mid, df) > tail
         lo, hi = np.where(over, mid, lo), np.where(over, hi, mid)

@@ -70,12 +70,13 @@ def attach_counts(
 
 
 def spread_left_join(
-    left: DataFrame, right: DataFrame, key: str, *, salts: int = 16, null_safe: bool = True
+    left: DataFrame, right: DataFrame, key: str, *, salts: int = 16, null_safe: bool = True,
+    how: str = "left",
 ) -> DataFrame:
-    """Left join of raw rows with a dimension that may be too big to broadcast.
+    """Left (or left semi, left anti) join of raw rows with a table that may be too big to broadcast.
 
     Each left row gets one of ``salts`` salts from a hash of its own columns and
-    the dimension is repeated per salt, so a hot key runs in up to ``salts`` tasks.
+    the right side is repeated per salt, so a hot key runs in up to ``salts`` tasks.
     """
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
     r = right.select(
@@ -84,7 +85,7 @@ def spread_left_join(
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__rsalt"),
     )
     same = F.col(key).eqNullSafe(F.col("__key")) if null_safe else F.col(key) == F.col("__key")
-    joined = left.withColumn("__salt", salt).join(r, same & (F.col("__salt") == F.col("__rsalt")), "left")
+    joined = left.withColumn("__salt", salt).join(r, same & (F.col("__salt") == F.col("__rsalt")), how)
     return joined.drop("__key", "__salt", "__rsalt")
 
 

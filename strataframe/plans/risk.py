@@ -73,9 +73,17 @@ def risk_from_draws(draws: DataFrame) -> DataFrame:
     )
 
 
+def _logit_contrast(draws: DataFrame) -> DataFrame:
+    return contrast_draws(draws, "linpred", ["group", "bin_occ"], "group_id", *SIDES, out="logit")
+
+
+def logit_summary(draws: DataFrame) -> DataFrame:
+    """Median and bounds of the draw-wise contrast per group and stage."""
+    return summarise_draws(_logit_contrast(draws), "logit", ["group", "bin_occ"], MEDIAN_QI)
+
+
 def logit_through_time(draws: DataFrame, intervals: Intervals) -> DataFrame:
     """Draw-wise contrast per group and stage, with its mean and the stage midpoint."""
-    contrast = contrast_draws(draws, "linpred", ["group", "bin_occ"], "group_id", *SIDES, out="logit")
-    averaged = with_group_mean(contrast, "logit", ["group", "bin_occ"], "mean_logit")
+    averaged = with_group_mean(_logit_contrast(draws), "logit", ["group", "bin_occ"], "mean_logit")
     age = intervals.dimension(draws.sparkSession, F.col("stg").alias("bin_occ"), F.col("mid").alias("age"))
     return averaged.join(age, "bin_occ", "left").withColumnRenamed("draw", ".draw")

@@ -7,7 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from strataframe.schemas import OCCURRENCES
+from strataframe.operators.joins import spread_left_join
+from strataframe.schemas import OCCURRENCES, RAW_TRAITS
 
 NO_RECORDS = "THIS REQUEST RETURNED NO RECORDS"
 
@@ -41,6 +42,18 @@ def read_delimited(
     return df
 
 
+def read_trait_parts(
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = RAW_TRAITS, **options
+) -> DataFrame:
+    """Same-shaped trait sheets stacked; list columns arrive as one text, a blank cell as no value."""
+    lists = [f.name for f in schema if isinstance(f.dataType, T.ArrayType)]
+    flat = T.StructType([
+        T.StructField(f.name, f.dataType.elementType if f.name in lists else f.dataType) for f in schema
+    ])
+    df = read_delimited(spark, paths, flat, **options)
+    return df.withColumns({c: F.array_compact(F.array(c)) for c in lists})
+
+
 def read_occurrences(
     spark: SparkSession, paths: str | Sequence[str], *, quoting: bool = True,
     schema: T.StructType = OCCURRENCES,
@@ -69,9 +82,8 @@ def drop_empty_sources(
 ) -> DataFrame:
     """Same at file level: one message row discards everything from its source."""
     empty = df.where(F.col(payload[0]) == message).select(source_key).distinct()
-    return drop_empty_responses(df, payload=payload, message=message).join(
-        empty, source_key, "left_anti"
-    )
+    kept = drop_empty_responses(df, payload=payload, message=message)
+    return spread_left_join(kept, empty, source_key, null_safe=False, how="left_anti")
 
 
 def drop_repeated_occurrences(df: DataFrame, key: str = "occurrence_no") -> DataFrame:

@@ -21,13 +21,16 @@ long AS (SELECT * FROM (SELECT early_era, "group", max_size_m, age_early_epoch,
   UNPIVOT INCLUDE NULLS (eco_val FOR eco_trait IN (vertical, habitat, guild)))"""
 
 
-@query("curate_traits", with_(src.CURATED_SQL, """
+CURATED_SELECT = with_(src.CURATED_SQL, """
 SELECT taxa, taxonomic_rank, "group", clade, max_size_m, guild, vertical, habitat, early_era, late_era, early_period, late_period,
   early_epoch, late_epoch,
   CASE WHEN "group" IN ('Bony fishes', 'Jawless fishes', 'Placoderms') THEN 'Fishes' ELSE "group" END AS group_clps,
   CASE WHEN max_size_m <= 5 THEN '<5m' WHEN max_size_m <= 10 THEN '5-10m' WHEN max_size_m <= 15 THEN '10-15m'
        WHEN max_size_m <= 21 THEN '>15m' END AS size_cat,
-  split_part(taxa, ' ', 1) AS genus, nullif(split_part(taxa, ' ', 2), '') AS species FROM curated"""))
+  split_part(taxa, ' ', 1) AS genus, nullif(split_part(taxa, ' ', 2), '') AS species FROM curated""")
+
+
+@query("curate_traits", CURATED_SELECT)
 def curate_traits(spark, sf_dir):
     return src.curated(spark, sf_dir)
 

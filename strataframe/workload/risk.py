@@ -110,6 +110,13 @@ def draw_contrast(spark, sf_dir):
     return rounded(risk.logit_through_time(src.draws(spark, sf_dir), INTERVALS))
 
 
+@query("contrast_summary", with_(CONTRAST_SQL, """
+SELECT "group", bin_occ, round(quantile_cont(logit, 0.025), 6) AS lower, round(quantile_cont(logit, 0.5), 6) AS median,
+  round(quantile_cont(logit, 0.975), 6) AS upper FROM contrast GROUP BY 1, 2"""))
+def contrast_summary(spark, sf_dir):
+    return rounded(risk.logit_summary(src.draws(spark, sf_dir)))
+
+
 @query("partition_mean", with_(src.DRAWS_SQL, """
 SELECT "group", bin_occ, draw, group_id, round(avg(linpred) OVER (PARTITION BY "group", bin_occ), 6) AS mean_value FROM draws"""))
 def partition_mean(spark, sf_dir):

@@ -10,8 +10,10 @@ from strataframe.functions.text import percent_text
 from strataframe.operators import aggregates as agg
 from strataframe.operators import density, regression
 from strataframe.operators.quantiles import exact_quantiles
+from strataframe.operators.reshape import unpivot
 from strataframe.plans import reports
 from strataframe.workload import inputs as src, query
+from strataframe.workload.appearances import FROM_OCCURRENCES_SQL, _differences
 from strataframe.workload.common import rounded
 from strataframe.workload.inputs import with_
 
@@ -211,3 +213,16 @@ def kde_latitude_by_era(spark, sf_dir):
 @query("kde_longitude_by_era", _spatial_sql("lng"))
 def kde_longitude_by_era(spark, sf_dir):
     return _spatial_density(spark, sf_dir, "lng")
+
+
+@query("kde_sampling", kde_sql(f"{src.DRAWS_SQL}, rows AS (SELECT group_id, exp(linpred) AS x FROM draws)", "group_id", 256, 64))
+def kde_sampling(spark, sf_dir):
+    d = src.draws(spark, sf_dir).select("group_id", F.exp("linpred").alias("x"))
+    return _density_rounded(density.kernel_density(d, "x", ["group_id"], grid=256, out_points=64))
+
+
+@query("kde_age_differences", kde_sql(f"""{FROM_OCCURRENCES_SQL}, rows AS (SELECT 'LAD' AS name, "LAD" AS x FROM age_diff
+  WHERE "LAD" IS NOT NULL UNION ALL SELECT 'FAD', "FAD" FROM age_diff WHERE "FAD" IS NOT NULL)""", "name", 256, 64))
+def kde_age_differences(spark, sf_dir):
+    long = unpivot(_differences(spark, sf_dir), ["taxon"], ["LAD", "FAD"], "name", "value")
+    return _density_rounded(density.kernel_density(long, "value", ["name"], grid=256, out_points=64))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataframe.operators.reshape import stack
-from strataframe.sources.landing import read_delimited
+from strataframe.plans.traits import curate_traits
+from strataframe.sources.landing import read_delimited, read_trait_parts
 from strataframe.sources.tables import read_table, scratch_dir, write_csv, write_table
 from strataframe.workload import inputs as src, query
+from strataframe.workload.reports import CURATED_SELECT
 
 
 @query("stack_parts", """
@@ -36,3 +38,12 @@ def io_roundtrip(spark, sf_dir):
     tsv = read_delimited(spark, f"{base}/tsv", schema, sep="\t", quoting=False, null_value="NA", source_key=None)
     parquet = read_table(spark, f"{base}/parquet")
     return stack(*[df.select(F.lit(n).alias("format"), "*") for n, df in (("csv", csv), ("tsv", tsv), ("parquet", parquet))])
+
+
+@query("trait_parts", CURATED_SELECT)
+def trait_parts(spark, sf_dir):
+    """Write the trait sheets as five CSV parts, stack them again and curate."""
+    raw = src.raw_traits(spark, sf_dir)
+    path = f"{scratch_dir(spark)}/sheets"
+    write_csv(raw.withColumn("Max_size_m", F.get("Max_size_m", 0)).repartition(5), path, null_value="")
+    return curate_traits(read_trait_parts(spark, path, source_key=None))
