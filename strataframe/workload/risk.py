@@ -151,22 +151,23 @@ def _halves(spark, sf_dir):
 
 
 @query("pivot_lists", with_(HALVES_SQL, """
-SELECT vec_id, list_transform(a, lambda x: round(x, 6)) AS baseline, list_transform(b, lambda x: round(x, 6)) AS megafauna,
-  CAST(len(b) AS INTEGER) AS megafauna_draws FROM halves"""))
+SELECT vec_id, CAST(p - 1 AS INTEGER) AS pos, round(a[p], 6) AS baseline, round(b[p], 6) AS megafauna,
+  CAST(len(b) AS INTEGER) AS megafauna_draws FROM halves, (SELECT unnest(generate_series(1, 32)) AS p)"""))
 def pivot_lists_query(spark, sf_dir):
     wide = pivot_lists(_halves(spark, sf_dir), ["vec_id"], "side", ["baseline", "megafauna"], "v", "draw")
-    r = lambda c: F.transform(c, lambda x: F.round(x, 6))
-    return wide.select("vec_id", r("baseline").alias("baseline"), r("megafauna").alias("megafauna"),
-                       F.size("megafauna").alias("megafauna_draws"))
+    cells = wide.select("vec_id", F.size("megafauna").alias("megafauna_draws"),
+                        F.posexplode(F.arrays_zip("baseline", "megafauna")).alias("pos", "cell"))
+    return rounded(cells.select("vec_id", "pos", "cell.baseline", "cell.megafauna", "megafauna_draws"))
 
 
 @query("draw_array_diff", with_(HALVES_SQL, """
-SELECT vec_id, list_transform(list_zip(a, b), lambda p: round(p[1] - p[2], 6)) AS logit FROM halves"""))
+SELECT vec_id, CAST(p - 1 AS INTEGER) AS pos, round(logit[p], 6) AS logit FROM (
+  SELECT vec_id, list_transform(list_zip(a, b), lambda x: x[1] - x[2]) AS logit FROM halves), (SELECT unnest(generate_series(1, 32)) AS p)"""))
 def draw_array_diff(spark, sf_dir):
     as_doubles = F.transform("embedding", lambda x: x.cast("double"))
     e = src.table(spark, sf_dir, "embeddings").select("vec_id", as_doubles.alias("e"))
     diff = dr.contrast_lists(F.slice("e", 1, 32), F.slice("e", 33, 32))
-    return e.select("vec_id", F.transform(diff, lambda x: F.round(x, 6)).alias("logit"))
+    return rounded(e.select("vec_id", F.posexplode(diff).alias("pos", "logit")))
 
 
 @query("element_access", "SELECT vec_id, CAST(embedding[2] AS DOUBLE) AS second, CAST(embedding[100] AS DOUBLE) AS beyond FROM embeddings")
