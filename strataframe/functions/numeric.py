@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
+# The functions below travel inside the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def age_midpoint(older: Column, younger: Column) -> Column:
     return (older - younger) / 2 + younger

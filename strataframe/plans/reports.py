@@ -10,8 +10,8 @@ from strataframe.functions import categories as cat
 from strataframe.functions.numeric import age_midpoint, forward_time
 from strataframe.functions.text import title_case
 from strataframe.operators.aggregates import (
-    all_true, any_null, counts, null_percent_of_subset, null_percent_of_table, share_of_total,
-    share_within, strict_max,
+    all_true, any_null, counts, null_percent_of_subset, null_percent_of_table, share_within,
+    strict_max,
 )
 from strataframe.operators.density import kernel_density
 from strataframe.operators.draws import HALF_EYE, summarise_draws
@@ -28,9 +28,10 @@ TRAITS = ("vertical", "habitat", "guild")
 TRAIT_LEVELS = (*reversed(cat.GUILDS), *cat.VERTICALS, *cat.HABITATS)
 
 
-def composition(traits: DataFrame, key: str) -> DataFrame:
-    """Taxa per label in percent of the table."""
-    return share_of_total(counts(traits, [key]), "n", "prop")
+def composition(traits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Taxa per label of each key in percent of the table, all keys from one scan."""
+    long = unpivot(traits.select(*keys), [], keys, "key", "label")
+    return share_within(counts(long, ["key", "label"]), ["key"], "n", "prop")
 
 
 def counts_by_group_and_era(traits: DataFrame) -> DataFrame:

@@ -16,9 +16,10 @@ from strataframe.operators.draws import (
 from strataframe.operators.joins import expand_levels
 from strataframe.operators.regression import logistic_fit, treatment_terms
 from strataframe.operators.reshape import pivot_values
+from strataframe.plans.stages import BASELINE, LARGE
 from strataframe.sources.dimensions import Intervals, settle
 
-SIDES = ("baseline", "megafauna")
+SIDES = (BASELINE, LARGE)
 
 
 def observed_risk(signal: DataFrame, keys=("group", "group_id")) -> DataFrame:
@@ -43,9 +44,9 @@ def prediction_grid(signal: DataFrame) -> DataFrame:
 def risk_model(signal: DataFrame) -> DataFrame:
     """Logistic fit of the signal on side, group and their interaction."""
     cells = settle(counts(signal, ["group", "group_id", "ext_signal"], "n"))
-    side = (F.col("group_id") == "megafauna").cast("double")
+    side = (F.col("group_id") == LARGE).cast("double")
     groups = treatment_terms(cells, "group")
-    terms = [("megafauna", side), *groups, *[(f"megafauna:{n}", side * c) for n, c in groups]]
+    terms = [(LARGE, side), *groups, *[(f"{LARGE}:{n}", side * c) for n, c in groups]]
     return logistic_fit(cells, "ext_signal", "n", terms)
 
 

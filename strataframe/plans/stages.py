@@ -17,6 +17,9 @@ from strataframe.operators.reshape import expand_range, presence_matrix
 from strataframe.plans.traits import attach_epoch_values
 from strataframe.sources.dimensions import Intervals
 
+# The two sides a taxon can be on.
+LARGE, BASELINE = "megafauna", "baseline"
+
 
 def bin_bounds(
     occurrences: DataFrame, intervals: Intervals, *, older: str = "bin_max", younger: str = "bin_min",
@@ -49,7 +52,7 @@ def label_taxa(
     """Add ``group_id``, ``genus`` and ``group``; rows without a group are dropped. A genus
     listed under two groups gives two rows."""
     flagged = membership_flag(
-        df, name, species_names(traits), "taxa", yes="megafauna", no="baseline", out="group_id"
+        df, name, species_names(traits), "taxa", yes=LARGE, no=BASELINE, out="group_id"
     )
     named = flagged.withColumn("genus", first_word(F.col(name)))
     # One genus may hold a third of the taxa, so the join is spread.

@@ -184,12 +184,7 @@ COMPOSITION_KEYS = ("group", "taxonomic_rank", "early_era", "early_period")
 
 @query("composition_share", _composition_sql(COMPOSITION_KEYS))
 def composition_share(spark, sf_dir):
-    t = src.traits(spark, sf_dir)
-    parts = [reports.composition(t, k).select(F.lit(k).alias("key"), F.col(k).alias("label"), "n", "prop") for k in COMPOSITION_KEYS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return rounded(out)
+    return rounded(reports.composition(src.traits(spark, sf_dir), COMPOSITION_KEYS))
 
 
 @query("clade_summary", with_(f"""{src.TRAITS_SQL},
