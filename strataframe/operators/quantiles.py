@@ -15,16 +15,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataframe.functions.binning import tree_text
-from strataframe.sources.dimensions import settle
+from strataframe.sources.dimensions import bounded_sample, settle
 
 COARSE, FINE = 64, 64
-SPLIT_SAMPLE = 4_096
 
 
 def value_bucket(df: DataFrame, value: str) -> Column:
     """Monotone bucket number of a double: sampled splits, each cut into equal widths."""
     seen = df.select(value).where(F.col(value).isNotNull() & ~F.isnan(value))
-    sample = sorted({r[0] for r in seen.orderBy(F.rand(seed=7)).limit(SPLIT_SAMPLE).collect()})
+    sample = sorted({r[0] for r in bounded_sample(seen)})
     points = sorted({sample[len(sample) * i // COARSE] for i in range(1, COARSE)}) if sample else []
     points = [p for p in points if math.isfinite(p)]
     if not points:

@@ -10,20 +10,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from strataframe.operators.aggregates import strict_max
-from strataframe.sources.dimensions import settle
-
-SPLIT_SAMPLE = 4_096
+from strataframe.sources.dimensions import bounded_sample, settle
 
 
 def _split_points(df: DataFrame, order: Sequence[str], buckets: int) -> list:
-    """Evenly spaced order keys from a fixed-size random sample of the rows.
+    """Evenly spaced order keys from a random sample of the rows.
 
     They only decide how rows spread over tasks, never the result.
     """
-    sample = (
-        df.select(*order).orderBy(F.rand(seed=11)).limit(SPLIT_SAMPLE).distinct()
-        .orderBy(*[F.col(c).asc_nulls_first() for c in order]).collect()
-    )
+    nulls_first = lambda r: tuple((v is not None, v) for v in r)
+    sample = sorted(set(bounded_sample(df.select(*order))), key=nulls_first)
     picks = sorted({len(sample) * i // buckets for i in range(1, buckets)})
     return [sample[i] for i in picks if 0 < i < len(sample)]
 

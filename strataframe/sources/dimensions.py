@@ -43,6 +43,16 @@ def take_dimension(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> list:
     return rows
 
 
+def bounded_sample(df: DataFrame, size: int = 8_192) -> list:
+    """About ``size`` random rows, or all of a smaller table.
+
+    Counting first keeps the sample to what is wanted; a top-k by random order would
+    send ``size`` rows of every partition to one task.
+    """
+    n = df.count()
+    return (df if n <= size else df.sample(size / n, seed=11)).collect()
+
+
 def settle(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
     """Compute a small aggregate once, so that its size is known before it is used again.
 
