@@ -32,7 +32,7 @@ from strataframe.llm.shared import Scratch, column, flat_bytes, gathered, row_ch
 SLOT_BITS = 22
 SKETCH_PARTS = 16
 #: A shingle is rare when its slot counts no more than this.
-RARE_COUNT = 4
+RARE_COUNT = 2
 #: Sizes of one level differ by this factor at most.
 LEVEL_RATIO = 1.3
 #: Index rows a task gathers before it combines equal keys.
@@ -80,16 +80,17 @@ class Levels:
         return n - -(-self.percent * n // 100) + 1
 
 
-def _set_keys(tokens: np.ndarray, rare: np.ndarray, levels: Levels, plans: dict) -> np.ndarray:
-    """Index keys of one shingle set (sorted hashes); ``rare`` marks its rare shingles."""
+def _set_keys(tokens: np.ndarray, rare: np.ndarray, levels: Levels, plans: dict) -> list[tuple[int, np.ndarray]]:
+    """Index keys of one shingle set (sorted hashes) by size level; ``rare`` marks its rare shingles."""
     n = len(tokens)
     few, prefix = tokens[rare], levels.prefix(n)
-    keys = [mix(few[:prefix] ^ U(0x5851F42D4C957F2D))]
-    if len(few) < prefix:
-        many = tokens[~rare]
-        if n not in plans:
-            plans[n] = [(level, *levels.classes(level)) for level in levels.of(n)]
-        for level, count, spare in plans[n]:
+    if n not in plans:
+        plans[n] = [(level, *levels.classes(level)) for level in levels.of(n)]
+    out = []
+    for level, count, spare in plans[n]:
+        keys = [mix(few[:prefix] ^ U(0x5851F42D4C957F2D + level))]
+        if len(few) < prefix:
+            many = tokens[~rare]
             salted = mix(many ^ U(0xD1B54A32D192ED03 + level))
             of = (salted % U(count)).astype(np.int64)
             low = np.bincount(of, (salted >> U(8) & U(0xFFFFFF)).astype(float), count)
@@ -98,10 +99,16 @@ def _set_keys(tokens: np.ndarray, rare: np.ndarray, levels: Levels, plans: dict)
             key = mix(mix(low.astype(U) * U(0x2545F4914F6CDD1D) + high.astype(U)) + size.astype(U) * U(0x9E3779B97F4A7C15)
                       + np.arange(count, dtype=U) * U(0xA0761D6478BD642F) + U(level))
             keys.append(key[size > 0] if int((size == 0).sum()) <= spare else key)
-    return np.concatenate(keys)
+        out.append((level, np.concatenate(keys).view(np.int64)))
+    return out
+
+
+def _node(name: bytes, level: int) -> int:
+    """A set at a size level: clusters never mix levels, so their sizes stay within one ratio."""
+    return int.from_bytes(hashlib.blake2b(name + level.to_bytes(2, "big"), digest_size=8).digest(), "big", signed=True)
 
 
-def _scan(width: int):
+def _scan(width: int, levels: Levels):
     """Per document its set's size and fingerprint; per task the counts of its shingles by slot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLOT_BITS, np.uint32)
@@ -122,16 +129,17 @@ def _scan(width: int):
             if n:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()),
-                     pa.array([int.from_bytes(p[:8], "big", signed=True) for p in prints], pa.int64()),
+                     pa.array([[_node(p, level) for level in levels.of(k)] if k >= levels.first else [] for k, p in zip(sizes, prints)],
+                              pa.list_(pa.int64())),
                      pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                    names=["doc_id", "n_shingles", "print", "node", "part", "counts"])
+                    names=["doc_id", "n_shingles", "print", "nodes", "part", "counts"])
         parts = np.minimum(counts, RARE_COUNT + 1).astype(np.uint8).reshape(SKETCH_PARTS, -1)
         if counts.any():
             k = SKETCH_PARTS
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()),
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())),
                  pa.array(range(k), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
-                names=["doc_id", "n_shingles", "print", "node", "part", "counts"])
+                names=["doc_id", "n_shingles", "print", "nodes", "part", "counts"])
     return run
 
 
@@ -165,9 +173,10 @@ def _index(width: int, levels: Levels, rare_bits):
                     if name in seen:
                         continue
                     seen.add(name)
-                    keys.append(_set_keys(s, rare[(s >> U(64 - SLOT_BITS)).astype(np.int64)], levels, plans).view(np.int64))
-                    nodes.append(np.full(len(keys[-1]), int.from_bytes(name[:8], "big", signed=True)))
-                    held += len(keys[-1])
+                    for level, found in _set_keys(s, rare[(s >> U(64 - SLOT_BITS)).astype(np.int64)], levels, plans):
+                        keys.append(found)
+                        nodes.append(np.full(len(found), _node(name, level)))
+                        held += len(found)
                 if held > COMBINE_ROWS:
                     yield _met(np.concatenate(keys), np.concatenate(nodes))
                     keys, nodes, held = [], [], 0
@@ -287,8 +296,8 @@ def jaccard_classes(docs: DataFrame, scratch: Scratch, *, width: int = 5, percen
     texts = docs.select("doc_id", "text")
     context = texts.sparkSession.sparkContext
     scanned = scratch.write(
-        texts.mapInArrow(_scan(width), "doc_id long, n_shingles long, print binary, node long, part int, counts binary"), "sets")
-    sets = scanned.where("part is null").select("doc_id", "n_shingles", "print", "node")
+        texts.mapInArrow(_scan(width, levels), "doc_id long, n_shingles long, print binary, nodes array<long>, part int, counts binary"), "sets")
+    sets = scanned.where("part is null").select("doc_id", "n_shingles", "print", "nodes")
     counts = scanned.where("part is not null").select("part", "counts").repartition(SKETCH_PARTS, "part")
     rare = {r.part: bytes(r.rare) for r in counts.mapInArrow(_add_counts, "part int, rare binary").collect()}
     blank = np.packbits(np.ones((1 << SLOT_BITS) // SKETCH_PARTS, bool)).tobytes()
@@ -298,8 +307,9 @@ def jaccard_classes(docs: DataFrame, scratch: Scratch, *, width: int = 5, percen
     proposed = keys.repartition("key").mapInArrow(_meet, "a long, b long")
     clusters = components(scratch.write(proposed, "proposed"), scratch)
 
-    one = sets.where("n_shingles > 0").groupBy("print", "node").agg(F.min("doc_id").alias("rep"))
-    members = scratch.write(one.join(clusters, "node").select("print", "rep", "root"), "members")
+    one = sets.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes"))
+    members = scratch.write(
+        one.select("print", "rep", F.explode("nodes").alias("node")).join(clusters, "node").select("print", "rep", "root"), "members")
     blocks = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(blocks, "root").withColumn("block", F.pmod(F.hash("print"), F.col("blocks")))
     met = (
