@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strataframe.llm.jaccard_join import jaccard_classes
 from strataframe.llm.shared import Scratch, table
+from strataframe.llm.suffix_dedup import remove_repeats
 
 QUERIES = {}
 ORACLES = {}
@@ -23,3 +24,31 @@ def query(name: str, sql: str | None = None):
 @query("op8_jaccard_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), Scratch(spark), width=3, percent=90)
+
+
+OP10_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS n_bytes FROM t),
+p AS (SELECT doc_id, unnest(range(n_bytes - 49)) AS i, h FROM n WHERE n_bytes >= 50),
+s AS (SELECT doc_id, i, h[2 * i + 1 : 2 * i + 100] AS g FROM p),
+m AS (SELECT g, min(doc_id) AS first_doc FROM s GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT s.doc_id, s.i, lag(s.i) OVER (PARTITION BY s.doc_id ORDER BY s.i) AS before
+      FROM s JOIN m ON s.g = m.g WHERE s.doc_id > m.first_doc),
+r AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END)
+      OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+x AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, run),
+y AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM x),
+z AS (SELECT y.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last_end,
+             string_agg(n.h[2 * before + 1 : 2 * a], '' ORDER BY a) AS kept
+      FROM y JOIN n ON y.doc_id = n.doc_id GROUP BY y.doc_id)
+SELECT n.doc_id, n.n_bytes, CAST(coalesce(z.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(z.n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(z.kept || n.h[2 * z.last_end + 1 :], n.h))) AS kept_sha256
+FROM n LEFT JOIN z ON n.doc_id = z.doc_id
+"""
+
+
+@query("op10_suffix_dedup", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
