@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strataframe.llm.jaccard_join import jaccard_classes
+from strataframe.llm.mixing import Mix
 from strataframe.llm.packing import pack
 from strataframe.llm.shared import Scratch, table
 from strataframe.llm.suffix_dedup import remove_repeats
+from strataframe.llm.toxicity import held_out, score, train
 
 QUERIES = {}
 ORACLES = {}
@@ -59,3 +61,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op4_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = Mix(table(spark, sf_dir, "documents"), Scratch(spark), weights=(3, 1, 2), total_share=1.5, most_times=2)
+    return mix.documents().select("doc_id", "size", "source_size", "target", "taken")
