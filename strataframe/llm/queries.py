@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strataframe.llm.jaccard_join import jaccard_classes
 from strataframe.llm.mixing import Mix
+from strataframe.llm.order_minhash import fingerprints
 from strataframe.llm.packing import pack
+from strataframe.llm.risk_thresholds import judge
 from strataframe.llm.shared import Scratch, table
 from strataframe.llm.suffix_dedup import remove_repeats
 from strataframe.llm.toxicity import held_out, score, train
@@ -74,3 +76,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = Mix(table(spark, sf_dir, "documents"), Scratch(spark), weights=(3, 1, 2), total_share=1.5, most_times=2)
     return mix.documents().select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_risk_thresholds")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
+
+
+@query("op7_order_minhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
