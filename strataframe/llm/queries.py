@@ -10,9 +10,12 @@ from strataframe.llm.mixing import Mix
 from strataframe.llm.order_minhash import fingerprints
 from strataframe.llm.packing import pack
 from strataframe.llm.risk_thresholds import judge
+from strataframe.llm.role_repair import repair_roles
 from strataframe.llm.shared import Scratch, table
 from strataframe.llm.suffix_dedup import remove_repeats
 from strataframe.llm.toxicity import held_out, score, train
+from strataframe.llm.url_filter import judge_urls
+from strataframe.llm.warc_index import merge_index, read_archives, write_archives
 
 QUERIES = {}
 ORACLES = {}
@@ -86,3 +89,25 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_order_minhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op6_url_filter")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op2_role_repair")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_roles(table(spark, sf_dir, "conversations"), Scratch(spark))
+
+
+@query("op1_warc_index")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    folder = scratch.path("archives")
+    # The table has no capture times; the page's number of seconds stands in.
+    time = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    manifest = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html", time.alias("time")), folder, scratch)
+    records = read_archives(merge_index(manifest, folder, scratch), folder)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "time")

@@ -333,7 +333,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 50) -> DataF
         kept.select("doc_id", "name", F.lit(False), "spans"))
 
 
-def _apply(length: int):
+def _apply(as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = flat_bytes(batch.column("text"))
@@ -358,26 +358,30 @@ def _apply(length: int):
                     pieces.append(text[last:a])
                     last = b
                 pieces.append(text[last:])
-                kept.append(b"".join(pieces))
-                removed.append(len(text) - len(kept[-1]))
+                removed.append(len(text) - sum(map(len, pieces)))
+                # As text, each piece loses the bytes of a character that was cut.
+                kept.append("".join(p.decode("utf-8", "ignore") for p in pieces) if as_text else b"".join(pieces))
                 runs.append([{"start": a, "end": b} for a, b in merged])
             arrays = [batch.column(c) for c in batch.schema.names if c not in ("text", "whole", "spans")]
             names = [c for c in batch.schema.names if c not in ("text", "whole", "spans")]
             yield pa.RecordBatch.from_arrays(
                 [*arrays, pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
-                 pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
+                 pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string() if as_text else pa.binary())],
                 names=[*names, "n_bytes", "n_removed", "removed", "kept"])
     return run
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 50, extra: list[Column] | None = None) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): ``doc_id``, ``n_bytes``, ``n_removed``, ``removed`` (maximal stretches), ``kept`` (bytes).
+def remove_repeats(
+    docs: DataFrame, scratch: Scratch, length: int = 50, *, extra: list[Column] | None = None, as_text: bool = False
+) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): ``doc_id``, ``n_bytes``, ``n_removed``, ``removed`` (maximal stretches), ``kept``.
 
-    Bytes are counted in UTF-8. ``extra`` columns of ``docs`` are carried along.
+    Bytes are counted in UTF-8. ``kept`` is bytes or, with ``as_text``, text without characters that lost some of their bytes.
+    ``extra`` columns of ``docs`` are carried along.
     """
     spans = repeated_spans(docs.select("doc_id", "text"), scratch, length)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(extra or [])).withColumn("name", F.xxhash64("text"))
     joined = rows.join(spans, ["doc_id", "name"], "left").drop("name")
     kept = [f for f in joined.schema if f.name not in ("text", "whole", "spans")]
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return joined.mapInArrow(_apply(length), f"{shape}, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
+    return joined.mapInArrow(_apply(as_text), f"{shape}, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept {'string' if as_text else 'binary'}")
