@@ -160,15 +160,13 @@ def _contexts(length: int):
     Of equal contexts in one task the one of the least document goes on; the others repeat it and are covered.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[bytes, tuple[int, int, int, int]] = {}
+        least: dict[bytes, list[tuple[int, int, int]]] = {}
 
         def flush() -> pa.RecordBatch:
-            keys = list(least)
-            out = rows(
-                [int.from_bytes(hashlib.blake2b(k[1 + k[0]:1 + k[0] + Q], digest_size=8).digest(), "big", signed=True) for k in keys],
-                [least[k][0] for k in keys], [least[k][1] for k in keys], [least[k][2] for k in keys], keys)
+            held = [(int.from_bytes(hashlib.blake2b(k[1 + k[0]:1 + k[0] + Q], digest_size=8).digest(), "big", signed=True), *place, k)
+                    for k, places in least.items() for place in places]
             least.clear()
-            return out
+            return rows(*zip(*held))
 
         def rows(bucket, doc, start, count, data) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -187,13 +185,16 @@ def _contexts(length: int):
                 place, first, last = at >> 16, (at >> 16) - (at >> 8 & 255), (at >> 16) - (at & 255)
                 for p, f, e in zip(place.tolist(), first.tolist(), last.tolist()):
                     key = bytes((p - f,)) + data[base + f:base + e + length]
-                    other = least.get(key)
-                    if other is None or other[0] > doc:
-                        if other is not None:
-                            covered.append(other)
-                        least[key] = (doc, f, e - f + 1)
-                    elif other[0] < doc:
-                        covered.append((doc, f, e - f + 1))
+                    mine, others = (doc, f, e - f + 1), least.get(key)
+                    if others is None:
+                        least[key] = [mine]
+                    elif others[0][0] > doc:
+                        covered += others
+                        least[key] = [mine]
+                    elif others[0][0] == doc:
+                        others.append(mine)
+                    else:
+                        covered.append(mine)
             if covered:
                 d, s, c = zip(*covered)
                 yield rows(d, d, s, c, [None] * len(d))

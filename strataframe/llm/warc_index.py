@@ -31,6 +31,8 @@ FAN_IN = 64
 #: Captures of a merge range and of a row group of a run; bytes of an archive.
 RANGE_ROWS = 1 << 16
 GROUP_ROWS = 1 << 12
+#: Sampled keys for each range that reach the driver, about.
+KEYS = 4
 ARCHIVE_BYTES = 1 << 28
 CRLF = b"\r\n"
 
@@ -144,8 +146,8 @@ def _run_rows(store, path: str, low: tuple | None, high: tuple | None) -> Iterat
                     yield row
 
 
-def _write_run(store, path: str, rows: Iterator[tuple]) -> tuple[int, tuple | None, tuple | None, list[tuple]]:
-    """Writes sorted rows; returns their number, first and last, and one key for each few of them."""
+def _write_run(store, path: str, rows: Iterator[tuple], every: int = 1 << 62) -> tuple[int, tuple | None, tuple | None, list[tuple]]:
+    """Writes sorted rows; returns their number, first and last, and one key for each ``every`` of them."""
     held, n, first, last, keys = [], 0, None, None, []
     with store.open_output_stream(path) as out, pq.ParquetWriter(out, CAPTURE, compression="zstd") as writer:
         def flush() -> None:
@@ -153,7 +155,7 @@ def _write_run(store, path: str, rows: Iterator[tuple]) -> tuple[int, tuple | No
             held.clear()
 
         for row in rows:
-            if n % (RANGE_ROWS // 64) == 0:
+            if n % every == 0:
                 keys.append(row)
             first, last, n = first or row, row, n + 1
             held.append(row)
@@ -196,7 +198,7 @@ def _archive_writer(folder: str):
         if rows:
             rows.sort()
             path = f"run-{uuid.uuid4().hex}.parquet"
-            n, first, last, keys = _write_run(store, f"{base}/{path}", iter(rows))
+            n, first, last, keys = _write_run(store, f"{base}/{path}", iter(rows), max(1, min(RANGE_ROWS // KEYS, len(rows) // 16)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([path]), pa.array([n]), pa.array([_as_row(first)], _ROW), pa.array([_as_row(last)], _ROW),
                  pa.array([[_as_row(k) for k in keys]], pa.list_(_ROW))], names=["run", "n", "first", "last", "keys"])
@@ -219,8 +221,14 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, min_bytes: i
 
 
 def splitters(manifest: DataFrame, range_rows: int = RANGE_ROWS) -> list[tuple]:
-    """Keys that cut all runs to ranges of about ``range_rows`` captures: one key for each so many captures reaches the driver."""
+    """Keys that cut all runs to ranges of about ``range_rows`` captures.
+
+    The keys sampled in the runs are thinned by their hash to about ``KEYS`` for each range before they reach the driver;
+    they decide how even the ranges are, never which rows are merged.
+    """
     keys = manifest.select(F.explode("keys").alias("k"), (F.col("n") / F.size("keys")).alias("weight"))
+    chance = F.least(F.lit(1.0), F.col("weight") * KEYS / range_rows)
+    keys = keys.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < chance * (1 << 30)).withColumn("weight", F.col("weight") / chance)
     out, weight = [], 0.0
     for row in sorted(keys.collect(), key=lambda r: tuple(r.k)):
         if weight >= range_rows:
