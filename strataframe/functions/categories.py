@@ -12,8 +12,6 @@ from pyspark.sql import Column, functions as F
 GROUPS = ("Invertebrates", "Bony fishes", "Jawless fishes", "Placoderms",
           "Chondrichthyans", "Non-avian reptiles", "Birds", "Mammals")
 ERAS = ("Paleozoic", "Mesozoic", "Cenozoic")
-PERIODS = ("Cambrian", "Ordovician", "Silurian", "Devonian", "Carboniferous", "Permian",
-           "Triassic", "Jurassic", "Cretaceous", "Paleogene", "Neogene", "Quaternary")
 GUILDS = ("Herbivore", "Micropredator", "Macropredator")
 VERTICALS = ("Benthic", "Benthopelagic", "Pelagic")
 HABITATS = ("Coastal", "Coastal/Oceanic", "Oceanic")

@@ -35,9 +35,3 @@ OCCURRENCES = _struct(
     primary_reso=_S, subgenus_name=_S, subgenus_reso=_S, species_reso=_S,
     lng=_D, lat=_D,
 )
-
-SYNONYMS = _struct(accepted_name_clean=_S, identified_name_clean=_S)
-
-SAMPLING_DRAWS = _struct(group_id=_S, samp_inx=_D)
-RISK_DRAWS = _struct(group=_S, group_id=_S, draw=T.LongType(), epred=_D)
-TIME_DRAWS = _struct(group=_S, group_id=_S, bin_occ=_I, draw=T.LongType(), linpred=_D)

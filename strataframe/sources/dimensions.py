@@ -77,6 +77,9 @@ class Intervals:
         ordered = tuple(sorted((tuple(r) for r in rows), key=lambda r: r[0]))
         if len(ordered) > MAX_DIMENSION_ROWS:
             raise ValueError(f"interval table has more than {MAX_DIMENSION_ROWS} rows")
+        # Binning returns positions; every other table joins on the ordinal.
+        if [r[0] for r in ordered] != list(range(1, len(ordered) + 1)):
+            raise ValueError("interval ordinals must be 1 to n")
         return cls(ordered)
 
     @classmethod

@@ -89,7 +89,10 @@ def drop_empty_sources(
 def drop_repeated_occurrences(df: DataFrame, key: str = "occurrence_no") -> DataFrame:
     """One row per occurrence: overlapping requests return the same one again.
 
+    Of rows that differ otherwise the least by all other columns stays, so that runs agree.
     Rows without a key cannot be told apart and all stay.
     """
-    keyed = df.where(F.col(key).isNotNull()).dropDuplicates([key])
+    rest = [c for c in df.columns if c != key]
+    least = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*rest)).alias("row"))
+    keyed = least.select(*[F.col(key) if c == key else F.col(f"row.`{c}`").alias(c) for c in df.columns])
     return keyed.unionByName(df.where(F.col(key).isNull()))

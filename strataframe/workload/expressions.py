@@ -113,19 +113,19 @@ def flatten_lists(spark, sf_dir):
 
 
 @query("pivot_collision", """
-SELECT user_id, """ + ", ".join(f"round(avg(value) FILTER (event_type = '{t}'), 6) AS mean_{t}" for t in ("click", "view", "purchase"))
+SELECT user_id, """ + ", ".join(f"round(avg(value) FILTER (event_type = '{t}'), 6) AS mean_{t}" for t in ("click", "view", "purchase", "signup", "error"))
     + " FROM events GROUP BY 1")
 def pivot_collision(spark, sf_dir):
     return rounded(pivot_values(src.table(spark, sf_dir, "events"), ["user_id"], "event_type",
-                                ["click", "view", "purchase"], {"mean": F.avg("value")}))
+                                ["click", "view", "purchase", "signup", "error"], {"mean": F.avg("value")}))
 
 
 @query("pivot_counts_fill", """
-SELECT user_id, count(*) FILTER (event_type = 'error' AND value > 200) AS error,
-  nullif(count(*) FILTER (event_type = 'signup' AND value > 200), 0) AS signup FROM events WHERE value > 200 GROUP BY 1""")
+SELECT user_id, count(*) FILTER (event_type = 'error') AS error, """ + ", ".join(
+    f"nullif(count(*) FILTER (event_type = '{t}'), 0) AS {t}" for t in ("click", "view", "purchase", "signup")) + " FROM events GROUP BY 1")
 def pivot_counts_fill(spark, sf_dir):
-    large = src.table(spark, sf_dir, "events").where(F.col("value") > 200)
-    return pivot_counts(large, ["user_id"], "event_type", ["error", "signup"], zero_fill=["error"])
+    events = src.table(spark, sf_dir, "events")
+    return pivot_counts(events, ["user_id"], "event_type", ["error", "click", "view", "purchase", "signup"], zero_fill=["error"])
 
 
 @query("math_suite", """
@@ -158,9 +158,8 @@ SELECT "group", count(*) FILTER (guild IS NOT NULL AND vertical IS NOT NULL) AS
 FROM traits GROUP BY 1"""))
 def drop_and_fill(spark, sf_dir):
     t = src.traits(spark, sf_dir)
-    kept = agg.counts(t.dropna(how="any", subset=["guild", "vertical"]), ["group"], "kept")
-    filled = t.fillna({"age_late_epoch": 0.0}).groupBy("group").agg(F.sum("age_late_epoch").alias("filled_sum"))
-    return kept.join(filled, "group", "full").fillna({"kept": 0})
+    whole = F.col("guild").isNotNull() & F.col("vertical").isNotNull()
+    return t.groupBy("group").agg(F.count_if(whole).alias("kept"), F.sum(F.coalesce("age_late_epoch", F.lit(0.0))).alias("filled_sum"))
 
 
 @query("replace_first_blank", "SELECT doc_id, CASE WHEN strpos(text, ' ') = 0 THEN text ELSE split_part(text, ' ', 1) || '%20' || text[strpos(text, ' ') + 1:] END AS escaped FROM documents")

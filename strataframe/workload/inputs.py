@@ -127,7 +127,7 @@ def raw_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
                 else concat(g, ' ', s) end as identified_name""",
         """case l_returnflag when 'R' then 'subjective synonym of' when 'A' then 'recombined as'
                 else 'misspelling of' end as difference""",
-        "case when l_quantity >= 50 then 'species' when l_quantity >= 49 then 'genus' else 'unranked clade' end as accepted_rank",
+        "case when l_partkey % 25 = 0 then 'unranked clade' when l_quantity >= 10 then 'species' else 'genus' end as accepted_rank",
         "g as genus",
         f"{_pick('st', *INTERVAL_NAMES)} as early_interval",
         f"if(l_linenumber % 3 <> 0, {_pick('least(st + l_linenumber % 3, 11)', *INTERVAL_NAMES)}, null) as late_interval",
@@ -278,8 +278,8 @@ RAW_OCCURRENCES_SQL = f"""raw_occurrences AS (
                            WHEN 'A' THEN g || ' aff. ' || s ELSE g || ' ' || s END AS identified_name,
          CASE l_returnflag WHEN 'R' THEN 'subjective synonym of' WHEN 'A' THEN 'recombined as'
                            ELSE 'misspelling of' END AS difference,
-         CASE WHEN l_quantity >= 50 THEN 'species' WHEN l_quantity >= 49 THEN 'genus'
-              ELSE 'unranked clade' END AS accepted_rank,
+         CASE WHEN l_partkey % 25 = 0 THEN 'unranked clade' WHEN l_quantity >= 10 THEN 'species'
+              ELSE 'genus' END AS accepted_rank,
          g AS genus,
          {_case('st', *INTERVAL_NAMES)} AS early_interval,
          CASE WHEN l_linenumber % 3 <> 0 THEN {_case('least(st + l_linenumber % 3, 11)', *INTERVAL_NAMES)} END AS late_interval,

@@ -167,11 +167,9 @@ def membership_flag_query(spark, sf_dir):
 
 @query("semi_join_members", """
 SELECT c_mktsegment, count(*) AS n FROM customer
-WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P') GROUP BY 1""")
+WHERE c_custkey IN (SELECT o_custkey FROM orders) GROUP BY 1""")
 def semi_join_members(spark, sf_dir):
-    urgent = src.table(spark, sf_dir, "orders").where(
-        (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P"))
-    kept = members_only(src.table(spark, sf_dir, "customer"), "c_custkey", urgent, "o_custkey")
+    kept = members_only(src.table(spark, sf_dir, "customer"), "c_custkey", src.table(spark, sf_dir, "orders"), "o_custkey")
     return kept.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -188,24 +186,23 @@ def nullsafe_left_join(spark, sf_dir):
 
 
 @query("full_join_coalesce", with_("""small AS (SELECT nullif(p_type, 'PROMO') AS kind, p_brand AS brand, count(*) AS n_small
-  FROM part WHERE p_size <= 3 GROUP BY ALL),
-large AS (SELECT nullif(p_type, 'PROMO') AS kind, p_brand AS brand, count(*) AS n_large FROM part WHERE p_size >= 48 GROUP BY ALL)""", """
+  FROM part WHERE p_size <= 30 GROUP BY ALL),
+large AS (SELECT nullif(p_type, 'PROMO') AS kind, p_brand AS brand, count(*) AS n_large FROM part WHERE p_size >= 20 GROUP BY ALL)""", """
 SELECT coalesce(s.kind, l.kind) AS kind, coalesce(s.brand, l.brand) AS brand, n_small, n_large
 FROM small s FULL JOIN large l ON s.kind IS NOT DISTINCT FROM l.kind AND s.brand IS NOT DISTINCT FROM l.brand"""))
 def full_join_coalesce(spark, sf_dir):
     keyed = src.table(spark, sf_dir, "part").select(
         F.nullif("p_type", F.lit("PROMO")).alias("kind"), F.col("p_brand").alias("brand"), "p_size")
     sides = [keyed.where(cond).groupBy("kind", "brand").agg(F.count(F.lit(1)).alias(name))
-             for cond, name in ((F.col("p_size") <= 3, "n_small"), (F.col("p_size") >= 48, "n_large"))]
+             for cond, name in ((F.col("p_size") <= 30, "n_small"), (F.col("p_size") >= 20, "n_large"))]
     return nullsafe_join(*sides, ["kind", "brand"], "full")
 
 
 @query("correlated_count", """
 SELECT c_custkey, c_mktsegment, count(o_orderkey) AS occurrences FROM customer
-LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' GROUP BY 1, 2""")
+LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2""")
 def correlated_count(spark, sf_dir):
-    orders = src.table(spark, sf_dir, "orders").where(
-        (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT"))
+    orders = src.table(spark, sf_dir, "orders")
     names = src.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     return count_by_name(names, "c_custkey", orders, "o_custkey")
 

@@ -14,8 +14,6 @@ from strataframe.workload import inputs as src, query
 from strataframe.workload.common import rounded
 from strataframe.workload.inputs import INTERVALS, with_
 
-LEVELS = ("Macropredator", "Micropredator", "Herbivore", "Benthic", "Benthopelagic", "Pelagic",
-          "Coastal", "Coastal/Oceanic", "Oceanic")
 LONG_SQL = f"""{src.TRAITS_SQL},
 long AS (SELECT * FROM (SELECT early_era, "group", max_size_m, age_early_epoch, age_late_epoch, vertical, habitat, guild FROM traits)
   UNPIVOT INCLUDE NULLS (eco_val FOR eco_trait IN (vertical, habitat, guild)))"""
@@ -197,14 +195,13 @@ def clade_summary(spark, sf_dir):
 
 
 @query("clade_era_complete", with_(f"""{src.TRAITS_SQL},
-sizes AS (SELECT clade, early_era, max(max_size_m) AS max_size FROM traits WHERE max_size_m >= 24 GROUP BY 1, 2)""", """
+sizes AS (SELECT clade, early_era, max(max_size_m) AS max_size FROM traits GROUP BY 1, 2)""", """
 SELECT c.clade, e.era AS early_era, coalesce(s.max_size, 0) AS max_size, g."group"
 FROM (SELECT DISTINCT clade FROM sizes) c CROSS JOIN (VALUES ('Paleozoic'), ('Mesozoic'), ('Cenozoic')) e(era)
 LEFT JOIN sizes s ON s.clade = c.clade AND s.early_era = e.era
-JOIN (SELECT DISTINCT clade, "group" FROM traits WHERE max_size_m >= 24) g ON g.clade = c.clade"""))
+JOIN (SELECT DISTINCT clade, "group" FROM traits) g ON g.clade = c.clade"""))
 def clade_era_complete(spark, sf_dir):
-    # Large taxa only, so that some clade and era pairs are absent.
-    return reports.clade_sizes_by_era(src.traits(spark, sf_dir).where(F.col("max_size_m") >= 24))
+    return reports.clade_sizes_by_era(src.traits(spark, sf_dir))
 
 
 @query("leader_with_ties", """
