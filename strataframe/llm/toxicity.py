@@ -1,8 +1,10 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary text and one on what sets toxic text apart;
-each short window of a text is compressed with the ordinary dictionary and with the toxic one put on top of
-it, and the bytes saved are counted at several thresholds. A logistic model on a second half of the
+each short window of whole words is compressed with the ordinary dictionary and with the toxic one put on top of
+it, and the bytes saved are counted at several thresholds. Both start with one passage that both dictionaries end in, so that a
+single short word more is seen in the length, and the ordinary dictionary is filled up to the same length, so that nothing but
+toxic words makes a difference. A logistic model on a second half of the
 labelled sample calibrates these counts, normalised by the text's length, to a score.
 
 The fit takes a sample of labelled rows bounded by ``per_class`` (rows of each class, of at most ``FIT_BYTES``
@@ -15,6 +17,7 @@ columns stay as they are.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,12 +32,16 @@ from strataframe.llm.shared import flat_bytes
 #: Labelled rows of each class in the fit, about.
 PER_CLASS = 4000
 FIT_BYTES = 1 << 16
-WINDOW, STEP = 60, 40
+#: A window: this many bytes, to the end of the word (of at most 64 bytes more).
+WINDOW = re.compile(rb"[\s\S]{1,12}\S{0,64}\s*")
+CARRIER = bytes(range(128, 160)) + b" "
 #: Bytes saved in a window, from which it counts.
 STEPS = np.arange(1, 9)
 ORDINARY_BYTES, TOXIC_BYTES = 14_000, 2_000
 #: A word beginning is toxic if this share of toxic texts has it, and that many times the share of ordinary ones.
 TOXIC_SHARE, TOXIC_RATIO = 0.015, 25
+#: A word with such a beginning is in the dictionary if it occurs this often for each toxic text.
+WORD_SHARE = 0.003
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,7 +60,7 @@ def _beginnings(text: bytes) -> set[bytes]:
 
 
 def _windows(text: bytes) -> list[bytes]:
-    return [text[i:i + WINDOW] for i in range(0, max(1, len(text) - (WINDOW - STEP)), STEP)] if text else []
+    return [CARRIER + w for w in WINDOW.findall(text)]
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -74,7 +81,7 @@ class Model:
 
     def compressors(self) -> tuple:
         out = []
-        for content in (self.ordinary, self.ordinary + self.toxic):
+        for content in (self.ordinary + bytes(len(self.toxic)) + CARRIER, self.ordinary + self.toxic + CARRIER):
             how = zs.ZstdCompressionParameters(
                 window_log=15, hash_log=15, chain_log=15, search_log=1, min_match=5, target_length=0, strategy=zs.STRATEGY_DFAST,
                 write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -119,7 +126,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float, seed: int = 7) -> M
         for word in t.split():
             word = b" " + word
             if any(word[:n] in marks for n in range(5, 9)):
-                words[word + b" "] += 1
+                words[word.rstrip(b".,!?;:") + b" "] += 1
+    words = Counter({w: n for w, n in words.items() if n >= max(2, WORD_SHARE * len(tox))})
     windows = [t[i:i + 256] for t in ok for i in range(0, len(t), 256)]
     windows = [windows[i] for i in rng.permutation(len(windows))[:30_000]]
     content = b"".join(w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])))
