@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strataframe.functions.binning import histogram_bin
 from strataframe.operators.quantiles import exact_quantiles
-from strataframe.sources.dimensions import settle
 
 GRID = 512
 
@@ -52,14 +51,14 @@ def kernel_density(
 
     Linear binning on a ``grid``-point axis reaching four bandwidths beyond the
     range, Gaussian smoothing of the binned weights, linear interpolation between
-    axis points. The bandwidths are settled first, so the raw rows only meet a small
-    table and one partial aggregate; what follows works on at most ``grid`` rows per
+    axis points. The raw rows only meet the bandwidths, one row per key,
+    and one partial aggregate; what follows works on at most ``grid`` rows per
     key. ``lower_bound`` folds the mass below it back. A key with a single value has
     no curve.
     """
     points = out_points or grid
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
-    bw = settle(bandwidths(rows, "__x", by))
+    bw = bandwidths(rows, "__x", by)
     start = bw.agg(F.min("lo")).scalar() if lower_bound is None else F.lit(float(lower_bound))
     stop = bw.agg(F.max("hi")).scalar()
     axis = bw.where(F.col("bw").isNotNull()).select(

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strataframe.operators.quantiles import exact_quantiles
 from strataframe.operators.reshape import pivot_values
-from strataframe.sources.dimensions import settle
 
 MEDIAN_QI = {"lower": 0.025, "median": 0.5, "upper": 0.975}
 HALF_EYE = {"lower_95": 0.025, "lower_66": 0.17, "median": 0.5, "upper_66": 0.83, "upper_95": 0.975}
@@ -44,8 +43,8 @@ def contrast_draws(
 
 
 def with_group_mean(df: DataFrame, value: str, by: Sequence[str], out: str) -> DataFrame:
-    """Group mean on every row; the means are settled first, so rows stay where they are."""
-    means = settle(df.groupBy(*[F.col(k).alias(f"__k_{k}") for k in by]).agg(F.avg(value).alias(out)))
+    """Group mean on every row. Rows stay where they are while the means are few enough to broadcast."""
+    means = df.groupBy(*[F.col(k).alias(f"__k_{k}") for k in by]).agg(F.avg(value).alias(out))
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by])
     return df.join(means, on).drop(*[f"__k_{k}" for k in by])
 

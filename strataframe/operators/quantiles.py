@@ -15,17 +15,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataframe.functions.binning import tree_text
-from strataframe.sources.dimensions import bounded_sample, settle
 
 COARSE, FINE = 64, 64
 
 
 def value_bucket(df: DataFrame, value: str) -> Column:
-    """Monotone bucket number of a double: sampled splits, each cut into equal widths."""
-    seen = df.select(value).where(F.col(value).isNotNull() & ~F.isnan(value))
-    sample = sorted({r[0] for r in bounded_sample(seen)})
-    points = sorted({sample[len(sample) * i // COARSE] for i in range(1, COARSE)}) if sample else []
-    points = [p for p in points if math.isfinite(p)]
+    """Monotone bucket number of a double: splits near the quantiles, each cut into equal widths.
+
+    The outermost splits are the extremes, so no value lies in an uncut bucket.
+    """
+    seen = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < math.inf))
+    shares = [i / COARSE for i in range(COARSE + 1)]
+    points = sorted(set(seen.agg(F.percentile_approx(value, shares, 10 * COARSE)).first()[0] or []))
     if not points:
         return F.lit(0).cast("long")
     leaves = ["0L"]
@@ -68,9 +69,9 @@ def exact_quantiles(
     position = [(F.col("__total") - 1) * F.lit(float(p)) for p in probs]
     ranks = [r.cast("long") for h in position for r in (F.floor(h), F.ceil(h))]
     hit = reduce(lambda a, b: a | b, [(r >= F.col("__before")) & (r < F.col("__upto")) for r in ranks])
-    wanted = settle(located.where(hit).select(
+    wanted = located.where(hit).select(
         *[F.col(k).alias(f"__w_{k}") for k in keys], F.col("__b").alias("__wb"), "__total", "__before"
-    ))
+    )
     candidates = (
         tagged.join(wanted, _same(keys, "__w_") & (F.col("__b") == F.col("__wb")))
         .groupBy(*keys, "__b", "__total", "__before", "__v").agg(F.count(F.lit(1)).alias("__n"))

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from strataframe.operators.aggregates import strict_max
-from strataframe.sources.dimensions import bounded_sample, settle
+from strataframe.sources.dimensions import bounded_sample
 
 
 def _split_points(df: DataFrame, order: Sequence[str], buckets: int) -> list:
@@ -98,14 +98,14 @@ def global_row_number(
 def leaders(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Rows at their group's maximum, ties kept; a group holding a null value gives none.
 
-    The maxima are settled first. While they are few the rows are filtered in place;
+    While the maxima are few adaptive execution filters the rows in place;
     beyond that the join hashes on key and value, which keeps a hot group apart.
     """
     top = df.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(
         strict_max(F.col(value)).alias("__top")
     )
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
-    wanted = settle(top.where(F.col("__top").isNotNull()))
+    wanted = top.where(F.col("__top").isNotNull())
     return df.join(wanted, on & (F.col(value) == F.col("__top")), "left_semi")
 
 

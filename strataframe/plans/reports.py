@@ -22,7 +22,7 @@ from strataframe.operators.reshape import complete, unpivot
 from strataframe.functions.binning import era_of_age
 from strataframe.plans.stages import genus_groups
 from strataframe.plans.traits import attach_epoch_values
-from strataframe.sources.dimensions import Intervals, settle
+from strataframe.sources.dimensions import Intervals, small_table
 
 TRAITS = ("vertical", "habitat", "guild")
 TRAIT_LEVELS = (*reversed(cat.GUILDS), *cat.VERTICALS, *cat.HABITATS)
@@ -111,7 +111,7 @@ def missing_at_random(
     is made of leaves a constant response, which is refused.
     """
     flagged = traits.withColumn("missing", any_null(traits_checked)).dropna(subset=list(predictors))
-    cells = settle(counts(flagged, [*predictors, "missing"]))
+    cells = small_table(counts(flagged, [*predictors, "missing"]))
     terms = [t for p in predictors for t in treatment_terms(cells, p)]
     return logistic_fit(cells, "missing", "n", terms)
 

@@ -17,7 +17,7 @@ from strataframe.operators.joins import expand_levels
 from strataframe.operators.regression import logistic_fit, treatment_terms
 from strataframe.operators.reshape import pivot_values
 from strataframe.plans.stages import BASELINE, LARGE
-from strataframe.sources.dimensions import Intervals, settle
+from strataframe.sources.dimensions import Intervals, small_table
 
 SIDES = (BASELINE, LARGE)
 
@@ -43,7 +43,7 @@ def prediction_grid(signal: DataFrame) -> DataFrame:
 
 def risk_model(signal: DataFrame) -> DataFrame:
     """Logistic fit of the signal on side, group and their interaction."""
-    cells = settle(counts(signal, ["group", "group_id", "ext_signal"], "n"))
+    cells = small_table(counts(signal, ["group", "group_id", "ext_signal"], "n"))
     side = (F.col("group_id") == LARGE).cast("double")
     groups = treatment_terms(cells, "group")
     terms = [(LARGE, side), *groups, *[(f"{LARGE}:{n}", side * c) for n, c in groups]]
@@ -52,7 +52,7 @@ def risk_model(signal: DataFrame) -> DataFrame:
 
 def risk_model_through_time(signal: DataFrame) -> DataFrame:
     """Logistic fit with a slope over stages for each side and group."""
-    cells = settle(counts(signal, ["group", "group_id", "bin_occ", "ext_signal"], "n"))
+    cells = small_table(counts(signal, ["group", "group_id", "bin_occ", "ext_signal"], "n"))
     stage = F.col("bin_occ").cast("double")
     sides = {s: (F.col("group_id") == s).cast("double") * stage for s in SIDES}
     groups = treatment_terms(cells, "group")

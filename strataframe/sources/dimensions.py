@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from strataframe.functions.binning import MAX_TREE_BREAKS
 from strataframe.schemas import INTERVAL_KEYS, STAGES
 
 MAX_DIMENSION_ROWS = 10_000
@@ -53,17 +54,9 @@ def bounded_sample(df: DataFrame, size: int = 8_192) -> list:
     return (df if n <= size else df.sample(size / n, seed=11)).collect()
 
 
-def settle(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
-    """Compute a small aggregate once, so that its size is known before it is used again.
-
-    Up to ``max_rows`` rows become a local table to broadcast: raw rows then meet it
-    without a shuffle. A bigger one stays distributed and is cached, its rows never
-    meet on the driver, and joins with it shuffle.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df.persist()
-    return F.broadcast(literal_table(df.sparkSession, rows, df.schema))
+def small_table(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
+    """The counts that a fit iterates over, computed once and held inline; more than ``max_rows`` rows are refused."""
+    return literal_table(df.sparkSession, take_dimension(df, max_rows), df.schema)
 
 
 @dataclass(frozen=True)
@@ -75,8 +68,8 @@ class Intervals:
     @classmethod
     def from_rows(cls, rows: Iterable[Sequence]) -> "Intervals":
         ordered = tuple(sorted((tuple(r) for r in rows), key=lambda r: r[0]))
-        if len(ordered) > MAX_DIMENSION_ROWS:
-            raise ValueError(f"interval table has more than {MAX_DIMENSION_ROWS} rows")
+        if len(ordered) > MAX_TREE_BREAKS:
+            raise ValueError(f"interval table has more than {MAX_TREE_BREAKS} rows")
         # Binning returns positions; every other table joins on the ordinal.
         if [r[0] for r in ordered] != list(range(1, len(ordered) + 1)):
             raise ValueError("interval ordinals must be 1 to n")
