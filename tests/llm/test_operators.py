@@ -224,6 +224,22 @@ def test_cutoffs_hold_on_good_documents(spark):
         assert (fresh > r.cutoff).mean() <= 0.02 and r.holdout == 3000
 
 
+def test_few_labels_still_reject_what_no_good_document_has(spark):
+    # 300 good labels in each of four strata; rules as in the registered query, two of them zero nearly everywhere.
+    rng = np.random.default_rng(3)
+    rules = ["a", "b", "c", "d"]
+    rows = [(s, i % 5 > 0, 0.0, float(0.01 * (rng.random() < 0.02)), float(rng.gamma(1)), float(rng.normal(5, 0.2))) for s in "wxyz" for i in range(300)]
+    found = cutoffs(spark.createDataFrame(rows, "stratum string, holdout boolean, a double, b double, c double, d double"), rules).collect()
+    cuts = {(r.stratum, r.rule): r.cutoff for r in found}
+    assert set(cuts) == {(s, r) for s in "wxyz" for r in rules} and all(r.holdout == 240 for r in found)
+    for s in "wxyz":
+        held = [r[2:] for r in rows if r[0] == s and r[1]]
+        over = sum(any(v > cuts[s, r] for v, r in zip(h, rules)) for h in held)
+        assert over == next(r.rejected for r in found if r.stratum == s)
+        assert 4 * sum(comb(240, i) * 0.02 ** i * 0.98 ** (240 - i) for i in range(over + 1)) <= 0.05
+        assert 0.1 > cuts[s, "a"] and 30 > cuts[s, "d"]
+
+
 def test_judge_empty(scratch, nothing, spark):
     assert judge(nothing, spark.createDataFrame([], "doc_id long, quality int"), scratch).count() == 0
 
