@@ -28,9 +28,8 @@ ROLES = {"system": SYSTEM, "user": USER, "assistant": ASSISTANT}
 NAMES = ("", "system", "user", "assistant")
 #: States a state may be followed by with a new message.
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
-#: Costs are multiples of this; the rest counts messages.
-UNIT = 1 << 40
-NEVER = 1 << 62
+#: A cost is a pair (cost, messages), compared in this order; sums are exact however long the conversation. This one is infinite.
+NEVER = (float("inf"), 0)
 
 
 @dataclass(frozen=True)
@@ -40,7 +39,11 @@ class Costs:
     insert: int = 4
 
 
-def moves(costs: Costs) -> dict[int, list[tuple[int, int, int, str, int]]]:
+def plus(a: tuple, b: tuple) -> tuple:
+    return a[0] + b[0], a[1] + b[1]
+
+
+def moves(costs: Costs) -> dict[int, list[tuple[int, int, tuple, str, int]]]:
     """By role of a turn (0: unknown) its moves: from state, to state, cost, action, state of an empty message put before."""
     out = {}
     for role in range(4):
@@ -50,53 +53,53 @@ def moves(costs: Costs) -> dict[int, list[tuple[int, int, int, str, int]]]:
                 base = 0 if role in (START, to) else costs.relabel
                 said = "keep" if role == to else "relabel"
                 if to in LEGAL[state]:
-                    rows.append((state, to, base * UNIT + 1, said, START))
+                    rows.append((state, to, (base, 1), said, START))
                 if to == state:
-                    rows.append((state, to, (base + costs.merge) * UNIT, "merge" if said == "keep" else "relabel and merge", START))
+                    rows.append((state, to, (base + costs.merge, 0), "merge" if said == "keep" else "relabel and merge", START))
                 for between in LEGAL[state]:
                     if to in LEGAL[between]:
-                        rows.append((state, to, (base + costs.insert) * UNIT + 2, "insert and " + said, between))
+                        rows.append((state, to, (base + costs.insert, 2), "insert and " + said, between))
         out[role] = rows
     return out
 
 
-def closing(state: int, costs: Costs) -> tuple[int, list[int]]:
+def closing(state: int, costs: Costs) -> tuple[tuple, list[int]]:
     """Cost and empty messages that end a conversation in a state legally."""
     if state in (START, ASSISTANT):
-        return 0, []
+        return (0, 0), []
     added = [ASSISTANT] if state == USER else [USER, ASSISTANT]
-    return costs.insert * UNIT * len(added) + len(added), added
+    return (costs.insert * len(added), len(added)), added
 
 
-def step(reached: list[int], rows: list[tuple], back: list | None = None) -> list[int]:
+def step(reached: list[tuple], rows: list[tuple], back: list | None = None) -> list[tuple]:
     out, chosen = [NEVER] * 4, [None] * 4
     for move in rows:
-        cost = reached[move[0]] + move[2]
-        if cost < out[move[1]]:
+        cost = plus(reached[move[0]], move[2])
+        if cost < out[move[1]] and cost[0] < NEVER[0]:
             out[move[1]], chosen[move[1]] = cost, move
     if back is not None:
         back.append(chosen)
     return out
 
 
-def matrix(roles: list[int], table: dict) -> list[list[int]]:
+def matrix(roles: list[int], table: dict) -> list[list[tuple]]:
     """Costs from each state to each through the turns."""
     out = []
     for state in range(4):
-        reached = [0 if s == state else NEVER for s in range(4)]
+        reached = [(0, 0) if s == state else NEVER for s in range(4)]
         for role in roles:
             reached = step(reached, table[role])
-        out.append([min(c, NEVER) for c in reached])
+        out.append(reached)
     return out
 
 
 def path(roles: list[int], start: int, end: int | None, table: dict, costs: Costs) -> tuple[list[tuple], int]:
     """The cheapest moves from a state, to a state or to a legal end; and the last state."""
-    reached, back = [0 if s == start else NEVER for s in range(4)], []
+    reached, back = [(0, 0) if s == start else NEVER for s in range(4)], []
     for role in roles:
         reached = step(reached, table[role], back)
     if end is None:
-        end = min((s for s in range(4) if reached[s] < NEVER), key=lambda s: (reached[s] + closing(s, costs)[0], s))
+        end = min((s for s in range(4) if reached[s] < NEVER), key=lambda s: (plus(reached[s], closing(s, costs)[0]), s))
     out, state = [], end
     for chosen in reversed(back):
         out.append(chosen[state])
@@ -133,12 +136,18 @@ def _edges(costs: Costs):
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([s[0] for s in seen], pa.int32()), pa.array([s[1] for s in seen], pa.int64()), pa.array([s[2] for s in seen], pa.int64()),
-                 pa.array([[c for r in s[3] for c in r] for s in seen], pa.list_(pa.int64()))], names=["part", "conv_id", "turns", "costs"])
+                 pa.array([[None if c[0] == NEVER[0] else c[0] for r in s[3] for c in r] for s in seen], pa.list_(pa.int64())),
+                 pa.array([[c[1] for r in s[3] for c in r] for s in seen], pa.list_(pa.int64()))], names=["part", "conv_id", "turns", "costs", "messages"])
     return run
 
 
-def chain(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
-    return [[min(min(a[s][m] + b[m][t] for m in range(4)), NEVER) for t in range(4)] for s in range(4)]
+def _least(sums) -> tuple:
+    """The least pair; every infinite one is ``NEVER``."""
+    return min((c for c in sums if c[0] < NEVER[0]), default=NEVER)
+
+
+def chain(a: list[list[tuple]], b: list[list[tuple]]) -> list[list[tuple]]:
+    return [[_least(plus(a[s][m], b[m][t]) for m in range(4)) for t in range(4)] for s in range(4)]
 
 
 def boundaries(edges: list, costs: Costs) -> dict[tuple, tuple]:
@@ -150,19 +159,20 @@ def boundaries(edges: list, costs: Costs) -> dict[tuple, tuple]:
         j = i + 1
         while j < len(edges) and edges[j].conv_id == edges[i].conv_id and edges[j].part > edges[j - 1].part:
             j += 1
-        steps = [[list(e.costs[4 * s:4 * s + 4]) for s in range(4)] for e in edges[i:j]]
-        reached = [[0, NEVER, NEVER, NEVER]]
+        flat = [[NEVER if c is None else (c, n) for c, n in zip(e.costs, e.messages)] for e in edges[i:j]]
+        steps = [[m[4 * s:4 * s + 4] for s in range(4)] for m in flat]
+        reached = [[(0, 0), NEVER, NEVER, NEVER]]
         for m in steps:
-            reached.append([min(min(reached[-1][s] + m[s][t] for s in range(4)), NEVER) for t in range(4)])
-        state = min((s for s in range(4) if reached[-1][s] < NEVER), key=lambda s: (reached[-1][s] + closing(s, costs)[0], s))
+            reached.append([_least(plus(reached[-1][s], m[s][t]) for s in range(4)) for t in range(4)])
+        state = min((s for s in range(4) if reached[-1][s] < NEVER), key=lambda s: (plus(reached[-1][s], closing(s, costs)[0]), s))
         states = [state]
         for k in range(len(steps) - 1, -1, -1):
-            state = min(range(4), key=lambda s: (reached[k][s] + steps[k][s][state], s))
+            state = min(range(4), key=lambda s: (plus(reached[k][s], steps[k][s][state]), s))
             states.append(state)
         states = states[::-1]
         turns = 0
         for k, e in enumerate(edges[i:j]):
-            messages = reached[k][states[k]] % UNIT if k else 0
+            messages = reached[k][states[k]][1]
             out[(e.part, e.conv_id)] = (turns, messages, states[k], states[k + 1] if k + 1 < j - i else None)
             turns += e.turns
         i = j
@@ -233,6 +243,6 @@ def repair_roles(turns: DataFrame, scratch: Scratch, *, costs: Costs = Costs())
     rows = scratch.write(rows.withColumn("part", F.spark_partition_id()), "turns")
     # The files are read in pieces of any size, so the parts are dealt anew by their number.
     dealt = rows.repartition("part").sortWithinPartitions("part", *order)
-    edges = dealt.select("part", "conv_id", "role").mapInArrow(_edges(costs), "part int, conv_id long, turns long, costs array<long>").collect()
+    edges = dealt.select("part", "conv_id", "role").mapInArrow(_edges(costs), "part int, conv_id long, turns long, costs array<long>, messages array<long>").collect()
     known = turns.sparkSession.sparkContext.broadcast(boundaries(edges, costs))
     return dealt.mapInArrow(_repair(costs, known), SCHEMA)

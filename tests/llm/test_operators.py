@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 from math import comb
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -419,6 +420,28 @@ def test_role_repair_matrices_chain():
         assert role_repair.chain(role_repair.matrix(roles[:cut], table), role_repair.matrix(roles[cut:], table)) == role_repair.matrix(roles, table)
 
 
+def test_role_repair_beyond_the_old_cap():
+    # 2^25 user turns in one conversation: every second one is relabelled, which costs over 2^22.
+    costs = role_repair.Costs()
+    table = role_repair.moves(costs)
+    rows = role_repair.matrix([role_repair.USER] * 4096, table)
+    for _ in range(12):
+        rows = role_repair.chain(rows, rows)
+    part = lambda k: SimpleNamespace(
+        part=k, conv_id=None, turns=1 << 24, costs=[None if c == role_repair.NEVER else c[0] for r in rows for c in r], messages=[c[1] for r in rows for c in r])
+    ends = role_repair.boundaries([part(0), part(1)], costs)
+    assert rows[role_repair.START][role_repair.ASSISTANT] == (costs.relabel << 23, 1 << 24)
+    assert ends == {(0, None): (0, 0, role_repair.START, role_repair.ASSISTANT), (1, None): (1 << 24, 1 << 24, role_repair.ASSISTANT, None)}
+
+
+def test_role_repair_costs_beyond_the_old_cap_in_one_part(spark, scratch):
+    price = 1 << 22
+    rows = [(None, t, "user", f"u{t}") for t in range(3)]
+    out = role_repair.repair_roles(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), scratch,
+                                   costs=role_repair.Costs(price, price, price)).collect()
+    assert sorted((r.turn for r in out if r.turn is not None)) == [0, 1, 2] and max(r.message_no for r in out) == 2
+
+
 def test_role_repair_empty(spark, scratch):
     assert role_repair.repair_roles(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), scratch).count() == 0
 
