@@ -1,6 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on what sets toxic text apart;
+Two zstandard dictionaries are used. The ordinary one is trained on ordinary text. The toxic one is not trained: it is the whole list
+of the words whose beginnings are much more frequent in toxic than in ordinary text, most frequent first, joined raw. It decides what saves
+bytes, so the method is a list of words weighed by compression. Dictionaries trained on whole toxic texts found few toxic texts, since
+nearly all of a toxic text is ordinary (figures in the README);
 each short window of whole words is compressed with the ordinary dictionary and with the toxic one put on top of
 it, and the bytes saved are counted at several thresholds. Both start with one passage that both dictionaries end in, so that a
 single short word more is seen in the length, and the ordinary dictionary is filled up to the same length, so that nothing but
@@ -37,7 +40,7 @@ WINDOW = re.compile(rb"[\s\S]{1,12}\S{0,64}\s*")
 CARRIER = bytes(range(128, 160)) + b" "
 #: Bytes saved in a window, from which it counts.
 STEPS = np.arange(1, 9)
-ORDINARY_BYTES, TOXIC_BYTES = 14_000, 2_000
+ORDINARY_BYTES = 14_000
 #: A word beginning is toxic if this share of toxic texts has it, and that many times the share of ordinary ones.
 TOXIC_SHARE, TOXIC_RATIO = 0.015, 25
 #: A word with such a beginning is in the dictionary if it occurs this often for each toxic text.
@@ -81,9 +84,11 @@ class Model:
 
     def compressors(self) -> tuple:
         out = []
+        # The window and its tables hold both dictionaries, however long the list.
+        log = max(15, (len(self.ordinary) + len(self.toxic) + 1024).bit_length())
         for content in (self.ordinary + bytes(len(self.toxic)) + CARRIER, self.ordinary + self.toxic + CARRIER):
             how = zs.ZstdCompressionParameters(
-                window_log=15, hash_log=15, chain_log=15, search_log=1, min_match=5, target_length=0, strategy=zs.STRATEGY_DFAST,
+                window_log=log, hash_log=log, chain_log=log, search_log=1, min_match=5, target_length=0, strategy=zs.STRATEGY_DFAST,
                 write_content_size=False, write_checksum=False, write_dict_id=False)
             words = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
             words.precompute_compress(compression_params=how)
@@ -131,8 +136,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float, seed: int = 7) -> M
     windows = [t[i:i + 256] for t in ok for i in range(0, len(t), 256)]
     windows = [windows[i] for i in rng.permutation(len(windows))[:30_000]]
     content = b"".join(w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])))
-    model = Model(_trained(windows, ORDINARY_BYTES), content[:TOXIC_BYTES] if len(content) <= 2 * TOXIC_BYTES else _trained(
-        [w for w, n in words.items() for _ in range(min(n, 20))], TOXIC_BYTES), None, None, None)
+    model = Model(_trained(windows, ORDINARY_BYTES), content, None, None, None)
     a, b = (c.compress for c in model.compressors())
     rest = np.flatnonzero(~half)
     x, y = np.array([features(texts[i], a, b) for i in rest]), toxic[rest].astype(float)

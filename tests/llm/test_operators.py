@@ -27,7 +27,7 @@ from strataframe.llm.packing import Encoder, differencing, pack
 from strataframe.llm.risk_thresholds import cutoffs, judge
 from strataframe.llm.shared import flat_bytes
 from strataframe.llm.suffix_dedup import refined, remove_repeats
-from strataframe.llm.toxicity import held_out, score, train
+from strataframe.llm.toxicity import features, fit, held_out, score, train
 from strataframe.llm.url_filter import judge_urls
 from strataframe.llm.warc_index import LoserTree, merge_index, parse, read_archives, url_key, write_archives
 
@@ -315,6 +315,20 @@ def test_toxicity_finds_planted_words(spark):
     assert {r.score for r in out if not r.text} == {next(r.score for r in out if r.text == "")}
 
 
+def test_toxicity_keeps_a_long_list_whole():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    plain, bad = [word() for _ in range(300)], [word() for _ in range(500)]
+    toxic = np.array([i % 4 == 0 for i in range(2400)])
+    texts = [" ".join([rng.choice(plain) for _ in range(60)] + [rng.choice(bad) for _ in range(40 * int(t))]).encode() for t in toxic]
+    model = fit(texts, toxic, 0.25)
+    assert len(model.toxic) > 4000 and all(f" {w} ".encode() in model.toxic for w in bad)
+    a, b = (c.compress for c in model.compressors())
+    held = [" ".join([rng.choice(plain) for _ in range(60)] + [w, *bad[i:i + 4]]).encode() for i, w in enumerate(bad[:100])]
+    assert (model.scores(np.array([features(t, a, b) for t in held]))
+            > model.scores(np.array([features(" ".join(plain[:64]).encode(), a, b)]))[0]).all()
+
+
 def test_toxicity_without_labels(messy, nothing, spark):
     docs = messy.drop("score")
     model = train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
