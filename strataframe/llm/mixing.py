@@ -125,10 +125,12 @@ class Mix:
         starts = buckets.withColumn("before", F.coalesce(F.sum("words").over(start), F.lit(0))).select("source", "bucket", "before")
         named = (starts.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
                  .select("b.source", "b.bucket", "b.before", "p.source_size", "p.target", "p.passes", "p.rest", "p.full", "p.per_pass"))
-        within = Window.partitionBy("source", "bucket").orderBy("spread", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-        placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+        order = Window.partitionBy("source", "bucket").orderBy("spread", "doc_id")
+        before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # The number tells repeated rows without words apart, which start at one place.
+        placed = rows.withColumn("inside", before).withColumn("row", F.row_number().over(order))
         placed = (placed.alias("r").join(named.alias("n"), F.col("r.source").eqNullSafe(F.col("n.source")) & (F.col("r.bucket") == F.col("n.bucket")))
-                  .select("doc_id", "r.source", "size", "spread", (F.col("before") + F.col("inside")).alias("start"), "source_size", "target",
+                  .select("doc_id", "r.source", "size", "r.bucket", "row", (F.col("before") + F.col("inside")).alias("start"), "source_size", "target",
                           "passes", "rest", "full", "per_pass"))
         self._placed = placed
 
@@ -179,5 +181,5 @@ class Mix:
 
     def documents(self, seed: int = 21, shard_words: int = SHARD_WORDS) -> DataFrame:
         """One row per document: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` (words of its pieces)."""
-        return self._dealt(seed, shard_words).groupBy("doc_id", "source", "start", "spread", "size", "source_size", "target").agg(
-            F.coalesce(F.sum(F.when(F.col("shard").isNotNull(), F.col("words"))), F.lit(0)).alias("taken")).drop("start", "spread")
+        return self._dealt(seed, shard_words).groupBy("doc_id", "source", "bucket", "row", "size", "source_size", "target").agg(
+            F.coalesce(F.sum(F.when(F.col("shard").isNotNull(), F.col("words"))), F.lit(0)).alias("taken")).drop("bucket", "row")

@@ -288,6 +288,12 @@ def test_mix_meets_targets(spark, scratch):
     assert max(per_shard.values()) - min(per_shard.values()) <= 1
 
 
+def test_mix_keeps_repeated_rows_without_words(spark, scratch):
+    rows = [(1, None, "a")] * 3 + [(None, " ", "a")] * 2 + [(2, "x y", "a")] * 2 + [(3, "", None)] * 2
+    mix = Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), scratch, weights=(1,), total_share=1.0, most_times=1)
+    assert Counter((r.doc_id, r.size, r.taken) for r in mix.documents().collect()) == {(1, 0, 0): 3, (None, 0, 0): 2, (2, 2, 2): 2, (3, 0, 0): 2}
+
+
 def test_mix_empty(scratch, nothing):
     assert Mix(nothing, scratch, weights=(3, 1, 2), total_share=1.5, most_times=2).documents().count() == 0
 
