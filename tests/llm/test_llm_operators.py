@@ -18,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strataframe.llm import role_repair, special
+from strataframe.llm import role_repair, special, suffix_dedup
 from strataframe.llm.hashing import shingle_sets
 from strataframe.llm.jaccard_join import Levels, jaccard_classes
 from strataframe.llm.mixing import Mix
@@ -124,6 +124,20 @@ def test_remove_repeats(spark, scratch, messy):
     assert got == repeats(rows, 50)
 
 
+def test_remove_repeats_large_buckets_and_shared_ids(spark, scratch, monkeypatch):
+    # One line between different neighbours in many documents; a doc_id on two texts, one clean, and on two rows of one text.
+    monkeypatch.setattr(suffix_dedup, "RUN_ROWS", 8)
+    rng = random.Random(31)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    line = word(90)
+    rows = [(i, word(60) + line + word(60)) for i in range(80)]
+    rows += [(5, word(112)), (5, rows[5][1]), (90, line[:70] + word(40)), (90, word(112)), (None, line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = remove_repeats(df, scratch, hot=12)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for r in got.collect())
+    assert got == repeats(rows, 50)
+
+
 def test_refined_numbers_equal_strings():
     rng = random.Random(5)
     rows = ["".join(rng.choice("ab") for _ in range(rng.randrange(90))).encode() for _ in range(30)]
@@ -288,6 +302,15 @@ def test_mix_meets_targets(spark, scratch):
     assert max(per_shard.values()) - min(per_shard.values()) <= 1
 
 
+def test_mix_plan_does_not_grow_with_the_shards(spark, scratch):
+    docs = spark.createDataFrame([(i, "w " * 400, f"s{i % 3}") for i in range(60)], "doc_id long, text string, source string")
+    mix = Mix(docs, scratch, weights=(3, 1, 2), total_share=1.5, most_times=2)
+    plan = lambda words: len(mix.documents(shard_words=words)._jdf.queryExecution().optimizedPlan().toString())
+    assert plan(1024) < plan(1 << 20) * 1.05
+    taken = lambda words: mix.documents(shard_words=words).agg(F.sum("taken")).first()[0]
+    assert taken(1024) == taken(1 << 20)
+
+
 def test_mix_keeps_repeated_rows_without_words(spark, scratch):
     rows = [(1, None, "a")] * 3 + [(None, " ", "a")] * 2 + [(2, "x y", "a")] * 2 + [(3, "", None)] * 2
     mix = Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), scratch, weights=(1,), total_share=1.0, most_times=1)
@@ -431,6 +454,42 @@ def test_role_repair_is_legal_and_cheapest(spark, scratch):
             assert paid - free == legal_cost(source[c], costs)
 
 
+def test_role_repair_does_not_depend_on_the_parts(spark, scratch):
+    rng = random.Random(19)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool"]), f"{c}.{t}") for c in range(30) for t in range(rng.randrange(1, 12))]
+    rows += [(7, t, rng.choice(["user", "assistant"]), f"7.{t}") for t in range(12, 200)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    found = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        # Seven hashed tasks read the sorted parts, several each.
+        for parts in (1, 7, 24):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append(role_repair.repair_roles(turns, scratch).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    costs, role = role_repair.Costs(), {(c, t): r for c, t, r, _ in rows}
+    totals = []
+    for out in found:
+        numbered = [(r.conv_id, r.turn_no) for r in out if r.turn_no is not None]
+        assert len(numbered) == len(set(numbered)) == len(rows)
+        total = Counter()
+        for r in out:
+            total[r.conv_id] += costs.merge * ("merge" in r.action) + costs.insert * (r.action == "insert")
+            total[r.conv_id] += costs.relabel * ("relabel" in r.action and role[r.conv_id, r.turn] in role_repair.ROLES)
+        totals.append(total)
+    # Repairs of equal cost may differ where a part ends.
+    assert totals[0] == totals[1] == totals[2]
+
+
+def test_role_repair_edges_of_two_parts_in_one_task():
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 0, 1, 1], pa.int32()), pa.array([1, 2, 3, 3, 4]), pa.array(["user"] * 5)], names=["part", "conv_id", "role"])
+    out = next(role_repair._edges(role_repair.Costs())(iter([batch])))
+    assert list(zip(out.column("part").to_pylist(), out.column("conv_id").to_pylist())) == [(0, 1), (0, 3), (1, 3), (1, 4)]
+
+
 def test_role_repair_matrices_chain():
     rng = random.Random(10)
     table = role_repair.moves(role_repair.Costs())
