@@ -2,7 +2,8 @@
 
 A legal conversation is an optional system message, then user and assistant in turn, with the assistant last. Every turn
 may keep or change its role, join the message before it, or get an empty message of another role put before it; the
-cheapest way through the automaton of legal turns is chosen by dynamic programming, with fewer messages on ties.
+cheapest way through the automaton of legal turns is chosen by dynamic programming, with fewer messages on ties. Where
+repairs still tie, the choice may depend on where a part ends.
 
 A step of the program is a matrix of costs between the automaton's states, so runs of turns combine like numbers: the turns are
 range-partitioned by conversation and order, each part reduces the conversations it cuts to one matrix, the matrices
@@ -130,7 +131,8 @@ def _edges(costs: Costs):
                     old[2] += hi - lo
                     old[3] = chain(old[3], rows)
                     continue
-                if len(seen) > 1 and seen[-1][0] == seen[-2][0]:
+                # Of this part only the first conversation and the latest are kept; the last of the part before stays.
+                if len(seen) > 1 and seen[-1][0] == seen[-2][0] == part:
                     seen.pop()
                 seen.append([part, conv, hi - lo, rows])
         if seen:
