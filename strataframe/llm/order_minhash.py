@@ -22,6 +22,8 @@ TUPLE = 2
 PLACE = 1 << 30
 PARTS = 4096
 BLANKS = " \t\n\x0b\f\r"
+#: What stands for a component without k-mers.
+EMPTY = "." * 8
 
 
 def fingerprint(text: Column, k: int = K) -> Column:
@@ -56,23 +58,30 @@ def fingerprint(text: Column, k: int = K) -> Column:
             least = F.filter(p, lambda x, i: (i < TUPLE) | (part(F.get(p, F.greatest(i - TUPLE, F.lit(0)))) != part(x)))
 
             def tuples(c: Column) -> Column:
-                return F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda s: bound(
-                    F.array_sort(F.transform(F.filter(c, lambda x: part(x) == s), lambda x: x.bitwiseAND(PLACE - 1))),
-                    lambda places: F.when(F.size(places) == 0, F.lit("." * 8)).otherwise(
-                        F.right(F.lpad(F.hex(F.aggregate(places, F.lit(11).cast("long"), lambda a, at: F.xxhash64(a, F.get(n, at.cast("int"))))), 16, "0"), F.lit(8)))))
+                # Sorted by part, so a part is a run of at most TUPLE entries; its first entry writes it and the empty parts before it.
+                def component(x: Column, i: Column) -> Column:
+                    before = F.when(i == 0, F.lit(-1)).otherwise(part(F.get(c, F.greatest(i - 1, F.lit(0)))))
+                    places = F.array_sort(F.filter(F.transform(F.slice(c, i + 1, F.lit(TUPLE)), lambda y: F.when(part(y) == part(x), y.bitwiseAND(PLACE - 1))),
+                                                   lambda y: y.isNotNull()))
+                    key = F.aggregate(places, F.lit(11).cast("long"), lambda a, at: F.xxhash64(a, F.get(n, at.cast("int"))))
+                    text = F.concat(F.repeat(F.lit(EMPTY), (part(x) - before - 1).cast("int")), F.right(F.lpad(F.hex(key), 16, "0"), F.lit(8)))
+                    return F.when(before < part(x), text)
+
+                last = F.coalesce(part(F.get(c, F.size(c) - 1)), F.lit(-1))
+                return F.concat(F.array_join(F.transform(c, component), ""), F.repeat(F.lit(EMPTY), (F.lit(SKETCHES - 1) - last).cast("int")))
 
             return bound(least, tuples)
 
         return bound(order, chosen)
 
     hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return F.array_join(bound(bound(bound(hashed, grams), numbered), components), "")
+    return bound(bound(bound(hashed, grams), numbered), components)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal components among those that one of the fingerprints has."""
     def compare(c: Column) -> Column:
-        used = F.filter(c, lambda x: (x["a"] != "." * 8) | (x["b"] != "." * 8))
+        used = F.filter(c, lambda x: (x["a"] != EMPTY) | (x["b"] != EMPTY))
         return bound(used, lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(F.size(F.filter(u, lambda x: x["a"] == x["b"])) / F.size(u)))
 
     pieces = F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda s: F.struct(
