@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataframe.llm.shared import Scratch
-from strataframe.llm.special import hypergeometric
+from strataframe.llm.special import bound, hypergeometric
 
 #: Words of a block, hash buckets of a source's order, words of a shard.
 BLOCK = 1024
@@ -69,32 +69,40 @@ def _uniform(*parts) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
-def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+def _halves(node: DataFrame, width: int, seed: int) -> DataFrame:
+    """One level of the tree: both halves of every node, their blocks by source drawn from the multivariate hypergeometric distribution."""
+    def split(acc, q):
+        taken = hypergeometric(acc["rest"], q["blocks"], acc["room"], _uniform(F.lit(seed), F.col("node"), F.lit(width), q["source"]))
+        return bound(taken, lambda t: F.struct((acc["rest"] - q["blocks"]).alias("rest"), (acc["room"] - t).alias("room"),
+                                               F.concat(acc["out"], F.array(t)).alias("out")))
+
+    left = F.floor(F.col("held") / 2).cast("long")
+    start = F.struct(F.col("held").alias("rest"), left.alias("room"), F.array().cast("array<long>").alias("out"))
+
+    def children(go):
+        quota = lambda n: F.transform("quota", lambda q, i: F.struct(q["last"], q["source"], n(q["blocks"], F.get(go, i)).alias("blocks")))
+        return F.array(
+            F.struct((F.col("node") * 2).alias("node"), quota(lambda b, g: g).alias("quota"), left.alias("held")),
+            F.struct((F.col("node") * 2 + 1).alias("node"), quota(lambda b, g: b - g).alias("quota"), (F.col("held") - left).alias("held")))
+
+    return node.select(F.explode(bound(F.aggregate("quota", start, split, lambda acc: acc["out"]), children)).alias("n")).select("n.*")
+
+
+def shard_quotas(quotas: DataFrame, shards: int, seed: int, scratch: Scratch) -> DataFrame:
     """``shard``, ``source``, ``first``, ``count``: the source's draws ``first`` to ``first + count - 1`` go to the shard.
 
-    ``quotas``: ``source``, ``blocks``. ``shards`` is a power of two.
+    ``quotas``: ``source``, ``blocks``. ``shards`` is a power of two. Every level of the tree is a written table, so no
+    plan holds more than one.
     """
     node = quotas.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "blocks"))).alias("quota")).select(
         F.lit(0).cast("long").alias("node"), "quota", F.aggregate("quota", F.lit(0).cast("long"), lambda s, q: s + q["blocks"]).alias("held"))
+    node = scratch.write(node, "tree")
     width = shards
     while width > 1:
-        left = F.floor(F.col("held") / 2).cast("long")
-
-        def split(acc, q):
-            taken = hypergeometric(acc["rest"], q["blocks"], acc["room"], _uniform(F.lit(seed), F.col("node"), F.lit(width), q["source"]))
-            return F.struct((acc["rest"] - q["blocks"]).alias("rest"), (acc["room"] - taken).alias("room"),
-                            F.concat(acc["out"], F.array(taken)).alias("out"))
-
-        start = F.struct(F.col("held").alias("rest"), F.col("left").alias("room"), F.array().cast("array<long>").alias("out"))
-        node = node.withColumn("left", left).withColumn("go", F.aggregate("quota", start, split, lambda acc: acc["out"]))
-        pick = lambda n: F.transform("quota", lambda q, i: F.struct(q["last"], q["source"], n(q["blocks"], F.get("go", i)).alias("blocks")))
-        node = node.select(F.explode(F.array(
-            F.struct((F.col("node") * 2).alias("node"), pick(lambda b, g: g).alias("quota"), F.col("left").alias("held")),
-            F.struct((F.col("node") * 2 + 1).alias("node"), pick(lambda b, g: b - g).alias("quota"), (F.col("held") - F.col("left")).alias("held")),
-        )).alias("n")).select("n.*")
+        node = _halves(node, width, seed)
+        # Rows double at each level; from here on tasks share them.
+        node = scratch.write(node.repartition("node") if shards // width >= 128 else node, "tree")
         width //= 2
-        if width == shards // 256:
-            node = node.repartition("node")
     leaves = node.select(F.col("node").alias("shard"), F.explode("quota").alias("q")).select("shard", "q.source", F.col("q.blocks").alias("count"))
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return leaves.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0))).where("count > 0")
@@ -107,6 +115,7 @@ class Mix:
         spread = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
         rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), spread.alias("spread"))
         rows = scratch.write(rows.withColumn("bucket", F.pmod("spread", F.lit(BUCKETS)).cast("int")), "sizes")
+        self._scratch = scratch
         buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
         sizes = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
         targets = source_targets(sizes, weights, total_share, most_times)
@@ -124,14 +133,14 @@ class Mix:
         start = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         starts = buckets.withColumn("before", F.coalesce(F.sum("words").over(start), F.lit(0))).select("source", "bucket", "before")
         named = (starts.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
-                 .select("b.source", "b.bucket", "b.before", "p.source_size", "p.target", "p.passes", "p.rest", "p.full", "p.per_pass"))
+                 .select("b.source", "b.bucket", "b.before", "p.source_size", "p.target", "p.passes", "p.rest", "p.full", "p.per_pass", "p.blocks"))
         order = Window.partitionBy("source", "bucket").orderBy("spread", "doc_id")
         before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         # The number tells repeated rows without words apart, which start at one place.
         placed = rows.withColumn("inside", before).withColumn("row", F.row_number().over(order))
         placed = (placed.alias("r").join(named.alias("n"), F.col("r.source").eqNullSafe(F.col("n.source")) & (F.col("r.bucket") == F.col("n.bucket")))
                   .select("doc_id", "r.source", "size", "r.bucket", "row", (F.col("before") + F.col("inside")).alias("start"), "source_size", "target",
-                          "passes", "rest", "full", "per_pass"))
+                          "passes", "rest", "full", "per_pass", "blocks"))
         self._placed = placed
 
     def _blocks(self) -> DataFrame:
@@ -150,24 +159,38 @@ class Mix:
             .withColumn("last_words", F.coalesce(F.greatest(F.lit(0), F.least(high, F.col("block") * BLOCK + F.col("open")) - low), F.lit(0)))
         )
 
-    def shards(self, seed: int = 21, shard_words: int = SHARD_WORDS) -> DataFrame:
-        """``shard``, ``source``, ``first``, ``count``: the quota of each shard as a range of the source's draws."""
+    def _shard_count(self, shard_words: int) -> int:
         blocks = self.plan.agg(F.sum("blocks")).first()[0] or 0
         count = 1
         while count * shard_words < blocks * BLOCK:
             count *= 2
-        return shard_quotas(self.plan.select("source", "blocks"), count, seed)
+        return count
+
+    def shards(self, seed: int = 21, shard_words: int = SHARD_WORDS) -> DataFrame:
+        """``shard``, ``source``, ``first``, ``count``: the quota of each shard as a range of the source's draws."""
+        return shard_quotas(self.plan.select("source", "blocks"), self._shard_count(shard_words), seed, self._scratch)
 
     def _dealt(self, seed: int, shard_words: int) -> DataFrame:
-        """Every document by block and pass, with the shard that took the block, if any."""
+        """Every document by block and pass, with the shard that took the block, if any.
+
+        A source's draws are cut into as many equal cells as there are shards; a quota is sent to the few cells it reaches, and a block is
+        looked up in the quotas of its cell.
+        """
+        count = self._shard_count(shard_words)
+        quotas = shard_quotas(self.plan.select("source", "blocks"), count, seed, self._scratch)
+        cell = lambda number: F.floor(number / F.ceil(F.col("blocks") / count)).cast("long")
+        reach = F.explode(F.sequence(cell(F.col("first")), cell(F.col("first") + F.col("count") - 1)))
+        quotas = quotas.alias("q").join(self.plan.alias("p"), F.col("q.source").eqNullSafe(F.col("p.source"))).select(
+            "q.*", "p.blocks").withColumn("cell", reach).drop("blocks")
+        quotas = self._scratch.write(quotas, "quotas")
         each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes")))
         rows = self._blocks().withColumn("pass", each)
         rows = rows.withColumn("words", F.when(F.col("pass") == F.col("passes"), F.col("last_words")).otherwise(F.col("words")))
         rows = rows.withColumn("number", F.when(F.col("words") > 0, F.col("pass") * F.col("per_pass") + F.col("draw")))
-        numbers = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1))
-        dealt = self.shards(seed, shard_words).select("shard", "source", numbers.alias("number"))
+        rows = rows.withColumn("cell", cell(F.col("number")))
         return rows.alias("r").join(
-            dealt.alias("d"), F.col("r.source").eqNullSafe(F.col("d.source")) & (F.col("r.number") == F.col("d.number")), "left",
+            quotas.alias("d"), F.col("r.source").eqNullSafe(F.col("d.source")) & (F.col("r.cell") == F.col("d.cell"))
+            & (F.col("r.number") >= F.col("d.first")) & (F.col("r.number") < F.col("d.first") + F.col("d.count")), "left",
         ).select("r.*", "shard")
 
     def pieces(self, seed: int = 21, shard_words: int = SHARD_WORDS) -> DataFrame:
