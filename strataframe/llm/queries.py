@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from strataframe.llm.best_fit import pack_best_fit
 from strataframe.llm.jaccard_join import jaccard_classes
 from strataframe.llm.mixing import Mix
 from strataframe.llm.order_minhash import fingerprints
@@ -12,10 +13,12 @@ from strataframe.llm.packing import pack
 from strataframe.llm.risk_thresholds import judge
 from strataframe.llm.role_repair import repair_roles
 from strataframe.llm.shared import Scratch, table
+from strataframe.llm.spelling import spelling_forms
 from strataframe.llm.suffix_dedup import remove_repeats
 from strataframe.llm.toxicity import held_out, score, train
 from strataframe.llm.url_filter import judge_urls
 from strataframe.llm.warc_index import merge_index, read_archives, write_archives
+from strataframe.llm.whitening import whiten
 
 QUERIES = {}
 ORACLES = {}
@@ -111,3 +114,20 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html", time.alias("time")), folder, scratch)
     records = read_archives(merge_index(manifest, folder, scratch), folder)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "time")
+
+
+@query("op11_best_fit")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), Scratch(spark))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(table(spark, sf_dir, "documents"), Scratch(spark), drop_every=199)
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten(table(spark, sf_dir, "embeddings"), Scratch(spark))
+    # The contract's type; what no long holds is null.
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
