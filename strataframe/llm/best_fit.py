@@ -24,47 +24,112 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strataframe.llm.hashing import Ranges, word_spans
+from strataframe.llm.hashing import SPACES, Ranges, word_spans
 from strataframe.llm.shared import Scratch, flat_bytes, row_chunks
 
-#: Bytes of text encoded in one pass, and distinct words whose ids a task remembers.
+#: Bytes of text encoded in one pass, and distinct pieces of words whose ids a task remembers.
 PASS_BYTES = 1 << 20
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Ranks within a class stay below this.
 RANKS = 1 << 40
 
 
+LETTER, DIGIT, SIGN = 1, 2, 3
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class of each byte, and bytes of words that are left whole: apostrophes, `<` (it may begin a special token), controls, and all
+    letters but the Latin ones from U+00C0 to U+024F.
+    """
+    kind = np.full(256, SIGN, np.uint8)
+    kind[[c for c in range(128) if chr(c).isalpha()] + list(range(0x80, 0xC0)) + list(range(0xC3, 0xCA))] = LETTER
+    kind[48:58] = DIGIT
+    odd = np.zeros(256, bool)
+    odd[[*range(9), *range(14, 32), 39, 60, 127, 0xC0, 0xC1, 0xC2, *range(0xCA, 256)]] = True
+    return kind, odd
+
+
+KIND, ODD = _classes()
+#: Two bytes that look like a Latin letter: the multiplication and division signs, and a capital whose small form is two characters.
+NO_LETTERS = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0))
+#: New words that are encoded in one text.
+TOGETHER = 64
+
+
 class WordEncoder:
-    """Token ids of many texts by a tokenizer that drops white space; each distinct word between blanks is encoded once."""
+    """Token ids of many texts by a lower-casing tokenizer that drops white space, takes runs of letters and of signs and single digits
+    apart, and marks the last token of each.
+
+    A word between blanks is cut there, unless it has one of the bytes of ``ODD``; each distinct piece is encoded once.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[int, bytes] = {}
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _runs(self, words: list[str]) -> list[bytes]:
+        """Ids of runs of letters, many in one text: a run ends where a last token ends."""
+        groups = [words[i:i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        out = []
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                data = ids.tobytes()
+                out += [data[4 * a:4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            else:
+                out += [i.tobytes() for i in self._ids(group)]
+        return out
+
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Little-endian 32-bit ids of each row."""
         n = len(offsets) - 1
-        starts, ends, first = word_spans(raw, offsets)
+        starts, ends, _ = word_spans(raw, offsets)
         if not len(starts):
             return [b""] * n
-        keys, example, where = np.unique(Ranges(raw).of(starts, ends), return_index=True, return_inverse=True)
+        odd = ODD[raw]
+        for lead, low in NO_LETTERS:
+            odd[:-1] |= (raw[:-1] == lead) & (raw[1:] == low)
+        whole = np.zeros(len(starts), bool)
+        whole[np.searchsorted(starts, np.flatnonzero(odd & ~SPACES[raw]), "right") - 1] = True
+        step = np.zeros(len(raw) + 1, np.int8)
+        step[starts[whole]] += 1
+        step[ends[whole]] -= 1
+        cut = np.cumsum(step[:-1], dtype=np.int8) == 0
+        # Latin capitals are read as small letters, but not in whole words.
+        raw = np.where(cut & (raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
+        kind = KIND[raw]
+        begin = np.zeros(len(raw), bool)
+        begin[1:] = cut[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)) & ~SPACES[raw[1:]]
+        begin[starts] = True
+        heads = np.flatnonzero(begin)
+        tails = np.minimum(np.r_[heads[1:], len(raw)], ends[np.searchsorted(starts, heads, "right") - 1])
+        keys, example, where = np.unique(Ranges(raw).of(heads, tails), return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known, names, data = self.known, keys.tolist(), raw.tobytes()
-        missing = [i for i, k in enumerate(names) if k not in known]
-        words = [data[starts[example[i]]:ends[example[i]]].decode() for i in missing]
-        for i, e in zip(missing, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            known[names[i]] = np.array(e.ids, np.uint32).tobytes()
+        missing = np.array([i for i, k in enumerate(names) if k not in known], np.int64)
+        at = example[missing]
+        letters = (kind[heads[at]] == LETTER) & cut[heads[at]]
+        for chosen, encode in ((missing[letters], self._runs), (missing[~letters], lambda w: [i.tobytes() for i in self._ids(w)])):
+            first = example[chosen]
+            words = [data[a:b].decode() for a, b in zip(heads[first].tolist(), tails[first].tolist())]
+            known.update(zip(keys[chosen].tolist(), encode(words)))
         parts = [known[k] for k in names]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
         flat = np.frombuffer(b"".join(parts), np.uint32)
-        begin, count = np.cumsum(sizes) - sizes, sizes[where]
+        place, count = np.cumsum(sizes) - sizes, sizes[where]
         total = np.r_[0, np.cumsum(count)]
-        ids = flat[np.repeat(begin[where] - total[:-1], count) + np.arange(total[-1])].tobytes()
-        bounds = (4 * total[first]).tolist()
+        ids = flat[np.repeat(place[where] - total[:-1], count) + np.arange(total[-1])].tobytes()
+        bounds = (4 * total[np.searchsorted(heads, offsets)]).tolist()
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
