@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The blank class spelled out, because Java's \s covers ASCII only.
 BLANK = r"[\t\n\f\r\p{Z}]"
@@ -32,15 +32,29 @@ QUALIFIERS = (
     r"\p{Nd}",
     r" [\t\n\f\r\p{Z}]*\([^\)]+\)",
 )
+# How the qualifiers begin: looked at once before any of them is tried.
+QUALIFIER_STARTS = r"[?scnagieJABKH.\" \p{Nd}]"
 
 
 def alternation(patterns: Sequence[str]) -> str:
     return "|".join(patterns)
 
 
+def qualifier_pattern(patterns: Sequence[str] = QUALIFIERS) -> str:
+    """The alternation behind one lookahead, so that most positions try no branch.
+
+    Of a run of spaces only the first may open a bracketed part: a match from a later one would have begun there,
+    and without one every space would read the run to its end.
+    """
+    if patterns is not QUALIFIERS:
+        return alternation(patterns)
+    linear = alternation(patterns).replace(r" [\t\n\f\r\p{Z}]*\(", r"(?<! ) [\t\n\f\r\p{Z}]*+\(")
+    return f"(?={QUALIFIER_STARTS})(?:{linear})"
+
+
 def strip_qualifiers(name: Column, patterns: Sequence[str] = QUALIFIERS) -> Column:
     """Remove every match of any qualifier. Unanchored: ``aff`` also goes inside a word."""
-    return F.regexp_replace(name, alternation(patterns), "")
+    return F.regexp_replace(name, qualifier_pattern(patterns), "")
 
 
 def squish(text: Column) -> Column:
@@ -55,6 +69,16 @@ def clean_name(name: Column, patterns: Sequence[str] = QUALIFIERS) -> Column:
     return squish(strip_qualifiers(name, patterns))
 
 
+def cleaned_once(df: DataFrame, names: Mapping[str, str], *, n: str = "n", **tallies: Column) -> DataFrame:
+    """One row per distinct spelling in ``names`` (column to cleaned column), with its number of rows ``n`` and further ``tallies``.
+
+    The optimizer moves filters and join keys on grouping columns below an aggregate, and with them the regular
+    expressions onto every row. The cleaned columns read the count, so they stay above it and run once a spelling.
+    """
+    spellings = df.groupBy(*names).agg(F.count(F.lit(1)).alias(n), *[c.alias(k) for k, c in tallies.items()])
+    return spellings.withColumns({out: F.when(F.col(n) > 0, clean_name(F.col(raw))) for raw, out in names.items()})
+
+
 def strip_open_suffix(name: Column, *, as_published: bool = False) -> Column:
     """Drop the `` sp.`` suffix of open nomenclature.
 

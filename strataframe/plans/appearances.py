@@ -26,10 +26,12 @@ def appearances_from_occurrences(
     first appearance from the late bin and the last one from the early bin.
     """
     spark = occurrences.sparkSession
-    combos = occurrences.select(
+    combos = occurrences.groupBy(
         "accepted_name", "early_interval",
         F.coalesce("late_interval", "early_interval").alias("late_interval"),
-    ).distinct().withColumn("taxon", clean_name(F.col("accepted_name"))).drop("accepted_name")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    # The names of the combinations are cleaned through the few distinct spellings; the count keeps the expression above the aggregate.
+    combos = combos.select(F.when(F.col("n") > 0, clean_name(F.col("accepted_name"))).alias("taxon"), "early_interval", "late_interval").distinct()
     combos = members_only(combos, "taxon", resolved, "taxon_clean")
     mids = intervals.dimension(spark, F.col("stg").alias("bin"), "mid", "stg")
     lookup = F.broadcast(keys.join(mids, "bin").select("interval_name", "mid", "stg"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from strataframe.functions.text import clean_name, first_word, strip_open_suffix, token_count
+from strataframe.functions.text import clean_name, cleaned_once, first_word, strip_open_suffix, token_count
 from strataframe.operators.aggregates import counts, ratio_of_counts
 from strataframe.operators.joins import attach_counts, membership_flag, nullsafe_join
 from strataframe.operators.reshape import pivot_counts
@@ -30,13 +30,10 @@ def synonym_table(occurrences: DataFrame, reasons: Sequence[str]) -> DataFrame:
     Pairs that only moved a name to its genus are left out. The regular expressions
     run on the distinct pairs, not on the occurrences.
     """
-    pairs = (
-        occurrences.where(F.col("difference").isin(*reasons))
-        .select("identified_name", "accepted_name").distinct()
-        .select(clean_name(F.col("accepted_name")).alias("accepted_name_clean"),
-                clean_name(F.col("identified_name")).alias("identified_name_clean"))
-        .distinct()
-    )
+    pairs = cleaned_once(
+        occurrences.where(F.col("difference").isin(*reasons)),
+        {"accepted_name": "accepted_name_clean", "identified_name": "identified_name_clean"},
+    ).select("accepted_name_clean", "identified_name_clean").distinct()
     return pairs.where(F.col("accepted_name_clean") != first_word(F.col("identified_name_clean")))
 
 
@@ -48,19 +45,18 @@ def taxon_names(traits: DataFrame, *, as_published: bool = False) -> DataFrame:
     )
 
 
-def _cleaned_names(df: DataFrame) -> DataFrame:
-    return df.withColumn("name", clean_name(F.col("accepted_name")))
+def _accepted(occurrences: DataFrame) -> DataFrame:
+    return cleaned_once(occurrences, {"accepted_name": "name"})
 
 
 def name_counts(occurrences: DataFrame) -> DataFrame:
     """Occurrences per cleaned name: counted per raw name first, so that each distinct
     spelling is cleaned once."""
-    per_spelling = occurrences.groupBy("accepted_name").agg(F.count(F.lit(1)).alias("n"))
-    return _cleaned_names(per_spelling).groupBy("name").agg(F.sum("n").alias("n"))
+    return _accepted(occurrences).groupBy("name").agg(F.sum("n").alias("n"))
 
 
 def known_names(occurrences: DataFrame, synonyms: DataFrame) -> DataFrame:
-    accepted = _cleaned_names(occurrences.select("accepted_name").distinct()).select("name").distinct()
+    accepted = _accepted(occurrences).select("name").distinct()
     return accepted.unionByName(synonyms.select(F.col("identified_name_clean").alias("name")))
 
 
