@@ -3,8 +3,8 @@
 The break points are driver-side constants, so a value finds its bin through a
 balanced tree of comparisons: log2(n) tests per row, inside whole-stage codegen,
 no join and no shuffle. (A higher-order ``filter`` over the break array reads
-nicer but runs interpreted and measured ~25 times slower.) Interval tables too
-long for that go through ``operators.joins.interval_join``.
+nicer but runs interpreted and measured ~25 times slower.) With more than ``MAX_TREE_BREAKS``
+leaves, where the generated code would grow too long, one constant array is searched by halving.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ def _sorted_breaks(breaks: Sequence[float]) -> list[float]:
     ordered = sorted(float(b) for b in breaks)
     if len(ordered) < 2 or len(set(ordered)) != len(ordered):
         raise ValueError("breaks must be at least two distinct numbers")
-    if len(ordered) > MAX_TREE_BREAKS:
-        raise ValueError("too many breaks for an expression; use operators.joins.interval_join")
     return ordered
 
 
@@ -42,7 +40,10 @@ def tree_text(value: str, bounds: Sequence[str], leaves: Sequence[str]) -> str:
 
 
 def search_tree(value: Column, bounds: Sequence, leaves: Sequence[Column]) -> Column:
-    """The same search as a Column, for any value expression."""
+    """The same search as a Column, for any value expression.
+
+    The leaves of a long search must be constants or null.
+    """
 
     def node(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -50,9 +51,19 @@ def search_tree(value: Column, bounds: Sequence, leaves: Sequence[Column]) -> Co
         mid = (lo + hi) // 2
         return F.when(value <= bounds[mid], node(lo, mid)).otherwise(node(mid + 1, hi))
 
+    if len(leaves) > MAX_TREE_BREAKS:
+        return F.get(F.array(*leaves), bounds_below(value, bounds))
     return node(0, len(leaves) - 1)
 
 
+def bounds_below(value: Column, bounds: Sequence) -> Column:
+    """Number of the sorted ``bounds`` that are below ``value``, by halving one constant array; null for a null value."""
+    array = F.array(*bounds)
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    hop = lambda at, step: F.when((at + step <= len(bounds)) & (F.get(array, F.least(at + step, F.lit(len(bounds))) - 1) < value), at + step).otherwise(at)
+    return F.when(value.isNotNull(), F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), hop))
+
+
 def cut_index(value: Column, breaks: Sequence[float], *, include_lowest: bool = False) -> Column:
     """1-based bin of ``value``; null outside the breaks or for a null value."""
     b = _sorted_breaks(breaks)
@@ -93,20 +104,26 @@ def has_younger_stage(age: Column, tops: Sequence[float], *, closed: str = "righ
     return age.between(min(tops), max(tops)) if closed == "right" else age >= min(tops)
 
 
-def stage_of_older_bound(age: Column, bottoms: Sequence[float]) -> Column:
-    """Stage ordinal of an older bound, binned on the stage bottoms.
+def _numbers(n: int, numbers: Sequence[int] | None) -> list[int]:
+    """Stage ordinals from the oldest on; 1 to n unless given."""
+    return list(range(1, n + 1)) if numbers is None else list(numbers)
+
+
+def stage_of_older_bound(age: Column, bottoms: Sequence[float], numbers: Sequence[int] | None = None) -> Column:
+    """Stage ordinal (of ``numbers``, oldest first) of an older bound, binned on the stage bottoms.
 
     The lowest bottom is closed on both sides, so the youngest stage is never
     returned and ages younger than every bottom are null.
     """
     b = _sorted_breaks(bottoms)
     n = len(b)
-    stages = [F.lit(n - i) for i in range(1, n)]
+    of = _numbers(n, numbers)
+    stages = [F.lit(of[n - i - 1]) for i in range(1, n)]
     return F.when(has_older_stage(age, b), search_tree(age, [F.lit(x) for x in b[1:-1]], stages))
 
 
-def stage_of_younger_bound(age: Column, tops: Sequence[float], *, closed: str = "right") -> Column:
-    """Stage ordinal of a younger bound, binned on the stage tops.
+def stage_of_younger_bound(age: Column, tops: Sequence[float], numbers: Sequence[int] | None = None, *, closed: str = "right") -> Column:
+    """Stage ordinal (of ``numbers``, oldest first) of a younger bound, binned on the stage tops.
 
     ``closed='right'`` is the published behaviour: an age exactly on a top falls
     into the stage above it. ``closed='left'`` keeps it in its own stage.
@@ -114,10 +131,11 @@ def stage_of_younger_bound(age: Column, tops: Sequence[float], *, closed: str =
     b = _sorted_breaks(tops)
     n = len(b)
     inside = has_younger_stage(age, b, closed=closed)
+    of = _numbers(n, numbers)
     if closed == "right":
-        return F.when(inside, search_tree(age, [F.lit(x) for x in b[1:-1]], [F.lit(n + 1 - i) for i in range(1, n)]))
+        return F.when(inside, search_tree(age, [F.lit(x) for x in b[1:-1]], [F.lit(of[n - i]) for i in range(1, n)]))
     # Mirroring the axis turns the right-closed search into a left-closed one.
-    mirrored = search_tree(-age, [F.lit(-x) for x in b[:0:-1]], [F.lit(s) for s in range(1, n + 1)])
+    mirrored = search_tree(-age, [F.lit(-x) for x in b[:0:-1]], [F.lit(s) for s in of])
     return F.when(inside, mirrored)
 
 
@@ -125,13 +143,17 @@ def single_stage(
     max_ma: Column, min_ma: Column, bottoms: Sequence[float], tops: Sequence[float],
     *, closed: str = "right", leaf: Callable[[int], Column] = F.lit,
 ) -> Column:
-    """``leaf(stage)`` where both bounds give the same stage, else null.
+    """``leaf(position)`` where both bounds give the same stage (positions from 1, oldest first), else null.
 
     One search on the older bound; each leaf only compares the younger bound with
-    the two tops that would put it in the same stage.
+    the two tops that would put it in the same stage. A long table takes two searches.
     """
     b, t = _sorted_breaks(bottoms), _sorted_breaks(tops)
     n = len(b)
+    if n > MAX_TREE_BREAKS:
+        older = stage_of_older_bound(max_ma, b)
+        younger = stage_of_younger_bound(min_ma, t, closed=closed)
+        return F.when(older == younger, F.get(F.array(*[leaf(i) for i in range(1, n + 1)]), older - 1))
     leaves = []
     for i in range(1, n):
         if closed == "right":

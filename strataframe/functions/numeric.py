@@ -1,17 +1,15 @@
-"""Arithmetic used by the reports, and the tail probabilities Spark lacks."""
+"""Arithmetic used by the reports, and the tail probabilities Spark lacks, as expressions."""
 
 from __future__ import annotations
 
-import math
-import sys
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
-# The functions below travel inside the job, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+#: Steps that any tail probability takes at least; the incomplete beta function needs more with its parameters.
+TERMS = 60
+#: Degrees of freedom beyond which a normal tail stands for the Student-t tail.
+MANY = 10_000
 
 
 def age_midpoint(older: Column, younger: Column) -> Column:
@@ -27,86 +25,100 @@ def percent_change(log_slope: Column) -> Column:
     return (F.exp(log_slope) - 1) * 100
 
 
-def _log_beta_half(a: np.ndarray) -> np.ndarray:
-    """log B(a, 1/2); the difference of log-gammas is expanded for large ``a``."""
-    small = np.minimum(a, 1e5)
-    direct = np.array([math.lgamma(v) - math.lgamma(v + 0.5) for v in small])
-    series = -(0.5 * np.log(a) - 1 / (8 * a) + 1 / (192 * a**3))
-    return math.lgamma(0.5) + np.where(a <= 1e5, direct, series)
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _steps(n: Column) -> Column:
+    return F.sequence(F.lit(1), n.cast("int"))
+
+
+def _log_beta_half(a: Column) -> Column:
+    """log B(a, 1/2): the ratio of the gammas is moved up by 16 and expanded there."""
+    top = a + 16
+    lower = F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0.0), lambda s, i: s + F.log1p(0.5 / (a + i)))
+    ratio = -0.5 * F.log(top) + 1 / (8 * top) - 1 / (192 * F.pow(top, 3)) + 1 / (640 * F.pow(top, 5)) - 17 / (14336 * F.pow(top, 7))
+    return 0.5723649429247001 + lower + ratio
+
+
+def _beta_fraction(a: Column, b: Column, x: Column, terms: Column) -> Column:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    fix = lambda v: np.where(np.abs(v) < tiny, tiny, v)
-    c = np.ones_like(x)
-    d = 1 / fix(1 - (a + b) * x / (a + 1))
-    out = d.copy()
-    for m in range(1, 100_000):
+    fix = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+
+    def step(acc: Column, term: Column) -> Column:
+        d, c = 1 / fix(1 + term * acc["d"]), fix(1 + term / acc["c"])
+        return _once(F.struct(d.alias("d"), c.alias("c")), lambda t: F.struct(t["c"].alias("c"), t["d"].alias("d"), (acc["out"] * t["d"] * t["c"]).alias("out")))
+
+    def both(acc: Column, m: Column) -> Column:
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for term in (even, odd):
-            d = 1 / fix(1 + term * d)
-            c = fix(1 + term / c)
-            out = out * d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
-            break
-    return out
-
-
-def t_tail(t, df) -> np.ndarray:
-    """Two-sided Student-t tail probability, elementwise."""
-    t, df = np.atleast_1d(np.asarray(t, float)), np.atleast_1d(np.asarray(df, float))
-    t, df = np.broadcast_arrays(t, df)
-    out = np.full(t.shape, np.nan)
-    ok = np.isfinite(t) & (df > 0)
-    if ok.any():
-        tt, nu = t[ok], df[ok]
-        a, b = nu / 2, np.full(nu.shape, 0.5)
-        x = nu / (nu + tt**2)
-        y = tt**2 / (nu + tt**2)
-        log_x, log_y = -np.log1p(tt**2 / nu), np.log(np.where(y > 0, y, 1.0))
-        front = np.exp(a * log_x + b * log_y - _log_beta_half(a)) * (y > 0)
-        swap = x >= (a + 1) / (a + b + 2)
-        frac = _beta_fraction(np.where(swap, b, a), np.where(swap, a, b), np.where(swap, y, x))
-        out[ok] = np.where(swap, 1 - front * frac / b, front * frac / a)
-    out[np.isinf(t) & (df > 0)] = 0.0
-    return np.clip(out, 0, 1)
-
-
-def t_quantile(tail, df) -> np.ndarray:
-    """Positive t whose two-sided tail probability is ``tail`` (bisection)."""
-    tail, df = np.broadcast_arrays(
-        np.atleast_1d(np.asarray(tail, float)), np.atleast_1d(np.asarray(df, float))
-    )
-    lo, hi = np.zeros(tail.shape), np.full(tail.shape, 2.0)
-    for _ in range(1000):
-        grow = t_tail(hi, df) > tail
-        if not grow.any():
-            break
-        hi = np.where(grow, hi * 2, hi)
-    for _ in range(64):
-        mid = (lo + hi) / 2
-        over = t_tail(mid, df) > tail
-        lo, hi = np.where(over, mid, lo), np.where(over, hi, mid)
-    return np.where(df > 0, (lo + hi) / 2, np.nan)
-
-
-@F.pandas_udf(T.DoubleType())
-def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided p. Meant for a coefficient table: one row per fitted group."""
-    out = pd.Series(t_tail(t.to_numpy(float, na_value=np.nan), df.to_numpy(float, na_value=np.nan)))
-    return out.where(out.notna(), None)
-
-
-@F.pandas_udf(T.DoubleType())
-def t_critical(tail: pd.Series, df: pd.Series) -> pd.Series:
-    nu = df.to_numpy(float, na_value=np.nan)
-    out = pd.Series(t_quantile(tail.to_numpy(float), np.where(nu > 0, nu, np.nan)))
-    return out.where(out.notna(), None)
-
-
-@F.pandas_udf(T.DoubleType())
-def normal_p_value(z: pd.Series) -> pd.Series:
-    """Two-sided normal tail, 2 * (1 - Phi(|z|))."""
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
+        return _once(step(acc, even), lambda t: step(t, odd))
+
+    first = 1 / fix(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("out"))
+    return F.aggregate(_steps(terms), start, both, lambda acc: acc["out"])
+
+
+def _beta_half(a: Column, x: Column, y: Column) -> Column:
+    """Regularised incomplete beta function I_x(a, 1/2) for y = 1 - x, both above 0."""
+    # The fraction converges within some square roots of the larger parameter.
+    terms = F.lit(TERMS) + 6 * F.sqrt(a)
+    front = F.exp(a * F.when(y < 0.5, F.log1p(-y)).otherwise(F.log(x)) + 0.5 * F.log(y) - _log_beta_half(a))
+    return F.when(x >= (a + 1) / (a + 2.5), 1 - 2 * front * _beta_fraction(F.lit(0.5), a, y, terms)).otherwise(
+        front * _beta_fraction(a, F.lit(0.5), x, terms) / a)
+
+
+def _t_tail(ratio: Column, dof: Column) -> Column:
+    """Two-sided Student-t tail of ``ratio`` = t^2 / dof.
+
+    With many degrees of freedom through Hill's normalising expansion, which is exact there to about eleven digits,
+    so that the work has a bound whatever the number of rows behind a fit.
+    """
+    a = dof - 0.5
+    b = 48 * a * a
+    y = a * F.log1p(ratio)
+    normal = lambda y: _normal_tail(F.sqrt(y / 2) * (
+        ((((-0.4 * y - 3.3) * y - 24) * y - 85.5) / (0.8 * y * y + 100 + b) + y + 3) / b + 1))
+    share = ratio / (1 + ratio)
+    return F.when(ratio == 0, F.lit(1.0)).when(F.isnan(share), F.lit(0.0)).when(dof > MANY, _once(y, normal)).otherwise(
+        _beta_half(dof / 2, 1 / (1 + ratio), share))
+
+
+def t_p_value(t: Column, dof: Column) -> Column:
+    """Two-sided Student-t tail probability; null without degrees of freedom or for a null or NaN ``t``."""
+    t, dof = t.cast("double"), dof.cast("double")
+    tail = _once(F.struct(dof.alias("n"), (t * t / dof).alias("r")), lambda v: _t_tail(v["r"], v["n"]))
+    return F.when((dof > 0) & t.isNotNull() & ~F.isnan(t), F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
+
+
+def t_critical(tail: float, dof: Column) -> Column:
+    """Positive t whose two-sided tail probability is ``tail``, by bisection on t^2 / dof."""
+    def halve(acc: Column, _: Column) -> Column:
+        at = (acc["lo"] + acc["hi"]) / 2
+        return _once(F.struct(at.alias("at"), (_once(F.exp(at), lambda r: _t_tail(r, acc["n"])) > tail).alias("over")), lambda v: F.struct(
+            acc["n"].alias("n"), F.when(v["over"], v["at"]).otherwise(acc["lo"]).alias("lo"), F.when(v["over"], acc["hi"]).otherwise(v["at"]).alias("hi")))
+
+    # On a logarithmic scale, since the ratio is small where there are many degrees of freedom.
+    dof = dof.cast("double")
+    start = F.struct(dof.alias("n"), F.lit(-70.0).alias("lo"), F.lit(70.0).alias("hi"))
+    found = F.aggregate(_steps(F.lit(TERMS)), start, halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)
+    return F.when(dof > 0, F.sqrt(dof * F.exp(found)))
+
+
+def _normal_tail(x: Column) -> Column:
+    """Complement of the error function for x >= 0: the series of the function, or the fraction of its complement from 3 on."""
+    def tail(x: Column) -> Column:
+        series = F.aggregate(_steps(F.lit(TERMS)), F.struct(x.alias("term"), x.alias("sum")), lambda acc, n: _once(
+            acc["term"] * 2 * x * x / (2 * n + 1), lambda t: F.struct(t.alias("term"), (acc["sum"] + t).alias("sum"))), lambda acc: acc["sum"])
+        fraction = F.aggregate(F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1)), F.lit(0.0), lambda f, n: n / 2 / (x + f))
+        decay = F.exp(-x * x) / 1.772453850905516
+        return F.when(x < 3, F.greatest(F.lit(0.0), 1 - 2 * decay * series)).otherwise(decay / (x + fraction))
+
+    return _once(x, tail)
+
+
+def normal_p_value(z: Column) -> Column:
+    """Two-sided normal tail, 2 * (1 - Phi(|z|)); null for a null or NaN ``z``."""
+    z = z.cast("double")
+    return F.when(z.isNotNull() & ~F.isnan(z), _normal_tail(F.abs(z) / 1.4142135623730951))

@@ -1,98 +1,59 @@
-"""Ordering without a single-task window: range buckets, global row numbers,
-leaders with ties, top-k."""
+"""Ordering without a single-task window: global and keyed row numbers, leaders with ties, top-k."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from strataframe.operators.aggregates import strict_max
-from strataframe.sources.dimensions import bounded_sample
+from strataframe.sources.tables import scratch_dir
 
+#: ``monotonically_increasing_id`` holds the partition above these bits and the place within it below.
+PLACE_BITS = 33
 
-def _split_points(df: DataFrame, order: Sequence[str], buckets: int) -> list:
-    """Evenly spaced order keys from a random sample of the rows.
 
-    They only decide how rows spread over tasks, never the result.
-    """
-    nulls_first = lambda r: tuple((v is not None, v) for v in r)
-    sample = sorted(set(bounded_sample(df.select(*order))), key=nulls_first)
-    picks = sorted({len(sample) * i // buckets for i in range(1, buckets)})
-    return [sample[i] for i in picks if 0 < i < len(sample)]
+def sorted_layout(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` range-sorted on ``order`` and written once, with ``__part`` and ``__at`` (place within the part).
 
+    Spark samples the range bounds, so two runs of one plan may cut differently; the written rows carry their part and
+    place, and whatever reads them, in any order, agrees on both. Nulls sort first.
+    """
+    spark = df.sparkSession
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    path = scratch_dir(spark)
+    laid.write.parquet(path)
+    written = spark.read.schema(laid.schema).parquet(path)
+    place = F.col("__id").bitwiseAND((1 << PLACE_BITS) - 1)
+    return written.withColumns({"__part": F.shiftright("__id", PLACE_BITS), "__at": place}).drop("__id")
 
-def range_bucket(df: DataFrame, order: Sequence[str], *, buckets: int = 128) -> Column:
-    """Order-preserving bucket number of each row over the composite key ``order``.
 
-    Nulls sort first. Comparing the whole key lets a tie-breaker split rows that
-    share their leading value. The split points enter as constant arrays searched in
-    two steps, which keeps the generated code small whatever the key is made of.
-    """
-    points = _split_points(df, order, buckets)
-    if not points:
-        return F.lit(0)
-    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order])
-    rows = [[json_value(p[c]) for c in order] for p in points]
-    as_objects = [dict(zip(order, r)) for r in rows]
-    step = max(1, round(len(rows) ** 0.5))
-    chunks = [as_objects[i : i + step] for i in range(0, len(as_objects), step)]
-    coarse = F.from_json(F.lit(json.dumps([c[-1] for c in chunks])), T.ArrayType(schema))
-    # Behind the last block there is nothing left to search.
-    fine = F.from_json(F.lit(json.dumps([*chunks, []])), T.ArrayType(T.ArrayType(schema)))
-
-    def below(bounds: Column, key: Column) -> Column:
-        return F.size(F.filter(bounds, lambda b: b < key))
-
-    # One-element arrays bind the key and the block, so that each is evaluated once.
-    key = F.array(F.struct(*order).cast(schema))
-    located = F.transform(key, lambda k: F.struct(k.alias("key"), below(coarse, k).alias("block")))
-    numbered = F.transform(located, lambda s: s["block"] * step + below(F.get(fine, s["block"]), s["key"]))
-    return F.get(numbered, 0)
-
-
-def json_value(value):
-    """A split value as JSON; dates and decimals travel as text."""
-    return value if value is None or isinstance(value, (bool, int, float, str)) else str(value)
-
-
-def keyed_row_number(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, *, buckets: int = 128
-) -> DataFrame:
+def keyed_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """1-based position within each key in the order of ``order`` (which should be unique there).
 
-    Rows are numbered inside range buckets, so a key holding a third of all rows is
-    numbered by many tasks; the bucket counts, at most ``buckets`` rows per key,
-    give each bucket its offset.
+    Rows are numbered inside range partitions, so a key holding a third of all rows is numbered by many tasks. The
+    counts by partition and key, about as many rows as partitions and keys together, give each its offset.
     """
-    tagged = df.withColumn("__b", range_bucket(df, [*keys, *order], buckets=buckets))
-    sizes = tagged.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__size"))
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    laid = sorted_layout(df, [*keys, *order])
+    sizes = laid.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b").alias("__ob"),
-        F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"),
+        F.col("__part").alias("__p"), *[F.col(k).alias(f"__k_{k}") for k in keys],
+        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__offset"),
     )
     same = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys],
-        F.col("__b") == F.col("__ob"),
-    )
-    within = Window.partitionBy(*keys, "__b").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys], F.col("__part") == F.col("__p"))
     return (
-        tagged.withColumn("__i", F.row_number().over(within))
-        .join(offsets, same)
-        .withColumn(out, (F.col("__offset") + F.col("__i")).cast("long"))
-        .drop("__b", "__ob", "__offset", "__i", *[f"__k_{k}" for k in keys])
+        laid.join(offsets, same)
+        .withColumn(out, (F.col("__offset") + F.col("__at")).cast("long"))
+        .drop("__part", "__at", "__p", "__offset", *[f"__k_{k}" for k in keys])
     )
 
 
-def global_row_number(
-    df: DataFrame, order: Sequence[str], out: str, *, buckets: int = 128
-) -> DataFrame:
+def global_row_number(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     """1-based position in the total order of ``order``."""
-    return keyed_row_number(df, [], order, out, buckets=buckets)
+    return keyed_row_number(df, [], order, out)
 
 
 def leaders(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -45,10 +45,10 @@ def _slopes(grouped: GroupedData, y: str, x: str, *extra: Column) -> DataFrame:
 
 
 def with_inference(fits: DataFrame, *, level: float = 0.95) -> DataFrame:
-    """Add p-value and slope confidence bounds; one row per group, so Python is cheap here."""
-    margin = t_critical(F.lit(1 - level), F.col("dof").cast("double")) * F.col("se")
+    """Add p-value and slope confidence bounds to one row per group."""
+    margin = t_critical(1 - level, F.col("dof")) * F.col("se")
     return (
-        fits.withColumn("p_value", t_p_value("t", F.col("dof").cast("double")))
+        fits.withColumn("p_value", t_p_value(F.col("t"), F.col("dof")))
         .withColumn("__m", margin)
         .withColumn("lower", F.col("slope") - F.col("__m"))
         .withColumn("upper", F.col("slope") + F.col("__m"))
@@ -143,7 +143,7 @@ def logistic_fit(
     rows = zip([*(n for n, _ in terms), "(Intercept)"], estimates, errors)
     table = literal_table(cells.sparkSession, rows, _COEFFICIENTS)
     z = F.try_divide("estimate", "se")
-    return table.withColumn("z", z).withColumn("p", normal_p_value("z"))
+    return table.withColumn("z", z).withColumn("p", normal_p_value(F.col("z")))
 
 
 def treatment_terms(df: DataFrame, column: str) -> list[tuple[str, Column]]:

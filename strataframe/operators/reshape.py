@@ -80,13 +80,15 @@ def complete(
     return nullsafe_join(grid, df, [key, level_col], "full").fillna(dict(fill))
 
 
-def expand_range(df: DataFrame, low: str, high: str, out: str) -> DataFrame:
-    """One row per integer from ``low`` to ``high``; a reversed range raises on execution,
-    null bounds give no row."""
+def expand_range(df: DataFrame, low: str, high: str, out: str, levels: Sequence[int] | None = None) -> DataFrame:
+    """One row per integer from ``low`` to ``high``, or per one of ``levels`` in between; a reversed range raises on
+    execution, null bounds give no row."""
     steps = F.when(
         F.col(low) > F.col(high),
         F.raise_error(F.format_string("reversed range %s..%s", F.col(low), F.col(high))).cast("array<int>"),
-    ).otherwise(F.sequence(F.col(low).cast("int"), F.col(high).cast("int"), F.lit(1)))
+    ).otherwise(
+        F.sequence(F.col(low).cast("int"), F.col(high).cast("int"), F.lit(1)) if levels is None
+        else F.filter(F.array(*map(F.lit, levels)), lambda v: v.between(F.col(low), F.col(high))))
     return df.withColumn(out, F.explode(steps))
 
 

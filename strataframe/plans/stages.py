@@ -32,8 +32,8 @@ def bin_bounds(
     max_ma, min_ma = F.col("max_ma"), F.col("min_ma")
     staged = has_older_stage(max_ma, intervals.bottoms) & has_younger_stage(min_ma, intervals.tops, closed=closed)
     return occurrences.where(staged).withColumns({
-        older: stage_of_older_bound(max_ma, intervals.bottoms),
-        younger: stage_of_younger_bound(min_ma, intervals.tops, closed=closed),
+        older: stage_of_older_bound(max_ma, intervals.bottoms, intervals.numbers),
+        younger: stage_of_younger_bound(min_ma, intervals.tops, intervals.numbers, closed=closed),
     })
 
 
@@ -73,11 +73,11 @@ def single_stage_occurrences(
     )
     seen = sets.where(F.coalesce(*words).isNotNull())
 
-    def is_member(stage: Column) -> Column:
-        word = F.get(F.array(*words), F.floor((stage - 1) / 62).cast("int"))
-        return F.bit_get(word, (stage - 1) % 62) == 1
+    def is_member(_: Column, position: Column) -> Column:
+        word = F.get(F.array(*words), F.floor(position / 62).cast("int"))
+        return F.bit_get(word, position % 62) == 1
 
-    every = F.sequence(F.lit(1), F.lit(len(intervals)))
+    every = F.array(*map(F.lit, intervals.numbers))
     return label_taxa(seen, traits).select(
         "accepted_name", F.explode(F.filter(every, is_member)).alias("bin"), "group_id", "group"
     )
@@ -86,8 +86,8 @@ def single_stage_occurrences(
 def _stage_bit(intervals: Intervals, word: int, closed: str) -> Column:
     """The bit of a row's single stage within one 62-bit word of the set, else null."""
 
-    def leaf(stage: int) -> Column:
-        at = stage - 1 - 62 * word
+    def leaf(position: int) -> Column:
+        at = position - 1 - 62 * word
         return F.lit(1 << at if 0 <= at < 62 else None).cast("long")
 
     return single_stage(
@@ -95,7 +95,18 @@ def _stage_bit(intervals: Intervals, word: int, closed: str) -> Column:
     )
 
 
-def presence_absence(sightings: DataFrame, bins: Sequence[int]) -> DataFrame:
+def observed_bins(sightings: DataFrame, intervals: Intervals) -> list[int]:
+    """The stages from the first to the last one sighted, as ``Intervals.durations`` gives them."""
+    span = sightings.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).first()
+    return intervals.between(span.lo, span.hi)
+
+
+def presence_absence(sightings: DataFrame, bins: Sequence[int] | Intervals) -> DataFrame:
+    """Taxa by stages, 0 or 1. Given the interval table, the columns run over the stages observed, found by a pass over the
+    sightings; given ``bins``, over those.
+    """
+    if isinstance(bins, Intervals):
+        bins = observed_bins(sightings, bins)
     return presence_matrix(sightings, ["accepted_name", "group_id"], "bin", bins)
 
 
@@ -110,7 +121,7 @@ def range_through(occurrences: DataFrame, traits: DataFrame, intervals: Interval
         .groupBy("accepted_name")
         .agg(F.min("bin_ori").alias("bin_ori"), F.max("bin_ext").alias("bin_ext"))
     )
-    expanded = expand_range(label_taxa(ranges, traits), "bin_ori", "bin_ext", "bin_occ")
+    expanded = expand_range(label_taxa(ranges, traits), "bin_ori", "bin_ext", "bin_occ", intervals.numbers)
     return expanded.select(
         "accepted_name", "bin_occ", "bin_ext",
         (F.col("bin_occ") == F.col("bin_ext")).cast("int").alias("ext_signal"),
@@ -129,7 +140,7 @@ def standing_richness(traits: DataFrame, intervals: Intervals) -> DataFrame:
     )
     spans = counts(staged, ["group", "early_stg", "late_stg"], "__n")
     per_stage = (
-        spans.withColumn("stg_occ", F.explode(F.sequence("early_stg", "late_stg")))
+        expand_range(spans, "early_stg", "late_stg", "stg_occ", intervals.numbers)
         .groupBy("group", "stg_occ").agg(F.sum("__n").alias("n"))
     )
     mids = intervals.dimension(traits.sparkSession, F.col("stg").alias("stg_occ"), "mid")

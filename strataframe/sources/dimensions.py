@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from strataframe.functions.binning import MAX_TREE_BREAKS
 from strataframe.schemas import INTERVAL_KEYS, STAGES
 
 MAX_DIMENSION_ROWS = 10_000
@@ -44,16 +43,6 @@ def take_dimension(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> list:
     return rows
 
 
-def bounded_sample(df: DataFrame, size: int = 8_192) -> list:
-    """About ``size`` random rows, or all of a smaller table.
-
-    Counting first keeps the sample to what is wanted; a top-k by random order would
-    send ``size`` rows of every partition to one task.
-    """
-    n = df.count()
-    return (df if n <= size else df.sample(size / n, seed=11)).collect()
-
-
 def small_table(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
     """The counts that a fit iterates over, computed once and held inline; more than ``max_rows`` rows are refused."""
     return literal_table(df.sparkSession, take_dimension(df, max_rows), df.schema)
@@ -68,11 +57,14 @@ class Intervals:
     @classmethod
     def from_rows(cls, rows: Iterable[Sequence]) -> "Intervals":
         ordered = tuple(sorted((tuple(r) for r in rows), key=lambda r: r[0]))
-        if len(ordered) > MAX_TREE_BREAKS:
-            raise ValueError(f"interval table has more than {MAX_TREE_BREAKS} rows")
-        # Binning returns positions; every other table joins on the ordinal.
-        if [r[0] for r in ordered] != list(range(1, len(ordered) + 1)):
-            raise ValueError("interval ordinals must be 1 to n")
+        if len(ordered) > MAX_DIMENSION_ROWS:
+            raise ValueError(f"interval table has more than {MAX_DIMENSION_ROWS} rows")
+        # Any whole numbers will do, as long as they tell the stages apart and grow towards the present.
+        if len({r[0] for r in ordered}) != len(ordered):
+            raise ValueError("interval ordinals must be distinct")
+        at = STAGES.names.index("bottom"), STAGES.names.index("top")
+        if any([r[i] for r in ordered] != sorted((r[i] for r in ordered), reverse=True) for i in at):
+            raise ValueError("interval ages must fall as ordinals grow")
         return cls(ordered)
 
     @classmethod
@@ -83,6 +75,15 @@ class Intervals:
         at = STAGES.names.index(name)
         return [r[at] for r in self.rows]
 
+    @cached_property
+    def numbers(self) -> list[int]:
+        """The stages' ordinals, oldest first."""
+        return self._column("stg")
+
+    def between(self, low: int | None, high: int | None) -> list[int]:
+        """Ordinals of the stages from ``low`` to ``high``; none without bounds."""
+        return [] if low is None else [i for i in self.numbers if low <= i <= high]
+
     @cached_property
     def bottoms(self) -> list[float]:
         return self._column("bottom")

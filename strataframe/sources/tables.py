@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +33,22 @@ def write_csv(
        .csv(path))
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """One folder of this machine for a local process, gone when it ends."""
+    folder = tempfile.mkdtemp(prefix="strataframe-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder every executor can reach: under the session's checkpoint folder.
 
-    Only a local session without that setting gets a folder of this machine.
+    Only a local session without that setting gets a folder of this machine, for as long as the process lives.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix="strataframe-")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+        shared = _own_folder()
+    return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"

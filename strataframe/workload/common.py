@@ -10,3 +10,32 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
         (F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`")
         for c, t in df.dtypes
     ])
+
+
+def tails_sql(fits: str, tail: float = 0.05) -> str:
+    """CTEs ``tails`` (k, p, critical) for ``fits`` (k, t, dof) by Simpson's rule, not by the functions under test.
+
+    With v = sqrt(dof) atan(t / sqrt(dof)) the Student-t density is cos(v / sqrt(dof))^(dof - 1) but for a factor.
+    """
+    f = lambda v: f"greatest(cos(({v}) / sqrt(dof)), 0) ^ (dof - 1)"
+    return f"""nodes AS (SELECT k, dof, i, least(40, pi() / 2 * sqrt(dof)) / 16000 AS h
+  FROM (SELECT k, CAST(dof AS DOUBLE) AS dof FROM {fits} WHERE dof > 0), (SELECT unnest(range(16001)) AS i)),
+heights AS (SELECT *, {f("i * h")} AS y FROM nodes),
+parts AS (SELECT *, CASE WHEN i > 0 THEN h * (lag(y, 2) OVER w + 4 * lag(y) OVER w + y) / 3 ELSE 0 END AS s
+  FROM heights WINDOW w AS (PARTITION BY k ORDER BY i)),
+areas AS (SELECT k, dof, i, h, y, sum(s) OVER (PARTITION BY k ORDER BY i) AS area FROM parts WHERE i % 2 = 0),
+whole AS (SELECT k, max(area) AS all_area FROM areas GROUP BY k),
+placed AS (SELECT f.k, f.t, CAST(f.dof AS DOUBLE) AS dof, sqrt(f.dof) * atan(abs(f.t) / sqrt(f.dof)) AS v FROM {fits} f WHERE f.dof > 0),
+ps AS (SELECT p.k, CASE WHEN p.t IS NULL THEN NULL WHEN a.k IS NULL THEN 0 ELSE greatest(0, 1 - (a.area + (v - i * h) / 6 * (y
+  + 4 * greatest(cos((v + i * h) / 2 / sqrt(p.dof)), 0) ^ (p.dof - 1) + greatest(cos(v / sqrt(p.dof)), 0) ^ (p.dof - 1))) / all_area) END AS p
+  FROM placed p JOIN whole USING (k) LEFT JOIN areas a ON a.k = p.k AND a.i = 2 * floor(v / (2 * h)) AND a.i < 16000),
+edge AS (SELECT k, dof, i * h AS v0, y, {1 - tail} * all_area - area AS rest,
+  -(dof - 1) / sqrt(dof) * tan(i * h / sqrt(dof)) * y AS slope FROM areas JOIN whole USING (k)
+  WHERE area <= {1 - tail} * all_area QUALIFY row_number() OVER (PARTITION BY k ORDER BY i DESC) = 1),
+criticals AS (SELECT k, sqrt(dof) * tan((v0 + 2 * rest / (y + sqrt(y * y + 2 * slope * rest))) / sqrt(dof)) AS critical FROM edge),
+tails AS (SELECT k, p, critical FROM ps JOIN criticals USING (k))"""
+
+
+def number_sql(value: str) -> str:
+    """One decimal place, without a trailing zero; null reads NA."""
+    return f"coalesce(regexp_replace(CAST(CAST(round({value}, 1) AS DECIMAL(20, 1)) AS VARCHAR), '\\.0$', ''), 'NA')"

@@ -21,7 +21,8 @@ _ROWS = tuple(
     for i, (b, t) in enumerate(zip(_BOTTOMS, (*_BOTTOMS[1:], 0)))
 )
 INTERVALS = Intervals.from_rows(_ROWS)
-BINS = tuple(range(1, 13))
+#: The stages that the supplied tables have sightings in, for the columns of the oracle's matrix.
+OBSERVED_BINS = tuple(range(2, 12))
 INTERVAL_NAMES = {f"Stage {c}": i + 1 for i, c in enumerate("abcdefghijkl")}
 ERA_BREAKS, ERA_LABELS = (2700.0, 1600.0, 620.0, 0.0), ("Cenozoic", "Mesozoic", "Paleozoic")
 CORRECTIONS = {"late_epoch": {"Upper Epoch F": "Epoch F"}, "early_epoch": {"Epoch B beds": "Epoch B"}}

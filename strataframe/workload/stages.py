@@ -88,10 +88,10 @@ def range_through_signal(spark, sf_dir):
 
 
 @query("presence_matrix", with_(src.SIGHTINGS_SQL, "SELECT accepted_name, group_id, " + ", ".join(
-    f"max(CAST(bin = {b} AS INTEGER)) AS bin_{b}" for b in src.BINS) + " FROM sightings GROUP BY 1, 2"))
+    f"max(CAST(bin = {b} AS INTEGER)) AS bin_{b}" for b in src.OBSERVED_BINS) + " FROM sightings GROUP BY 1, 2"))
 def presence_matrix(spark, sf_dir):
     seen = stages.single_stage_occurrences(src.dated(spark, sf_dir), src.traits(spark, sf_dir), INTERVALS)
-    return stages.presence_absence(seen, src.BINS)
+    return stages.presence_absence(seen, INTERVALS)
 
 
 @query("interval_durations", with_(src.SIGHTINGS_SQL, """

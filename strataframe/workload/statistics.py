@@ -14,7 +14,7 @@ from strataframe.operators.reshape import unpivot
 from strataframe.plans import reports
 from strataframe.workload import inputs as src, query
 from strataframe.workload.appearances import FROM_OCCURRENCES_SQL, _differences
-from strataframe.workload.common import rounded
+from strataframe.workload.common import number_sql, rounded, tails_sql
 from strataframe.workload.inputs import with_
 
 
@@ -55,18 +55,44 @@ def fit_endpoints(spark, sf_dir):
     return rounded(regression.fitted_ends(_priced(spark, sf_dir), "y", "x", ["l_returnflag"]))
 
 
-@query("ols_inference")
-def ols_inference(spark, sf_dir):
-    fits = regression.least_squares(_priced(spark, sf_dir), "y", "x", ["l_returnflag"])
-    return rounded(regression.with_inference(fits), 8)
+_INFERENCE_SQL = f"""WITH m AS (SELECT l_returnflag AS k, regr_count(y, x) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
+  regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy
+  FROM (SELECT l_returnflag, ln(l_extendedprice) AS y, l_quantity AS x FROM lineitem) GROUP BY 1),
+fits AS (SELECT k, n, slope, intercept, n - 2 AS dof, sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) AS se, slope / se AS t FROM m),
+{tails_sql("fits")}
+SELECT k AS l_returnflag, CAST(n AS BIGINT) AS n, round(slope, 8) AS slope, round(intercept, 8) AS intercept, CAST(dof AS BIGINT) AS dof,
+  round(se, 8) AS se, round(t, 4) AS t, round(p, 8) AS p_value, round(slope - critical * se, 8) AS lower, round(slope + critical * se, 8) AS upper
+FROM fits JOIN tails USING (k)"""
 
 
-@query("trend_table")
+@query("ols_inference", _INFERENCE_SQL)
+def ols_inference(spark, sf_dir):
+    fits = regression.with_inference(regression.least_squares(_priced(spark, sf_dir), "y", "x", ["l_returnflag"]))
+    return _ols_rounded(fits).withColumns({c: F.round(c, 8) for c in ("p_value", "lower", "upper")})
+
+
+def _trend_sql(as_published: bool) -> str:
+    per = lambda v: number_sql(f"(exp({v}) - 1) * 100 * 10") + " || '%'"
+    one_star = "p BETWEEN 0.05 AND 0.01" if as_published else "p BETWEEN 0.01 AND 0.05"
+    star = f"CASE WHEN p > 0.05 THEN 'ns' WHEN p BETWEEN 0.001 AND 0.01 THEN '**' WHEN {one_star} THEN '*' WHEN p < 0.001 THEN '***' END"
+    if as_published:
+        star = f"CASE WHEN k = 'Overall' THEN '***' ELSE {star} END"
+    return with_(f"""{src.TRAITS_SQL},
+points AS (SELECT "group", ln(max_size_m) AS y, -((age_early_epoch - age_late_epoch) / 2 + age_late_epoch) AS x FROM traits),
+both_ AS (SELECT "group" AS k, y, x FROM points UNION ALL SELECT 'Overall', y, x FROM points),
+m AS (SELECT k, regr_count(y, x) AS n, regr_slope(y, x) AS slope, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy FROM both_ GROUP BY 1),
+fits AS (SELECT k, slope, n - 2 AS dof, sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) AS se, slope / se AS t FROM m),
+{tails_sql("fits")}""", f"""
+SELECT k AS "group", {per("slope")} AS mean_trend, {star} AS p_star,
+  '[' || {per("slope - critical * se")} || ', ' || {per("slope + critical * se")} || ']' AS "CI" FROM fits LEFT JOIN tails USING (k)""")
+
+
+@query("trend_table", _trend_sql(False))
 def trend_table(spark, sf_dir):
     return reports.size_trend(src.traits(spark, sf_dir))
 
 
-@query("trend_table_published")
+@query("trend_table_published", _trend_sql(True))
 def trend_table_published(spark, sf_dir):
     return reports.size_trend(src.traits(spark, sf_dir), as_published=True)
 

@@ -59,11 +59,12 @@ def test_cut_matches_brute_force(spark):
     assert stages == sorted(stages, reverse=True)
 
 
-def test_breaks_are_checked():
+def test_breaks_are_checked(spark):
     with pytest.raises(ValueError):
         binning.cut_index(F, [1.0, 1.0, 2.0])
-    with pytest.raises(ValueError):
-        binning.cut_index(F, range(2000))
+    # Beyond the length of a tree one array is searched.
+    found = one(spark, [0.0, 0.5, 1.0, 1999.0, 1234.5, -1.0, None], lambda c: binning.cut_index(c, range(2000)))
+    assert found == [None, 1, 1, 1999, 1235, None, None]
 
 
 def test_histogram_bins_are_centred_and_right_closed(spark):
@@ -113,18 +114,33 @@ def test_stars(spark):
     (1, 0.05, 12.7062), (2, 0.05, 4.3027), (5, 0.05, 2.5706), (10, 0.05, 2.2281), (30, 0.05, 2.0423),
     (120, 0.05, 1.9799), (1, 0.001, 636.619), (10, 0.001, 4.5869), (1e9, 0.05, 1.959964),
 ])
-def test_student_t(df, tail, t):
-    assert numeric.t_quantile(tail, df)[0] == pytest.approx(t, abs=6e-4 * max(1, t / 10))
-    assert numeric.t_tail(t, df)[0] == pytest.approx(tail, rel=2e-3)
+def test_student_t(spark, df, tail, t):
+    got = spark.range(1).select(numeric.t_critical(tail, F.lit(float(df))), numeric.t_p_value(F.lit(t), F.lit(float(df)))).first()
+    assert got[0] == pytest.approx(t, abs=6e-4 * max(1, t / 10))
+    assert got[1] == pytest.approx(tail, rel=2e-3)
 
 
 def test_student_t_edges(spark):
-    assert numeric.t_tail(0.0, 3)[0] == pytest.approx(1.0)
-    assert math.isnan(numeric.t_tail(1.0, 0)[0])
-    # One degree of freedom is the Cauchy distribution.
-    for t in (0.1, 1.0, 7.0):
-        assert numeric.t_tail(t, 1)[0] == pytest.approx(1 - 2 * math.atan(t) / math.pi, rel=1e-10)
-    assert one(spark, [1.959964, 0.0, None], numeric.normal_p_value)[:2] == pytest.approx([0.05, 1.0], abs=1e-6)
+    with_dof = lambda n: lambda t: numeric.t_p_value(t, F.lit(n))
+    assert one(spark, [0.0, math.inf, -math.inf, math.nan, None], with_dof(3)) == [1.0, 0.0, 0.0, None, None]
+    assert one(spark, [1.0], with_dof(0)) == [None] and spark.range(1).select(numeric.t_critical(0.05, F.lit(0))).first()[0] is None
+    # One degree of freedom is the Cauchy distribution, two have a closed form.
+    for t in (0.1, 1.0, 7.0, 3e5):
+        assert one(spark, [t, -t], with_dof(1)) == pytest.approx([1 - 2 * math.atan(t) / math.pi] * 2, rel=1e-9)
+        assert one(spark, [t], with_dof(2)) == pytest.approx([1 - t / math.sqrt(2 + t * t)], rel=1e-8, abs=1e-15)
+
+
+def test_student_t_tail_inverts(spark):
+    for n in (1, 2, 3, 7, 40, 1000, 10**6):
+        for tail in (0.5, 0.05, 1e-3, 1e-6):
+            q = spark.range(1).select(numeric.t_critical(tail, F.lit(n)).alias("t")).select(numeric.t_p_value(F.col("t"), F.lit(n))).first()[0]
+            assert q == pytest.approx(tail, rel=1e-8)
+
+
+def test_normal_tail(spark):
+    z = [0.0, 1e-9, 0.5, 1.959964, 4.2, 4.3, -6.0, 30.0, math.inf]
+    assert one(spark, z, numeric.normal_p_value) == pytest.approx([math.erfc(abs(v) / math.sqrt(2)) for v in z], rel=1e-9)
+    assert one(spark, [None, math.nan], numeric.normal_p_value) == [None, None]
 
 
 def test_bad_numbers_become_null(spark):

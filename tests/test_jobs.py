@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +215,51 @@ def test_dimensions_are_size_checked(spark):
     assert FOUR.systems == ["Lower", "Upper"] and FOUR.series == ["Old", "Mid", "New"]
     bins = spark.createDataFrame([(2,), (3,)], "bin int")
     assert rows(FOUR.durations(spark, bins)) == [(2, 10.0), (3, 10.0)]
+
+
+def many_stages(n, first=1, step=1):
+    return Intervals.from_rows([(first + i * step, f"S{i // 5}", f"Y{i // 20}", float(2 * (n - i)), float(2 * (n - i) - 2), 2.0 * (n - i) - 1, 2.0) for i in range(n)])
+
+
+@pytest.mark.parametrize("n, first, step", [(95, 1, 1), (95, 40, 1), (130, -7, 3), (600, 5, 2)])
+def test_stages_of_any_number_and_numbering(spark, n, first, step):
+    table = many_stages(n, first, step)
+    rng = random.Random(n)
+    ages = [(rng.choice([rng.uniform(-3, 2 * n + 3), 2.0 * rng.randrange(n + 1)]), i) for i in range(400)]
+    ages = [(max(a, b), min(a, b)) for (a, _), (b, _) in zip(ages, ages[1:] + ages[:1])] + [(7.0, 6.5), (2.0 * n, 2.0 * n - 1), (None, 3.0)]
+    occurrences = spark.createDataFrame([(f"Gen sp{i % 50}", a, b) for i, (a, b) in enumerate(ages)], "accepted_name string, max_ma double, min_ma double")
+
+    # Bin i of the ascending bounds is right-closed; the lowest bound is in the first.
+    def cut(age, bounds):
+        if age is None or not bounds[0] <= age <= bounds[-1]:
+            return None
+        return max(1, next(i for i, b in enumerate(bounds) if age <= b))
+
+    older = {a: None if (c := cut(a, table.bottoms[::-1])) is None else table.numbers[n - c - 1] for a, _ in ages}
+    younger = {b: None if (c := cut(b, table.tops[::-1])) is None else table.numbers[n - c] for _, b in ages}
+    got = rows(stages.bin_bounds(occurrences, table).select("max_ma", "min_ma", "bin_max", "bin_min"))
+    assert got == sorted((a, b, older[a], younger[b]) for a, b in ages if older[a] is not None and younger[b] is not None)
+
+    traits = spark.createDataFrame([("Gen sp1", "species", "Gen", "G")], "taxa string, taxonomic_rank string, genus string, group string")
+    seen = stages.single_stage_occurrences(occurrences, traits, table)
+    want = {(f"Gen sp{i % 50}", older[a]) for i, (a, b) in enumerate(ages) if older[a] is not None and older[a] == younger[b]}
+    assert {(r.accepted_name, r.bin) for r in seen.collect()} == want
+    bins = [b for _, b in want]
+    matrix = stages.presence_absence(seen, table)
+    assert matrix.columns[2:] == [f"bin_{b}" for b in table.numbers if min(bins) <= b <= max(bins)]
+    assert [r.stg for r in table.durations(spark, seen).collect()] == [int(c[4:]) for c in matrix.columns[2:]]
+
+
+def test_interval_tables_are_checked():
+    with pytest.raises(ValueError):
+        Intervals.from_rows([(1, "a", "b", 3.0, 2.0, 2.5, 1.0), (1, "a", "b", 2.0, 1.0, 1.5, 1.0)])
+    with pytest.raises(ValueError):
+        Intervals.from_rows([(1, "a", "b", 2.0, 1.0, 1.5, 1.0), (2, "a", "b", 3.0, 2.0, 2.5, 1.0)])
+
+
+def test_names_are_cleaned_above_their_aggregate(spark):
+    raw = spark.createDataFrame([("G. sp. one", "G ? one", "subjective synonym of")] * 3, "accepted_name string, identified_name string, difference string")
+    for df in (occ.synonym_table(raw, ["subjective synonym of"]), occ.name_counts(raw).where("name is not null")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.rindex("Aggregate ["):].split("\n", 1)[1]
+        assert "regexp_replace" in plan and "regexp_replace" not in below
