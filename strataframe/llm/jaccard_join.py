@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strataframe.llm.components import components
 from strataframe.llm.hashing import U, mix, shingle_sets
-from strataframe.llm.shared import Scratch, column, flat_bytes, gathered, row_chunks
+from strataframe.llm.shared import Scratch, column, flat_bytes, gathered, released, row_chunks
 
 #: Slots of the shingle count, whatever the input (4 MB, its rare bits 512 kB), sent in parts.
 SLOT_BITS = 22
@@ -296,15 +296,15 @@ def jaccard_classes(docs: DataFrame, scratch: Scratch, *, width: int = 5, percen
     texts = docs.select("doc_id", "text")
     context = texts.sparkSession.sparkContext
     scanned = scratch.write(
-        texts.mapInArrow(_scan(width, levels), "doc_id long, n_shingles long, print binary, nodes array<long>, part int, counts binary"), "sets")
+        texts.mapInArrow(released(_scan(width, levels)), "doc_id long, n_shingles long, print binary, nodes array<long>, part int, counts binary"), "sets")
     sets = scanned.where("part is null").select("doc_id", "n_shingles", "print", "nodes")
     counts = scanned.where("part is not null").select("part", "counts").repartition(SKETCH_PARTS, "part")
-    rare = {r.part: bytes(r.rare) for r in counts.mapInArrow(_add_counts, "part int, rare binary").collect()}
+    rare = {r.part: bytes(r.rare) for r in counts.mapInArrow(released(_add_counts), "part int, rare binary").collect()}
     blank = np.packbits(np.ones((1 << SLOT_BITS) // SKETCH_PARTS, bool)).tobytes()
     rare_bits = context.broadcast(b"".join(rare.get(k, blank) for k in range(SKETCH_PARTS)))
 
-    keys = texts.select("text").mapInArrow(_index(width, levels, rare_bits), "key long, a long, b long")
-    proposed = keys.repartition("key").mapInArrow(_meet, "a long, b long")
+    keys = texts.select("text").mapInArrow(released(_index(width, levels, rare_bits)), "key long, a long, b long")
+    proposed = keys.repartition("key").mapInArrow(released(_meet), "a long, b long")
     clusters = components(scratch.write(proposed, "proposed"), scratch)
 
     one = sets.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes"))
@@ -318,7 +318,7 @@ def jaccard_classes(docs: DataFrame, scratch: Scratch, *, width: int = 5, percen
         .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "print", "text")
         .repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     )
-    links = scratch.write(met.mapInArrow(_verify(width, percent), "a binary, b binary"), "links")
+    links = scratch.write(met.mapInArrow(released(_verify(width, percent)), "a binary, b binary"), "links")
     joined = components(links, scratch)
 
     classes = one.join(joined, one["print"] == joined["node"], "left").select(

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from strataframe.llm.hashing import Ranges
-from strataframe.llm.shared import flat_bytes, row_chunks
+from strataframe.llm.shared import flat_bytes, released, row_chunks
 
 #: Windows of one differencing group, and the part of their capacity that is filled.
 GROUP_WINDOWS = 64
@@ -238,5 +238,5 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int =
     ``end_id``. Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     """
     return docs.select("doc_id", "text").mapInArrow(
-        _pack(tokenizer, capacity, end_id),
+        released(_pack(tokenizer, capacity, end_id)),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

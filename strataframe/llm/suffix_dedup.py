@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strataframe.llm.hashing import U, Ranges
-from strataframe.llm.shared import Scratch, column, flat_bytes, row_chunks
+from strataframe.llm.shared import Scratch, column, flat_bytes, released, row_chunks
 
 #: Bytes of the initial buckets' q-grams.
 Q = 16
@@ -377,14 +377,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 50, hot: int
     first = scratch.write(first, "first")
 
     rows = named.where("doc_id is not null").select("name", "text").mapInArrow(
-        _anchor_rows(length), "bucket long, text long, at long, known int")
+        released(_anchor_rows(length)), "bucket long, text long, at long, known int")
     by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
-    repeats = scratch.write(by_bucket(rows).mapInArrow(_repeated, "name long, at long"), "repeats")
+    repeats = scratch.write(by_bucket(rows).mapInArrow(released(_repeated), "name long, at long"), "repeats")
     places = repeats.groupBy("name").agg(F.collect_set("at").alias("places"))
     wanted = first.join(places, "name").select(F.col("first").alias("doc_id"), "name", "places")
     around = named.join(wanted, ["doc_id", "name"]).select("doc_id", "name", "text", "places").mapInArrow(
-        _contexts(length), "bucket long, doc long, name long, start long, count int, data binary")
-    found = scratch.write(by_bucket(around).mapInArrow(_verdicts(length, hot), "doc_id long, name long, start long, end long, data binary"), "spans")
+        released(_contexts(length)), "bucket long, doc long, name long, start long, count int, data binary")
+    found = scratch.write(by_bucket(around).mapInArrow(released(_verdicts(length, hot)), "doc_id long, name long, start long, end long, data binary"), "spans")
     stretches = found.where("data is null").drop("data").unionByName(_later(found.where("data is not null")))
     spans = stretches.groupBy("doc_id", "name").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     copies = texts.join(first, ["name", "digest"]).where("doc_id > first").select("doc_id", "name").distinct()
@@ -444,4 +444,4 @@ def remove_repeats(
     joined = rows.join(spans, ["doc_id", "name"], "left").drop("name")
     kept = [f for f in joined.schema if f.name not in ("text", "whole", "spans")]
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return joined.mapInArrow(_apply(as_text), f"{shape}, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept {'string' if as_text else 'binary'}")
+    return joined.mapInArrow(released(_apply(as_text)), f"{shape}, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept {'string' if as_text else 'binary'}")

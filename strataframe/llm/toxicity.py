@@ -30,7 +30,7 @@ import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strataframe.llm.shared import flat_bytes
+from strataframe.llm.shared import flat_bytes, released
 
 #: Labelled rows of each class in the fit, about.
 PER_CLASS = 4000
@@ -195,4 +195,4 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(
         None if model is None else (model.ordinary, model.toxic, model.mean, model.spread, model.weights))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(shared), f"{shape}, score double")
+    return docs.mapInArrow(released(_score(shared)), f"{shape}, score double")
