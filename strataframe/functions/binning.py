@@ -58,9 +58,13 @@ def search_tree(value: Column, bounds: Sequence, leaves: Sequence[Column]) -> Co
 
 def bounds_below(value: Column, bounds: Sequence) -> Column:
     """Number of the sorted ``bounds`` that are below ``value``, by halving one constant array; null for a null value."""
-    array = F.array(*bounds)
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    hop = lambda at, step: F.when((at + step <= len(bounds)) & (F.get(array, F.least(at + step, F.lit(len(bounds))) - 1) < value), at + step).otherwise(at)
+    return entries_below(value, F.array(*bounds), len(bounds))
+
+
+def entries_below(value: Column, array: Column, n: int) -> Column:
+    """Number of the ``n`` sorted entries of ``array`` that are below ``value``; null for a null value."""
+    steps = [1 << i for i in reversed(range(n.bit_length()))]
+    hop = lambda at, step: F.when((at + step <= n) & (F.get(array, F.least(at + step, F.lit(n)) - 1) < value), at + step).otherwise(at)
     return F.when(value.isNotNull(), F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), hop))
 
 

@@ -158,6 +158,38 @@ def test_quantiles_of_tiny_groups(spark):
     assert rows(quantiles.exact_quantiles(df, "v", [0.25], by=["k"])) == [("a", 1.0), ("c", 1.25)]
 
 
+def test_quantiles_of_large_groups_and_ties(spark):
+    # Well beyond the size below which all of a group is bracket; a fifth of the rows share one value.
+    df = spark.range(60000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 2).cast("string")).alias("k"),
+                                   F.when(F.col("id") % 5 == 0, 2.5).otherwise(F.exp(F.sin("id") * 9)).alias("v")).persist()
+    probs = [0.0, 0.001, 0.17, 0.5, 0.503, 0.975, 1.0]
+    data = df.toPandas()
+    for r in quantiles.exact_quantiles(df, "v", probs, by=["k"]).collect():
+        assert list(r[1:]) == pytest.approx(list(np.quantile(data.v[data.k == r.k], probs)), rel=1e-12)
+    whole = quantiles.exact_quantiles(df, "v", probs, n_name="n", carry={"top": F.max("__v")}).first()
+    assert list(whole[:-2]) == pytest.approx(list(np.quantile(data.v, probs)), rel=1e-12)
+    assert (whole.n, whole.top) == (60000, data.v.max())
+
+
+def test_quantiles_of_infinite_values_and_empty_tables(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(1, float("nan")), (2, None), (3, inf), (3, 1.0), (3, -inf), (4, inf), (4, inf)], "k int, v double")
+    got = {r[0]: r[1:] for r in quantiles.exact_quantiles(df, "v", [0.0, 0.5, 1.0], by=["k"]).collect()}
+    assert set(got) == {1, 3, 4} and all(map(math.isnan, got[1]))
+    assert got[3] == (-inf, 1.0, inf) and got[4] == (inf, inf, inf)
+    assert quantiles.exact_quantiles(df.where("k = 2"), "v", [0.5]).count() == 0
+
+
+def test_quantiles_read_their_input_once_after_the_brackets(spark, tmp_path):
+    path = str(tmp_path / "v")
+    spark.range(1000).select((F.col("id") % 3).alias("k"), F.rand(1).alias("v")).write.parquet(path)
+    got = quantiles.exact_quantiles(spark.read.parquet(path), "v", [0.025, 0.17, 0.5, 0.83, 0.975], by=["k"])
+    got.collect()
+    # One scan is of the brackets; the counts and the candidates share a shuffle.
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan.count("FileScan") == 2 and "ReusedExchange" in plan
+
+
 def test_density_matches_direct_sum(spark):
     df = skewed(spark, 2000).where("k is not null")
     bw = {r.k: r for r in density.bandwidths(df, "v", ["k"]).collect()}
