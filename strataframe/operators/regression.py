@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame, GroupedData, functions as F, types as T
+from pyspark.sql import Column, DataFrame, GroupedData, Row, functions as F, types as T
 
 from strataframe.functions.numeric import normal_p_value, percent_change, t_critical, t_p_value
 from strataframe.functions.text import interval_text, percent_text
@@ -108,6 +109,10 @@ _COEFFICIENTS = T.StructType([
     T.StructField("se", T.DoubleType()),
 ])
 
+INTERCEPT = "(Intercept)"
+#: Newton passes of a penalised fit, and the step at which it counts as converged.
+MAX_PASSES, STEP = 100, 1e-9
+
 
 class ConstantResponse(ValueError):
     """The response takes one value only: there is nothing to test."""
@@ -120,30 +125,113 @@ def logistic_fit(
 
     ``cells`` are counted covariate patterns, ``weight`` their row counts: the
     likelihood only needs those, so the fit iterates over a tiny table whatever
-    the number of raw rows.
+    the number of raw rows. Cells that lack the response or a term are left out.
+
+    ``fit`` says how a row came about. ``likelihood`` is the maximum. Where a term alone splits
+    the responses, or the maximum is not reached, it does not exist (an estimate would grow for ever with
+    a standard error to match, and read as no effect); then all terms are ``penalised`` (Firth's bias
+    reduction), which is finite. ``separated`` marks the terms that split the responses. A term with one value
+    in all cells has null numbers. A penalised fit that does not settle is ``unconverged``, with null numbers.
     """
-    seen = cells.where(F.col(weight) > 0).agg(
-        F.min(response).alias("lo"), F.max(response).alias("hi"), F.max(weight).alias("top")
-    ).first()
-    if seen.lo is None or seen.lo == seen.hi:
-        raise ConstantResponse(f"{response} is constant ({seen.lo}); the test would pass vacuously")
-    named = [c.cast("double").alias(f"__t{i}") for i, (_, c) in enumerate(terms)]
+    used = cells.where(F.col(weight) > 0).select(
+        F.col(response).cast("double").alias("__y"), F.col(weight).cast("double").alias("__w"),
+        *[c.cast("double").alias(f"__t{i}") for i, (_, c) in enumerate(terms)],
+    ).dropna()
+    names = [n for n, _ in terms]
+    seen = _spans(used, len(names))
+    if seen["lo"] is None or seen["lo"] == seen["hi"]:
+        raise ConstantResponse(f"{response} is constant ({seen['lo']}); the test would pass vacuously")
+    varied = [i for i in range(len(names)) if seen[f"low{i}"] != seen[f"high{i}"]]
+    separated = {
+        names[i] for i in varied
+        if seen[f"high{i}_0"] <= seen[f"low{i}_1"] or seen[f"high{i}_1"] <= seen[f"low{i}_0"]
+    }
+    columns = [f"__t{i}" for i in varied]
+    # Terms that split the responses leave no maximum to look for.
+    found = None if separated else _likelihood_fit(used, columns, seen["top"])
+    kind = "likelihood"
+    if found is None:
+        found = _penalised_fit(used, columns)
+        kind = "penalised" if found else "unconverged"
+    estimates = dict(zip([*(names[i] for i in varied), INTERCEPT], found or ()))
+    rows = [(n, *estimates.get(n, (None, None))) for n in [*names, INTERCEPT]]
+    z = F.try_divide("estimate", "se")
+    table = literal_table(cells.sparkSession, rows, _COEFFICIENTS).withColumn("z", z)
+    return table.withColumns({
+        "p": normal_p_value(F.col("z")), "fit": F.lit(kind), "separated": F.col("term").isin(sorted(separated)),
+    })
+
+
+def _spans(used: DataFrame, terms: int) -> Row:
+    """Least and largest value of the response and, over all cells and per response, of every term."""
+    spans = [F.min("__y").alias("lo"), F.max("__y").alias("hi"), F.max("__w").alias("top")]
+    for i in range(terms):
+        t = F.col(f"__t{i}")
+        spans += [F.min(t).alias(f"low{i}"), F.max(t).alias(f"high{i}")]
+        for y in (0, 1):
+            at = F.when(F.col("__y") == y, t)
+            spans += [F.min(at).alias(f"low{i}_{y}"), F.max(at).alias(f"high{i}_{y}")]
+    return used.agg(*spans).first()
+
+
+def _likelihood_fit(used: DataFrame, columns: Sequence[str], top: float) -> list[tuple[float, float]] | None:
+    """Estimates and standard errors, the intercept last; none where the maximum is not reached."""
     # The solver starts from (w y + 1/2) / (w + 1). Weights above 1 would push that to the
     # boundary and let it diverge; scaling all weights only scales the standard errors.
-    scaled = (F.col(weight) / F.lit(float(seen.top))).alias("__w")
-    design = VectorAssembler(
-        inputCols=[f"__t{i}" for i in range(len(terms))], outputCol="__features"
-    ).transform(cells.select(F.col(response).cast("double").alias("__y"), scaled, *named))
+    scaled = (F.col("__w") / F.lit(float(top))).alias("__s")
+    design = VectorAssembler(inputCols=list(columns), outputCol="__features").transform(used.select("__y", scaled, *columns))
+    passes = 50
     model = GeneralizedLinearRegression(
-        family="binomial", link="logit", featuresCol="__features", labelCol="__y", weightCol="__w",
-        tol=1e-10, maxIter=50,
+        family="binomial", link="logit", featuresCol="__features", labelCol="__y", weightCol="__s",
+        tol=1e-10, maxIter=passes,
     ).fit(design)
-    errors = [e / seen.top**0.5 for e in model.summary.coefficientStandardErrors]
-    estimates = map(float, [*model.coefficients, model.intercept])
-    rows = zip([*(n for n, _ in terms), "(Intercept)"], estimates, errors)
-    table = literal_table(cells.sparkSession, rows, _COEFFICIENTS)
-    z = F.try_divide("estimate", "se")
-    return table.withColumn("z", z).withColumn("p", normal_p_value(F.col("z")))
+    if model.summary.numIterations >= passes:
+        return None
+    errors = [e / top**0.5 for e in model.summary.coefficientStandardErrors]
+    return list(zip(map(float, [*model.coefficients, model.intercept]), errors))
+
+
+def _penalised_fit(used: DataFrame, columns: Sequence[str]) -> list[tuple[float, float]] | None:
+    """Firth's fit: the likelihood times the root of the determinant of the information.
+
+    Spark counts the rows and the responses of each pattern of the terms. The passes only need those
+    counts, of which more than a dimension's rows are refused.
+    """
+    counted = used.groupBy(*columns).agg(F.sum("__w").alias("m"), F.sum(F.col("__w") * F.col("__y")).alias("s"))
+    table = np.array(take_dimension(counted), dtype=float)
+    x = np.column_stack([table[:, :-2], np.ones(len(table))])
+    rows, ones = table[:, -2], table[:, -1]
+
+    def state(at):
+        linear = x @ at
+        q = 1 / (1 + np.exp(-linear))
+        v = rows * q * (1 - q)
+        information = x.T @ (v[:, None] * x)
+        sign, size = np.linalg.slogdet(information)
+        fitted = ones @ linear - rows @ np.logaddexp(0, linear) + size / 2
+        return (fitted if sign > 0 else -np.inf), q, v, information
+
+    at = np.zeros(x.shape[1])
+    now = state(at)
+    for _ in range(MAX_PASSES):
+        fitted, q, v, information = now
+        if not np.isfinite(fitted):
+            return None
+        inverse = np.linalg.inv(information)
+        leverage = v * np.einsum("ij,jk,ik->i", x, inverse, x)
+        step = inverse @ (x.T @ (ones - rows * q + leverage * (0.5 - q)))
+        largest = np.abs(step).max()
+        if largest < STEP:
+            return list(zip(at.tolist(), np.sqrt(np.diag(inverse)).tolist()))
+        # Far from the maximum a full step may overshoot it: cut, then halved until it does not fall.
+        step *= min(1.0, 5.0 / largest)
+        for _ in range(30):
+            now = state(at + step)
+            if now[0] >= fitted - 1e-12 * abs(fitted):
+                break
+            step = step / 2
+        at = at + step
+    return None
 
 
 def treatment_terms(df: DataFrame, column: str) -> list[tuple[str, Column]]:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import FOUR, rows
+from strataframe.plans import reports
 from strataframe.operators import aggregates as agg, captures, density, draws, joins, quantiles, ranking, regression, reshape
 
 
@@ -256,6 +257,65 @@ def test_logistic_two_by_two(spark):
         regression.logistic_fit(cells.where("y = 1"), "y", "n", [("g", F.col("g"))])
 
 
+def _firth(ones, zeros):
+    """Log odds and variance of one cell of a saturated penalised fit: half a row more on both sides."""
+    return math.log((ones + 0.5) / (zeros + 0.5)), (ones + zeros + 1) ** 2 / ((ones + zeros) * (ones + 0.5) * (zeros + 0.5))
+
+
+def test_separated_logistic_is_finite_and_flagged(spark):
+    # Every row of "b" answers 1 and no row of "c": the likelihood has no maximum.
+    cells = spark.createDataFrame(
+        [("a", 1, 12), ("a", 0, 28), ("b", 1, 200), ("b", 0, 0), ("c", 0, 9), ("d", 1, 5), ("d", 0, 5)], "g string, y int, n int")
+    terms = [(f"g{v}", (F.col("g") == v).cast("double")) for v in "bcd"]
+    fit = {r.term: r for r in regression.logistic_fit(cells, "y", "n", terms).collect()}
+    assert {r.fit for r in fit.values()} == {"penalised"}
+    assert {t for t, r in fit.items() if r.separated} == {"gb", "gc"}
+    base, var = _firth(12, 28)
+    for name, (ones, zeros) in {"gb": (200, 0), "gc": (0, 9), "gd": (5, 5)}.items():
+        est, v = _firth(ones, zeros)
+        assert fit[name].estimate == pytest.approx(est - base, abs=1e-6)
+        assert fit[name].se == pytest.approx(math.sqrt(v + var), rel=1e-6)
+    assert fit["gb"].p < 1e-4 and fit["gd"].p > 0.05
+    # So the flag "no term matters" does not turn true by separation.
+    assert not reports.all_above(regression.logistic_fit(cells, "y", "n", terms)).first().is_mar
+
+
+def test_separation_by_no_single_term(spark):
+    # The baseline alone answers 0 throughout, which no term shows: the search for a maximum does not end.
+    cells = spark.createDataFrame([("a", 0, 30), ("b", 1, 6), ("b", 0, 4), ("c", 1, 3), ("c", 0, 7)], "g string, y int, n int")
+    terms = [(f"g{v}", (F.col("g") == v).cast("double")) for v in "bc"]
+    fit = {r.term: r for r in regression.logistic_fit(cells, "y", "n", terms).collect()}
+    assert {r.fit for r in fit.values()} == {"penalised"} and not any(r.separated for r in fit.values())
+    assert fit["(Intercept)"].estimate == pytest.approx(_firth(0, 30)[0], abs=1e-6)
+    assert fit["gb"].estimate == pytest.approx(_firth(6, 4)[0] - _firth(0, 30)[0], abs=1e-6)
+
+
+def test_penalised_slope_against_brute_force(spark):
+    # x alone splits the responses. The penalised likelihood is searched on a fine lattice.
+    data = [(1.0, 0), (2.0, 0), (3.0, 0), (5.0, 1), (6.0, 1)]
+    cells = spark.createDataFrame([(x, y, 1) for x, y in data], "x double, y int, n int")
+    fit = {r.term: r for r in regression.logistic_fit(cells, "y", "n", [("x", F.col("x"))]).collect()}
+    assert fit["x"].separated and fit["x"].fit == "penalised"
+
+    def goal(a, b):
+        q = [1 / (1 + math.exp(-a - b * x)) for x, _ in data]
+        v = [p * (1 - p) for p in q]
+        det = sum(v) * sum(w * x * x for w, (x, _) in zip(v, data)) - sum(w * x for w, (x, _) in zip(v, data)) ** 2
+        return sum(math.log(p if y else 1 - p) for p, (_, y) in zip(q, data)) + 0.5 * math.log(det)
+
+    a, b = fit["(Intercept)"].estimate, fit["x"].estimate
+    near = [goal(a + da * 1e-3, b + db * 1e-3) for da in range(-3, 4) for db in range(-3, 4)]
+    assert goal(a, b) == max(near) and goal(a, b) >= max(goal(i / 4, j / 8) for i in range(-60, 1) for j in range(0, 40))
+
+
+def test_logistic_terms_without_variation_and_missing_cells(spark):
+    cells = spark.createDataFrame([(1, 1, 30), (1, 0, 70), (0, 1, 10), (0, 0, 90), (None, 1, 50)], "g int, y int, n int")
+    terms = [("g", F.col("g")), ("never", F.lit(0))]
+    fit = {r.term: r for r in regression.logistic_fit(cells, "y", "n", terms).collect()}
+    assert fit["never"].estimate is None and fit["never"].p is None
+    assert fit["g"].estimate == pytest.approx(math.log(30 * 90 / (70 * 10)), abs=1e-6) and fit["g"].fit == "likelihood"
+
+
 def test_contrasts_need_both_sides(spark):
     d = spark.createDataFrame([("a", "baseline", 1, 3.0), ("a", "megafauna", 1, 1.0), ("a", "baseline", 2, 9.0),
                                ("b", "baseline", 1, 5.0)], "g string, s string, draw int, v double")
