@@ -8,7 +8,7 @@ from strataframe.operators import draws as dr
 from strataframe.operators.reshape import pivot_lists, pivot_values
 from strataframe.plans import reports, risk, stages
 from strataframe.workload import inputs as src, query
-from strataframe.workload.common import rounded
+from strataframe.workload.common import logit_sql, rounded, wald_sql
 from strataframe.workload.inputs import INTERVALS, with_
 
 
@@ -68,7 +68,21 @@ def risk_glm(spark, sf_dir):
                       (F.round("z", 4) + F.lit(0.0)).alias("z"))
 
 
-@query("risk_glm_through_time")
+# With a slope per side in every group each group is a fit of its own.
+@query("risk_glm_through_time", f"""WITH RECURSIVE {src.SIGNAL_SQL},
+cells AS (SELECT "group" AS grp, group_id AS d, bin_occ AS x, 1 AS w, sum(ext_signal) AS s, count(*) AS m FROM signal GROUP BY ALL),
+{logit_sql("cells")},
+base AS (SELECT * FROM fits WHERE grp = (SELECT min(grp) FROM fits)),
+single AS (SELECT grp, any_value(a) AS a, any_value(den) AS den FROM fits GROUP BY grp),
+terms AS (
+  SELECT '(Intercept)' AS term, a AS estimate, 1 / den AS var FROM single WHERE grp = (SELECT min(grp) FROM fits)
+  UNION ALL SELECT 'group' || g.grp, g.a - b.a, 1 / g.den + 1 / b.den FROM single g, single b
+    WHERE b.grp = (SELECT min(grp) FROM fits) AND g.grp <> b.grp
+  UNION ALL SELECT d || ':bin_occ', beta, 1 / i + (j / i) ^ 2 / den FROM base
+  UNION ALL SELECT 'group' || f.grp || ':' || f.d || ':bin_occ', f.beta - b.beta, 1 / f.i + (f.j / f.i) ^ 2 / f.den + 1 / b.i + (b.j / b.i) ^ 2 / b.den
+    FROM fits f JOIN base b ON f.d = b.d WHERE f.grp <> b.grp),
+tested AS (WITH {wald_sql("terms")})
+SELECT *, 'likelihood' AS fit, false AS separated FROM tested""")
 def risk_glm_through_time(spark, sf_dir):
     return rounded(risk.risk_model_through_time(_signal(spark, sf_dir)))
 

@@ -12,9 +12,10 @@ from strataframe.operators import density, regression
 from strataframe.operators.quantiles import exact_quantiles
 from strataframe.operators.reshape import unpivot
 from strataframe.plans import reports
+from strataframe.sources.dimensions import small_table
 from strataframe.workload import inputs as src, query
 from strataframe.workload.appearances import FROM_OCCURRENCES_SQL, _differences
-from strataframe.workload.common import number_sql, rounded, tails_sql
+from strataframe.workload.common import logit_sql, number_sql, rounded, tails_sql, wald_sql
 from strataframe.workload.inputs import with_
 
 
@@ -138,14 +139,49 @@ def all_above_alpha(spark, sf_dir):
     return src.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(agg.all_true(above).alias("is_mar"))
 
 
-@query("mar_logit")
+def _mar_ctes() -> str:
+    missing = " OR ".join(f"{c} IS NULL" for c in reports.TRAITS)
+    return f"""RECURSIVE {src.TRAITS_SQL},
+flagged AS (SELECT early_era, taxonomic_rank, CAST({missing} AS INTEGER) AS y FROM traits WHERE early_era IS NOT NULL AND taxonomic_rank IS NOT NULL),
+ends AS (SELECT min(taxonomic_rank) AS rank0, max(taxonomic_rank) AS rank1, min(early_era) AS era0 FROM flagged),
+cells AS (SELECT 0 AS grp, early_era AS d, 1 AS x, CAST(taxonomic_rank <> rank0 AS INTEGER) AS w, sum(y) AS s, count(*) AS m FROM flagged, ends GROUP BY ALL),
+{logit_sql("cells")},
+base AS (SELECT f.* FROM fits f, ends WHERE d = era0),
+terms AS (
+  SELECT '(Intercept)' AS term, beta AS estimate, 1 / i + (j / i) ^ 2 / den AS var FROM base
+  UNION ALL SELECT 'taxonomic_rank' || rank1, a, 1 / den FROM base, ends
+  UNION ALL SELECT 'early_era' || f.d, f.beta - b.beta, 1 / f.i + 1 / b.i + (f.j / f.i - b.j / b.i) ^ 2 / f.den FROM fits f, base b WHERE f.d <> b.d)"""
+
+
+def _missing_tests(spark, sf_dir):
+    return reports.missing_at_random(src.traits(spark, sf_dir), ["early_era", "taxonomic_rank"])
+
+
+@query("mar_logit", f"WITH {_mar_ctes()}, tested AS (WITH {wald_sql('terms')}) SELECT *, 'likelihood' AS fit, false AS separated FROM tested")
 def mar_logit(spark, sf_dir):
-    return rounded(reports.missing_at_random(src.traits(spark, sf_dir), ["early_era", "taxonomic_rank"]))
+    return rounded(_missing_tests(spark, sf_dir))
 
 
-@query("mar_flag")
+@query("mar_flag", f"WITH {_mar_ctes()}, tested AS (WITH {wald_sql('terms')}) SELECT bool_and(p > 0.05) AS is_mar FROM tested")
 def mar_flag(spark, sf_dir):
-    return reports.all_above(reports.missing_at_random(src.traits(spark, sf_dir), ["early_era", "taxonomic_rank"]))
+    return reports.all_above(_missing_tests(spark, sf_dir))
+
+
+# Years wholly before or after the day split the responses. A penalised fit of one factor adds half a row to both answers of each year.
+@query("separated_logit", f"""WITH years AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS y, count(*) AS m,
+  sum(CAST(o_orderdate >= TIMESTAMP '1998-07-01' AS INTEGER)) AS s FROM orders GROUP BY 1),
+odds AS (SELECT y, s, m, ln((s + 0.5) / (m - s + 0.5)) AS b, (m + 1.0) * (m + 1.0) / (m * (s + 0.5) * (m - s + 0.5)) AS v FROM years),
+base AS (SELECT * FROM odds ORDER BY y LIMIT 1),
+terms AS (SELECT '(Intercept)' AS term, b AS estimate, v AS var FROM base
+  UNION ALL SELECT 'year' || o.y, o.b - z.b, o.v + z.v FROM odds o, base z WHERE o.y <> z.y),
+tested AS (WITH {wald_sql("terms")})
+SELECT t.*, 'penalised' AS fit, coalesce(o.s IN (0, o.m), false) AS separated FROM tested t LEFT JOIN odds o ON t.term = 'year' || o.y""")
+def separated_logit(spark, sf_dir):
+    """Orders from the middle of 1998 on, by year."""
+    late = (F.col("o_orderdate") >= F.lit("1998-07-01").cast("timestamp")).cast("int")
+    dated = src.table(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("string").alias("year"), late.alias("late"))
+    cells = small_table(agg.counts(dated, ["year", "late"]))
+    return rounded(regression.logistic_fit(cells, "late", "n", regression.treatment_terms(cells, "year")))
 
 
 @query("quantiles_by_type", """
