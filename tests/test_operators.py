@@ -210,6 +210,31 @@ def test_density_matches_direct_sum(spark):
         assert [d for _, d in curve] == pytest.approx(exact, abs=(2e-2 if k == "hot" else 1e-3) * max(exact))
 
 
+def test_density_by_reach(spark):
+    # Two tight heaps far apart, a key without a heap nearby, values that are no numbers.
+    df = spark.createDataFrame(
+        [("a", float(v % 7)) for v in range(70)] + [("b", 1e6 + v % 5) for v in range(50)]
+        + [("a", float("nan")), ("b", float("inf")), ("b", None), ("c", 3.0), (None, 5.0), (None, 6.0)], "k string, v double")
+    got = density.kernel_density(df, "v", ["k"], grid=256, out_points=33)
+    curves = {}
+    for r in got.collect():
+        curves.setdefault(r.k, {})[r.point] = (r.x, r.density)
+    assert set(curves) == {"a", "b", None} and all(sorted(c) == list(range(33)) for c in curves.values())
+    assert curves["a"][0][0] == 0.0 and curves["a"][32][0] == 1e6 + 4
+    # What lies out of reach adds exactly nothing.
+    assert curves["a"][16][1] == curves["a"][32][1] == curves["b"][0][1] == 0.0
+    assert curves["a"][0][1] > 0 and curves["b"][32][1] > 0
+
+
+def test_density_reads(spark, tmp_path):
+    spark.range(4000).selectExpr("id % 3 as k", "sqrt(id) as v").write.parquet(str(tmp_path / "t"))
+    got = density.kernel_density(spark.read.parquet(str(tmp_path / "t")), "v", ["k"], out_points=16)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # The rows are read once more; the other relations are the written bandwidths.
+    relations = [line for line in plan.splitlines() if "Relation [" in line]
+    assert sum("bw#" not in line for line in relations) == 1
+
+
 def test_density_mass_and_bound(spark):
     df = spark.range(3000).select(F.lit("g").alias("g"), F.abs(F.randn(seed=5)).alias("v"))
     curve = sorted((r.x, r.density) for r in density.kernel_density(df, "v", ["g"], lower_bound=0.0).collect())
