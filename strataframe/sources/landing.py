@@ -43,24 +43,64 @@ def read_delimited(
 
 
 def read_trait_parts(
-    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = RAW_TRAITS, **options
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = RAW_TRAITS, *, list_sep: str = ";", **options
 ) -> DataFrame:
-    """Same-shaped trait sheets stacked; list columns arrive as one text, a blank cell as no value."""
+    """Same-shaped trait sheets stacked; the values of a list column are parted by ``list_sep``, a blank cell has none."""
     lists = [f.name for f in schema if isinstance(f.dataType, T.ArrayType)]
-    flat = T.StructType([
-        T.StructField(f.name, f.dataType.elementType if f.name in lists else f.dataType) for f in schema
-    ])
+    flat = T.StructType([T.StructField(f.name, T.StringType() if f.name in lists else f.dataType) for f in schema])
     df = read_delimited(spark, paths, flat, **options)
-    return df.withColumns({c: F.array_compact(F.array(c)) for c in lists})
+    parted = {c: F.coalesce(F.split(c, f"\\Q{list_sep}\\E"), F.array()).cast(schema[c].dataType) for c in lists}
+    return df.withColumns(parted)
+
+
+#: Columns that a file may have beyond the declared ones.
+SPARE_COLUMNS = 64
+
+
+def read_by_header(
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, *, sep: str = "\t",
+    quoting: bool = True, source_key: str = "source_key", message: str = NO_RECORDS,
+) -> DataFrame:
+    """Delimited responses of many files, columns by each file's own header line.
+
+    A file whose header has at most two columns, or with a row that is the "no records" message, is left out as a
+    whole; rows of other files stay however sparse. The header is the row whose first cell is a declared name.
+    Columns may come in any order; a missing one is null, one not declared is not read, and text that does not fit the
+    type is null. Rows of more than two cells in a file without a header raise an error, as does a header
+    of over ``SPARE_COLUMNS`` columns more than declared.
+    """
+    width = len(schema) + SPARE_COLUMNS + 1
+    reader = spark.read.schema(", ".join(f"_c{i} string" for i in range(width))).option("sep", sep).option("nullValue", "")
+    if not quoting:
+        reader = reader.option("quote", "")
+    lines = reader.csv(paths if isinstance(paths, str) else list(paths)).select("*", F.col("_metadata.file_path").alias(source_key))
+    cells = F.array(*[F.col(f"_c{i}") for i in range(width)])
+    is_header = F.coalesce(F.col("_c0").isin(schema.names), F.lit(False))
+    is_message = F.coalesce(F.col("_c0") == message, F.lit(False))
+    # One small row per file; the lines of a large file meet it in several tasks.
+    files = lines.where(is_header | is_message).groupBy(source_key).agg(
+        F.max(F.when(is_header, cells)).alias("__header"), F.max(is_message).alias("__empty"))
+    known = files.select(source_key, "__empty", "__header", F.size(F.array_compact("__header")).alias("__columns"))
+    rows = lines.where(~is_header & ~is_message).select(source_key, cells.alias("__cells"))
+    met = spread_left_join(rows, known, source_key, null_safe=False)
+    lost = F.col("__header").isNull() & ~F.coalesce("__empty", F.lit(False)) & F.exists(F.slice("__cells", 3, width), F.isnotnull)
+    wide = F.get("__header", width - 1).isNotNull()
+    found = met.where(
+        F.when(lost, F.raise_error(F.concat(F.lit("no header in "), source_key)).cast("boolean"))
+        .when(wide, F.raise_error(F.concat(F.lit("too many columns in "), source_key)).cast("boolean"))
+        .otherwise(~F.col("__empty") & (F.col("__columns") > 2))
+    )
+    place = lambda name: F.array_position("__header", name).cast("int") - 1
+    return found.select(
+        *[F.get("__cells", place(f.name)).try_cast(f.dataType).alias(f.name) for f in schema], source_key)
 
 
 def read_occurrences(
     spark: SparkSession, paths: str | Sequence[str], *, quoting: bool = True,
     schema: T.StructType = OCCURRENCES,
 ) -> DataFrame:
-    """Tab-separated occurrence responses, empty ones dropped."""
-    raw = read_delimited(spark, paths, schema, sep="\t", quoting=quoting)
-    return drop_empty_responses(raw, payload=schema.names)
+    """Tab-separated occurrence responses, empty ones dropped file by file."""
+    return read_by_header(spark, paths, schema, quoting=quoting)
 
 
 def drop_empty_responses(

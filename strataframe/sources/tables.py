@@ -23,14 +23,13 @@ def write_table(df: DataFrame, path: str, *, gzip: bool = False, mode: str = "ov
 
 
 def write_csv(
-    df: DataFrame, path: str, *, sep: str = ",", null_value: str = "NA", mode: str = "overwrite"
+    df: DataFrame, path: str, *, sep: str = ",", null_value: str = "NA", mode: str = "overwrite", quoting: bool = True
 ) -> None:
-    """CSV with a header; a null is written as ``NA``."""
-    (df.write.mode(mode)
-       .option("header", True)
-       .option("sep", sep)
-       .option("nullValue", null_value)
-       .csv(path))
+    """CSV with a header; a null is written as ``NA``. Without quoting, text keeps its quotes and outer blanks as they are."""
+    writer = df.write.mode(mode).option("header", True).option("sep", sep).option("nullValue", null_value)
+    if not quoting:
+        writer = writer.option("quote", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.csv(path)
 
 
 @lru_cache(maxsize=1)

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from helpers import FOUR, rows
 from strataframe.plans import appearances as app, occurrences as occ, reports, stages, traits
@@ -183,6 +183,30 @@ def test_landing_directory(spark, tmp_path):
     assert {r[0].rsplit("/", 1)[1] for r in got.select("source_key").collect()} == {"full.tsv"}
 
 
+def test_responses_by_header(spark, tmp_path):
+    schema = "id string, name string, age double, note string"
+    put = lambda name, *lines: (tmp_path / name).write_text("".join("\t".join(line) + "\n" for line in lines))
+    put("a.tsv", ("id", "name", "age", "note"), ("1", 'x "y', "2.5", ""), ("2", "", "", ""))
+    put("b.tsv", ("note", "other", "age", "id"), ("n", "o", "no number", "3"))
+    put("c.tsv", ("id", "name"), ("4", "gone"))
+    put("d.tsv", ("id", "name", "age"), ("5", "gone", "1"), (landing.NO_RECORDS,))
+    put("e.tsv", (landing.NO_RECORDS,))
+    put("f.tsv", ("id", "name", "age"))
+    got = landing.read_by_header(spark, str(tmp_path), spark.createDataFrame([], schema).schema, quoting=False)
+    # A row with two cells of a full file stays, the rows of a two-column file go.
+    assert rows(got, "id", "name", "age", "note") == [("1", 'x "y', 2.5, None), ("2", None, None, None), ("3", None, None, "n")]
+    put("g.tsv", ("what", "is", "this"), ("1", "2", "3"))
+    with pytest.raises(Exception, match="no header in"):
+        landing.read_by_header(spark, str(tmp_path), got.drop("source_key").schema, quoting=False).collect()
+
+
+def test_trait_lists(spark, tmp_path):
+    schema = T.StructType([T.StructField("Taxa", T.StringType()), T.StructField("Sizes", T.ArrayType(T.StringType()))])
+    (tmp_path / "one.csv").write_text("Taxa,Sizes\nA,2;unknown;3.5\nB,\nC,7\n")
+    got = landing.read_trait_parts(spark, str(tmp_path), schema, source_key=None)
+    assert {r.Taxa: r.Sizes for r in got.collect()} == {"A": ["2", "unknown", "3.5"], "B": [], "C": ["7"]}
+
+
 def test_empty_sources_and_repeats(spark):
     df = spark.createDataFrame([("THIS REQUEST RETURNED NO RECORDS", None, None, "s1"), ("9", "a", "b", "s1"),
                                 ("1", None, "x", "s2"), ("1", None, "x", "s3"), (None, "q", "x", "s3")],
