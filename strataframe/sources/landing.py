@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from strataframe.operators.joins import spread_left_join
 from strataframe.schemas import OCCURRENCES, RAW_TRAITS
+from strataframe.sources.tables import scratch_dir
 
 NO_RECORDS = "THIS REQUEST RETURNED NO RECORDS"
 
@@ -53,13 +54,9 @@ def read_trait_parts(
     return df.withColumns(parted)
 
 
-#: Columns that a file may have beyond the declared ones.
-SPARE_COLUMNS = 64
-
-
 def read_by_header(
     spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, *, sep: str = "\t",
-    quoting: bool = True, source_key: str = "source_key", message: str = NO_RECORDS,
+    quoting: bool = True, source_key: str = "source_key", message: str = NO_RECORDS, spare_columns: int = 8,
 ) -> DataFrame:
     """Delimited responses of many files, columns by each file's own header line.
 
@@ -67,9 +64,9 @@ def read_by_header(
     whole; rows of other files stay however sparse. The header is the row whose first cell is a declared name.
     Columns may come in any order; a missing one is null, one not declared is not read, and text that does not fit the
     type is null. Rows of more than two cells in a file without a header raise an error, as does a header
-    of over ``SPARE_COLUMNS`` columns more than declared.
+    with over ``spare_columns`` more columns than declared.
     """
-    width = len(schema) + SPARE_COLUMNS + 1
+    width = len(schema) + spare_columns + 1
     reader = spark.read.schema(", ".join(f"_c{i} string" for i in range(width))).option("sep", sep).option("nullValue", "")
     if not quoting:
         reader = reader.option("quote", "")
@@ -77,22 +74,27 @@ def read_by_header(
     cells = F.array(*[F.col(f"_c{i}") for i in range(width)])
     is_header = F.coalesce(F.col("_c0").isin(schema.names), F.lit(False))
     is_message = F.coalesce(F.col("_c0") == message, F.lit(False))
-    # One small row per file; the lines of a large file meet it in several tasks.
-    files = lines.where(is_header | is_message).groupBy(source_key).agg(
+    marks = lines.where(is_header | is_message).groupBy(source_key).agg(
         F.max(F.when(is_header, cells)).alias("__header"), F.max(is_message).alias("__empty"))
-    known = files.select(source_key, "__empty", "__header", F.size(F.array_compact("__header")).alias("__columns"))
-    rows = lines.where(~is_header & ~is_message).select(source_key, cells.alias("__cells"))
+    places = F.transform(F.array(*map(F.lit, schema.names)), lambda n: F.array_position("__header", n).cast("int") - 1)
+    files = marks.select(
+        source_key, "__empty", F.size(F.array_compact("__header")).alias("__columns"), places.alias("__at"),
+        F.get("__header", width - 1).isNotNull().alias("__wide"))
+    # One row per file, written so that its size is known when it meets the lines: they are shuffled only if it is big.
+    path = scratch_dir(spark)
+    files.write.parquet(path)
+    known = spark.read.schema(files.schema).parquet(path)
+    rows = lines.where(~is_header & ~is_message).withColumn("__payload", F.exists(F.slice(cells, 3, width), F.isnotnull))
     met = spread_left_join(rows, known, source_key, null_safe=False)
-    lost = F.col("__header").isNull() & ~F.coalesce("__empty", F.lit(False)) & F.exists(F.slice("__cells", 3, width), F.isnotnull)
-    wide = F.get("__header", width - 1).isNotNull()
+    lost = F.col("__at").isNull() & ~F.coalesce("__empty", F.lit(False)) & F.col("__payload")
     found = met.where(
         F.when(lost, F.raise_error(F.concat(F.lit("no header in "), source_key)).cast("boolean"))
-        .when(wide, F.raise_error(F.concat(F.lit("too many columns in "), source_key)).cast("boolean"))
+        .when(F.col("__wide"), F.raise_error(F.concat(F.lit("too many columns in "), source_key)).cast("boolean"))
         .otherwise(~F.col("__empty") & (F.col("__columns") > 2))
     )
-    place = lambda name: F.array_position("__header", name).cast("int") - 1
-    return found.select(
-        *[F.get("__cells", place(f.name)).try_cast(f.dataType).alias(f.name) for f in schema], source_key)
+    picked = found.select(cells.alias("__cells"), "__at", source_key)
+    return picked.select(
+        *[F.get("__cells", F.get("__at", i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema)], source_key)
 
 
 def read_occurrences(
