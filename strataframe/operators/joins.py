@@ -70,23 +70,17 @@ def attach_counts(
 
 
 def spread_left_join(
-    left: DataFrame, right: DataFrame, key: str, *, salts: int = 16, null_safe: bool = True,
-    how: str = "left",
+    left: DataFrame, right: DataFrame, key: str, *, null_safe: bool = True, how: str = "left"
 ) -> DataFrame:
     """Left (or left semi, left anti) join of raw rows with a table that may be too big to broadcast.
 
-    Each left row gets one of ``salts`` salts from a hash of its own columns and
-    the right side is repeated per salt, so a hot key runs in up to ``salts`` tasks.
+    The right side is never repeated: a copy per salt would not show in the size that decides on a broadcast, and every
+    task would hold all of them. What is too big to broadcast is shuffled, and adaptive execution splits the left rows
+    of a hot key.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
-    r = right.select(
-        F.col(key).alias("__key"),
-        *[F.col(c) for c in right.columns if c != key],
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__rsalt"),
-    )
+    r = right.withColumnRenamed(key, "__key")
     same = F.col(key).eqNullSafe(F.col("__key")) if null_safe else F.col(key) == F.col("__key")
-    joined = left.withColumn("__salt", salt).join(r, same & (F.col("__salt") == F.col("__rsalt")), how)
-    return joined.drop("__key", "__salt", "__rsalt")
+    return left.join(r, same, how).drop("__key")
 
 
 def expand_levels(df: DataFrame, column: str, levels: Sequence) -> DataFrame:

@@ -37,6 +37,14 @@ def test_spread_join_keeps_every_row(spark):
     assert rows(joins.spread_left_join(left, right, "k"), "id", "k", "g") == want
 
 
+def test_spread_join_does_not_repeat_the_right_side(spark):
+    left = spark.range(100).selectExpr("cast(id % 7 as string) as k", "id")
+    joined = joins.spread_left_join(left, spark.range(7).selectExpr("cast(id as string) as k", "id as g"), "k")
+    # A broadcast of copies takes as many times the memory in every task.
+    assert "Generate" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.where(F.col("g") == F.col("k").cast("long")).count() == 100
+
+
 def test_interval_join_matches_tree(spark):
     df = spark.createDataFrame([(float(x),) for x in (0, 5, 10, 10.5, 20, 30, 39, 40, 41)], "x double")
     got = joins.interval_join(df, "x", FOUR.to_df(spark), "top", "bottom", width=7.0, include_lowest=True)
