@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strataframe.functions.binning import histogram_bin
 from strataframe.operators.quantiles import exact_quantiles
-from strataframe.sources.tables import scratch_dir
+from strataframe.sources.tables import written
 
 GRID = 512
 #: Bandwidths beyond which a cell adds nothing: the kernel there is 3e-18 of its peak, less than a double resolves.
@@ -48,17 +48,15 @@ def kernel_density(
 
     Linear binning on a ``grid``-point axis reaching four bandwidths beyond the
     range, Gaussian smoothing of the binned weights, linear interpolation between
-    axis points. The rows are read three times: twice for the bandwidths, one row per key, which are
-    written, and once to be placed in cells, at most ``grid`` per key, by a partial aggregate. A cell only
-    meets the output points in its ``REACH``. ``lower_bound`` folds the mass below it back. A key
+    axis points. Keys and values are written once and read three times: twice for the bandwidths, one row per key,
+    which are written, too, and once to be placed in cells, at most ``grid`` per key, by a partial aggregate. A cell
+    only meets the output points in its ``REACH``. ``lower_bound`` folds the mass below it back. A key
     with a single value has no curve; values that are null, NaN or infinite are left out.
     """
     points = out_points or grid
     number = F.col(value).cast("double")
-    rows = df.where(F.abs(number) < float("inf")).select(*by, number.alias("__x"))
-    found, path = bandwidths(rows, "__x", by), scratch_dir(df.sparkSession)
-    found.write.parquet(path)
-    bw = df.sparkSession.read.schema(found.schema).parquet(path)
+    rows = written(df.where(F.abs(number) < float("inf")).select(*by, number.alias("__x")))
+    bw = written(bandwidths(rows, "__x", by))
     start = bw.agg(F.min("lo")).scalar() if lower_bound is None else F.lit(float(lower_bound))
     stop = bw.agg(F.max("hi")).scalar()
     keys = [F.col(k).alias(f"__a_{k}") for k in by]

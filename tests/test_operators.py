@@ -243,6 +243,14 @@ def test_density_reads(spark, tmp_path):
     assert sum("bw#" not in line for line in relations) == 1
 
 
+def test_density_works_its_rows_out_once(spark):
+    df = spark.range(4000).selectExpr("id % 3 as k", "sqrt(id) as v")
+    got = density.kernel_density(df, "v", ["k"], out_points=16)
+    # What is left to do reads written rows, not what they are made from.
+    assert "Range (" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 3 * 16
+
+
 def test_density_mass_and_bound(spark):
     df = spark.range(3000).select(F.lit("g").alias("g"), F.abs(F.randn(seed=5)).alias("v"))
     curve = sorted((r.x, r.density) for r in density.kernel_density(df, "v", ["g"], lower_bound=0.0).collect())
