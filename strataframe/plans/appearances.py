@@ -19,20 +19,14 @@ def appearances_from_occurrences(
 ) -> DataFrame:
     """Oldest and youngest interval midpoint per taxon.
 
-    Rows first collapse to distinct (name, early, late) combinations, of which a
-    taxon has few, so neither name cleaning, the lookups nor the semi join see a hot
-    taxon.
+    Rows first collapse to the bounds of each spelling, map-side, so neither name cleaning nor the semi join see
+    a hot taxon.
     A name lacking a bin on any row has no range. ``as_published`` takes the
     first appearance from the late bin and the last one from the early bin.
     """
     spark = occurrences.sparkSession
-    combos = occurrences.groupBy(
-        "accepted_name", "early_interval",
-        F.coalesce("late_interval", "early_interval").alias("late_interval"),
-    ).agg(F.count(F.lit(1)).alias("n"))
-    # The names of the combinations are cleaned through the few distinct spellings; the count keeps the expression above the aggregate.
-    combos = combos.select(F.when(F.col("n") > 0, clean_name(F.col("accepted_name"))).alias("taxon"), "early_interval", "late_interval").distinct()
-    combos = members_only(combos, "taxon", resolved, "taxon_clean")
+    dated = occurrences.select(
+        "accepted_name", "early_interval", F.coalesce("late_interval", "early_interval").alias("late_interval"))
     mids = intervals.dimension(spark, F.col("stg").alias("bin"), "mid", "stg")
     lookup = F.broadcast(keys.join(mids, "bin").select("interval_name", "mid", "stg"))
     for side in ("early", "late"):
@@ -41,15 +35,25 @@ def appearances_from_occurrences(
             F.col("mid").alias(f"{side}_age"),
             F.col("stg").alias(f"{side}_bin"),
         )
-        combos = combos.join(F.broadcast(renamed), f"{side}_interval", "left")
+        dated = dated.join(F.broadcast(renamed), f"{side}_interval", "left")
     first, last = ("late", "early") if as_published else ("early", "late")
+    spans = dated.groupBy("accepted_name").agg(
+        F.count(F.lit(1)).alias("n"),
+        strict_max(F.col(f"{first}_age")).alias("fad_pbdb"),
+        strict_min(F.col(f"{last}_age")).alias("lad_pbdb"),
+        strict_min(F.col(f"{first}_bin")).alias("fad_stg"),
+        strict_max(F.col(f"{last}_bin")).alias("lad_stg"),
+    )
+    # A spelling is cleaned once; the count keeps the expression above the aggregate.
+    named = spans.withColumn("taxon", F.when(F.col("n") > 0, clean_name(F.col("accepted_name"))))
     return (
-        combos.groupBy("taxon")
+        members_only(named, "taxon", resolved, "taxon_clean")
+        .groupBy("taxon")
         .agg(
-            strict_max(F.col(f"{first}_age")).alias("fad_pbdb"),
-            strict_min(F.col(f"{last}_age")).alias("lad_pbdb"),
-            strict_min(F.col(f"{first}_bin")).alias("fad_stg"),
-            strict_max(F.col(f"{last}_bin")).alias("lad_stg"),
+            strict_max(F.col("fad_pbdb")).alias("fad_pbdb"),
+            strict_min(F.col("lad_pbdb")).alias("lad_pbdb"),
+            strict_min(F.col("fad_stg")).alias("fad_stg"),
+            strict_max(F.col("lad_stg")).alias("lad_stg"),
         )
         .dropna(subset=["lad_pbdb", "fad_pbdb"])
     )

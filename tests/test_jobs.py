@@ -130,6 +130,18 @@ def test_appearances(spark):
     assert rows(published, "taxon", "fad_pbdb", "lad_pbdb") == [("A a", 25.0, 15.0)]
 
 
+def test_appearances_collapse_per_spelling(spark):
+    keys = interval_keys(spark, {"I1": 1, "I2": 2, "I3": 3})
+    o = spark.createDataFrame([("A a", "I2", None), ("A ? a", "I1", "I3"), ("B b", "I1", None), ("B ? b", "unknown", "I2")],
+                              "accepted_name string, early_interval string, late_interval string")
+    resolved = spark.createDataFrame([("A a", "A a"), ("B b", "B b")], "taxon string, taxon_clean string")
+    got = app.appearances_from_occurrences(o, resolved, keys, FOUR)
+    assert rows(got, "taxon", "fad_stg", "lad_stg") == [("A a", 1, 3)]
+    # Names are cleaned once a spelling, not once for each of its intervals.
+    groupings = [line.split("]")[0] for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in line]
+    assert groupings and not any("_interval" in g for g in groupings)
+
+
 def test_appearance_counts_drop_unmatched(spark):
     t = trait_table(spark, trait("A a", Early_period="Lower", Late_period="Upper"),
                     trait("B b", Early_period="Lower", Late_period="Lower"), trait("C c", Early_period="Upper", Late_period="Elsewhere"))
