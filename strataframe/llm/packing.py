@@ -31,6 +31,8 @@ FILL = 0.992
 PIECE = 256
 #: Word pieces whose ids a task remembers.
 REMEMBERED = 500_000
+#: Word pieces that are encoded in one text.
+TOGETHER = 256
 
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 
@@ -62,10 +64,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[int, bytes] = {}
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        #: The id that parts pieces encoded in one text, if a line end is one id.
+        self.line = line[0] if len(line) == 1 else None
 
     def _texts(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _pieces(self, words: list[str]) -> list[bytes]:
+        """Ids of word pieces, ``TOGETHER`` of them as the lines of one text: a line end is always a piece of its own.
+
+        Pieces of white space would join the line ends; they are encoded alone, as is a text with other line ends than were put in.
+        """
+        plain = [i for i, w in enumerate(words) if self.line is not None and w.lstrip(" ") and not w.startswith("  ") and w[-1] not in "\t\n\r "]
+        out: list[bytes] = [b""] * len(words)
+        alone = set(range(len(words))).difference(plain)
+        groups = [plain[i:i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        texts = ["\n".join(["", *[words[i] for i in g], ""]) for g in groups]
+        for group, packed in zip(groups, self._texts(texts)):
+            ends = np.flatnonzero(np.frombuffer(packed, np.uint32) == self.line) * 4
+            if len(ends) != len(group) + 1 or ends[0] != 0 or ends[-1] + 4 != len(packed):
+                alone.update(group)
+                continue
+            bounds = ends.tolist()
+            for i, a, b in zip(group, bounds, bounds[1:]):
+                out[i] = packed[a + 4:b]
+        rest = sorted(alone)
+        for i, ids in zip(rest, self._texts([words[i] for i in rest])):
+            out[i] = ids
+        return out
+
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Little-endian 32-bit ids of each row."""
         n = len(offsets) - 1
@@ -98,7 +126,7 @@ class Encoder:
         missing = [i for i in np.flatnonzero(used).tolist() if names[i] not in known]
         if missing:
             words = [data[starts[first[i]]:ends[first[i]]].decode() for i in missing]
-            for i, ids in zip(missing, self._texts(words)):
+            for i, ids in zip(missing, self._pieces(words)):
                 known[names[i]] = ids
         parts = [known.get(k, b"") for k in names]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2

@@ -590,3 +590,18 @@ def test_shingle_sets_short_rows():
     sets = shingle_sets(raw, offsets, 3)
     assert [len(s) for s in sets] == [1, 0, 1, 1, 0, 1]
     assert sets[0] == sets[2] and sets[0] != sets[5]
+
+
+def test_packing_encodes_word_pieces_together():
+    import public_tokenizers
+
+    from strataframe.llm import packing
+
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [f"{lead}{core}{i}" for i in range(700) for lead in ("", " ") for core in ("pal\u00e9o", "!?", "Zx", "\u4e2d")]
+    words += ["\n", "\n\n", " ", "   ", "\t", "\r", "\r\n", "a", " a", "--", " --"]
+    asked = []
+    alone, encode._texts = encode._texts, lambda texts: asked.extend(texts) or alone(texts)
+    assert encode._pieces(words) == alone(words)
+    assert len(asked) < len(words) / 50
+    assert encode._pieces([]) == []
