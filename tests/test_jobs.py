@@ -182,6 +182,17 @@ def test_spatial(spark):
     assert rows(reports.spatial_by_era(o, t)) == [(1.0, 2.0, "Paleozoic", "Birds")]
 
 
+def test_spatial_density_does_not_repeat_the_groups(spark):
+    t = spark.createDataFrame([("species", "Birds", "Aa"), ("genus", "Fishes", "Aa")], "taxonomic_rank string, group string, genus string")
+    o = spark.range(40).selectExpr("if(id % 4 = 0, 'Zz', 'Aa') as genus", "300D as max_ma", "260D as min_ma", "1D as lng", "cast(id as double) as lat")
+    located = reports.spatial_by_era(o, t)
+    # Copies of the groups, one per salt, would be broadcast to every task.
+    assert "Generate" not in located._jdf.queryExecution().optimizedPlan().toString()
+    assert located.count() == 2 * 30
+    got = reports.coordinate_density(located, "lat", grid=64, out_points=8).collect()
+    assert [r.era for r in got] == ["Paleozoic"] * 8 and max(r.x for r in got) == 39.0
+
+
 def test_landing_directory(spark, tmp_path):
     columns = OCCURRENCES.names
     def line(**kw):
