@@ -67,14 +67,18 @@ def read_by_header(
     with over ``spare_columns`` more columns than declared.
     """
     width = len(schema) + spare_columns + 1
-    reader = spark.read.schema(", ".join(f"_c{i} string" for i in range(width))).option("sep", sep).option("nullValue", "")
-    if not quoting:
-        reader = reader.option("quote", "")
-    lines = reader.csv(paths if isinstance(paths, str) else list(paths)).select("*", F.col("_metadata.file_path").alias(source_key))
+    paths = paths if isinstance(paths, str) else list(paths)
+    options = {"sep": sep, "nullValue": ""} | ({} if quoting else {"quote": ""})
+    parts = ", ".join(f"_c{i} string" for i in range(width))
+    file = F.col("_metadata.file_path").alias(source_key)
+    first = F.col("_c0")
+    is_header = F.coalesce(first.isin(schema.names), F.lit(False))
+    is_message = F.coalesce(first == message, F.lit(False))
     cells = F.array(*[F.col(f"_c{i}") for i in range(width)])
-    is_header = F.coalesce(F.col("_c0").isin(schema.names), F.lit(False))
-    is_message = F.coalesce(F.col("_c0") == message, F.lit(False))
-    marks = lines.where(is_header | is_message).groupBy(source_key).agg(
+    # Only lines that begin like a header or the message are parted into cells; a quoted first cell may hide either.
+    begins = reduce(lambda a, b: a | b, [F.startswith("value", F.lit(n)) for n in (*schema.names, message, *['"'] * quoting)])
+    likely = spark.read.text(paths).where(begins).select(F.from_csv("value", parts, options).alias("__line"), file).select("__line.*", source_key)
+    marks = likely.where(is_header | is_message).groupBy(source_key).agg(
         F.max(F.when(is_header, cells)).alias("__header"), F.max(is_message).alias("__empty"))
     places = F.transform(F.array(*map(F.lit, schema.names)), lambda n: F.array_position("__header", n).cast("int") - 1)
     files = marks.select(
@@ -84,7 +88,11 @@ def read_by_header(
     path = scratch_dir(spark)
     files.write.parquet(path)
     known = spark.read.schema(files.schema).parquet(path)
-    rows = lines.where(~is_header & ~is_message).withColumn("__payload", F.exists(F.slice(cells, 3, width), F.isnotnull))
+    # One declared column is not read: where all are read, each row of another length counts as malformed, which is slow.
+    lines = spark.read.schema(f"{parts}, _c{width} string").options(**options).csv(paths).select(*[f"_c{i}" for i in range(width)], file)
+    # A plain coalesce: a function over the array would be interpreted for every row.
+    payload = F.coalesce(*[F.col(f"_c{i}") for i in range(2, width)]).isNotNull()
+    rows = lines.where(~is_header & ~is_message).withColumn("__payload", payload)
     met = spread_left_join(rows, known, source_key, null_safe=False)
     lost = F.col("__at").isNull() & ~F.coalesce("__empty", F.lit(False)) & F.col("__payload")
     found = met.where(

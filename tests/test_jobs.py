@@ -223,6 +223,24 @@ def test_responses_by_header(spark, tmp_path):
         landing.read_by_header(spark, str(tmp_path), got.drop("source_key").schema, quoting=False).collect()
 
 
+@pytest.mark.parametrize("quoting", [True, False])
+def test_headers_in_odd_places(spark, tmp_path, quoting):
+    schema = spark.createDataFrame([], "id string, name string, age double").schema
+    mark = '"' if quoting else ""
+    put = lambda name, *lines: (tmp_path / name).write_text("".join(line + "\n" for line in lines))
+    put("a.tsv", "0\tbefore the header\t1", f"{mark}name{mark}\tage\tid", "identity\t2\t7", "", "x\t\t8\tmore\tcells" + "\tz" * 20)
+    put("b.tsv", "id\tname\tage", "1\tgone\t1", f"{mark}{landing.NO_RECORDS}{mark}")
+    put("c.tsv", "id\tname\tage", f"{landing.NO_RECORDS} of this kind\tstays")
+    got = landing.read_by_header(spark, str(tmp_path), schema, quoting=quoting)
+    assert rows(got, "id", "name", "age") == [
+        ("1", "0", None), ("7", "identity", 2.0), ("8", "x", None), (f"{landing.NO_RECORDS} of this kind", "stays", None)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # Nothing is interpreted row by row, and one declared column is not read: a row of another length is no malformed one.
+    assert "exists(" not in plan
+    relation = next(line for line in plan.splitlines() if "Relation [" in line and "csv" in line)
+    assert "_c12#" in relation and plan.count("_c12#") == 1
+
+
 def test_trait_lists(spark, tmp_path):
     schema = T.StructType([T.StructField("Taxa", T.StringType()), T.StructField("Sizes", T.ArrayType(T.StringType()))])
     (tmp_path / "one.csv").write_text("Taxa,Sizes\nA,2;unknown;3.5\nB,\nC,7\n")
