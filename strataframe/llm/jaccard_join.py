@@ -6,7 +6,11 @@ A document with fewer rare shingles extends its prefix over all its frequent one
 dealt into classes by hash, and the combination of all frequent shingles of one class is one
 key. Two sets that reach the threshold share a rare shingle of their prefixes or, by the
 pigeonhole principle, all shingles of one class, since there are more classes than shingles
-that may differ. Keys only propose clusters; every link is verified on whole shingle sets.
+that may differ. There are more classes than needed, and the most common ones are no keys.
+
+Keys only propose pairs. A pair whose parity bitmaps differ in more bits than shingles may
+differ goes; what is left is joined to clusters, and every link is verified on whole shingle
+sets. Pairs without a link do not join clusters, so these do not grow with the table.
 
 Defined results: a null, empty or blank text has ``n_shingles`` 0 and is linked with nothing;
 equal sets are one class; rows that repeat a ``doc_id`` are one document; a null ``doc_id`` takes part, and a
@@ -28,17 +32,24 @@ from strataframe.llm.components import components
 from strataframe.llm.hashing import U, mix, shingle_sets
 from strataframe.llm.shared import Scratch, column, flat_bytes, gathered, released, row_chunks
 
-#: Slots of the shingle count, whatever the input (4 MB, its rare bits 512 kB), sent in parts.
+#: Slots of the shingle count, whatever the input (8 MB), sent in parts; a slot counts no further than this.
 SLOT_BITS = 22
 SKETCH_PARTS = 16
+MOST_COUNT = (1 << 16) - 1
 #: A shingle is rare when its slot counts no more than this.
 RARE_COUNT = 2
-#: Sizes of one level differ by this factor at most.
-LEVEL_RATIO = 1.3
-#: Index rows a task gathers before it combines equal keys.
-COMBINE_ROWS = 1 << 20
-#: Documents of a cluster that meet in one task.
+#: Sizes of one level differ by this factor at most; the fewer levels, the fewer sets have keys of two.
+LEVEL_RATIO = 2
+#: Classes of a level for each that its largest sets have a key of.
+SPARE_RATIO = 1.5
+#: Index rows a task gathers before it hands them on.
+INDEX_ROWS = 1 << 20
+#: Sets of a key that meet pair by pair; more are a crowd, which meets in blocks.
+PAIRED = 16
+#: Documents of a cluster or crowd that meet in one task.
 BLOCK = 1024
+#: Bits of a parity bitmap, as powers of two.
+MAP_BITS = 9, 14
 
 
 class Levels:
@@ -70,24 +81,32 @@ class Levels:
         return [level, level + 1] if self.percent * hi <= 100 * n else [level]
 
     def classes(self, level: int) -> tuple[int, int]:
-        """Number of classes, and how many of them may be empty before empty ones must be keys."""
-        lo, hi = self.bounds(level)
-        most = self.differing(2 * (hi - 1)) + 1
-        spare = math.ceil(3 * most * math.exp(-lo * self.percent / 100 / most))
+        """Number of classes, and how many of them even the largest sets leave out: empty and common ones."""
+        most = self.differing(2 * (self.bounds(level)[1] - 1)) + 1
+        spare = math.ceil((SPARE_RATIO - 1) * most)
         return most + spare, spare
 
+    def reach(self, n: int, level: int) -> int:
+        """Most shingles in which a set of ``n`` differs from a set that it is linked with and meets at ``level``."""
+        return self.differing(n + min(self.bounds(level)[1] - 1, 100 * n // self.percent))
+
     def prefix(self, n: int) -> int:
         return n - -(-self.percent * n // 100) + 1
 
 
-def _set_keys(tokens: np.ndarray, rare: np.ndarray, levels: Levels, plans: dict) -> list[tuple[int, np.ndarray]]:
-    """Index keys of one shingle set (sorted hashes) by size level; ``rare`` marks its rare shingles."""
+def _set_keys(tokens: np.ndarray, counts: np.ndarray, levels: Levels, plans: dict) -> list[tuple[int, np.ndarray]]:
+    """Index keys of one shingle set (sorted hashes) by size level; ``counts`` has the slot count of each shingle.
+
+    A linked set shares a rare shingle, or differs in all rare ones of either: then ``len(few)`` fewer of the classes may
+    differ. With all classes in one order, each set may leave out the most common as far as the others must hold a shared one.
+    """
     n = len(tokens)
+    rare = counts <= RARE_COUNT
     few, prefix = tokens[rare], levels.prefix(n)
     if n not in plans:
-        plans[n] = [(level, *levels.classes(level)) for level in levels.of(n)]
+        plans[n] = [(level, levels.classes(level)[0], levels.reach(n, level)) for level in levels.of(n)]
     out = []
-    for level, count, spare in plans[n]:
+    for level, count, reach in plans[n]:
         keys = [mix(few[:prefix] ^ U(0x5851F42D4C957F2D + level))]
         if len(few) < prefix:
             many = tokens[~rare]
@@ -98,23 +117,46 @@ def _set_keys(tokens: np.ndarray, rare: np.ndarray, levels: Levels, plans: dict)
             size = np.bincount(of, minlength=count)
             key = mix(mix(low.astype(U) * U(0x2545F4914F6CDD1D) + high.astype(U)) + size.astype(U) * U(0x9E3779B97F4A7C15)
                       + np.arange(count, dtype=U) * U(0xA0761D6478BD642F) + U(level))
-            keys.append(key[size > 0] if int((size == 0).sum()) <= spare else key)
+            # A combination is as common as its rarest shingle at most; empty classes are the most common.
+            common = np.full(count, MOST_COUNT + 1, U)
+            np.minimum.at(common, of, counts[~rare].astype(U))
+            order = common << U(40) | key >> U(24)
+            keep = reach - len(few) + 1
+            keys.append(key[order <= np.partition(order, keep - 1)[keep - 1]] if keep < count else key)
         out.append((level, np.concatenate(keys).view(np.int64)))
     return out
 
 
-def _node(name: bytes, level: int) -> int:
-    """A set at a size level: clusters never mix levels, so their sizes stay within one ratio."""
-    return int.from_bytes(hashlib.blake2b(name + level.to_bytes(2, "big"), digest_size=8).digest(), "big", signed=True)
+def _node(name: bytes) -> int:
+    """A set in the index; equal numbers of other sets only propose more."""
+    return int.from_bytes(name[:8], "big", signed=True)
+
+
+def parity(tokens: np.ndarray) -> bytes:
+    """For each slot whether it holds an odd number of shingles: two sets differ in as many shingles as bits, at least."""
+    bits = 1 << max(MAP_BITS[0], min(MAP_BITS[1], (2 * len(tokens)).bit_length()))
+    return np.packbits((np.bincount((tokens & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(maps: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (a row each) as sets of fewer slots have them, ``size`` bytes long."""
+    while maps.shape[1] > size:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a.view(U) ^ b.view(U)).sum(1, dtype=np.int64)
 
 
 def _scan(width: int, levels: Levels):
-    """Per document its set's size and fingerprint; per task the counts of its shingles by slot."""
+    """Per document its set's size, fingerprint and bitmap; per task the counts of its shingles by slot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLOT_BITS, np.uint32)
         for batch in batches:
             raw, offsets = flat_bytes(batch.column("text"))
-            sizes, prints = [], []
+            sizes, prints, maps = [], [], []
             for lo, hi in row_chunks(offsets):
                 part = slice(offsets[lo], offsets[hi])
                 sets = shingle_sets(raw[part], offsets[lo:hi + 1] - offsets[lo], width)
@@ -125,21 +167,22 @@ def _scan(width: int, levels: Levels):
                     np.add.at(counts, slots, np.uint32(1))
                 sizes += [len(s) for s in sets]
                 prints += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                maps += [parity(s) if len(s) >= levels.first else None for s in sets]
             n = len(sizes)
             if n:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()),
-                     pa.array([[_node(p, level) for level in levels.of(k)] if k >= levels.first else [] for k, p in zip(sizes, prints)],
-                              pa.list_(pa.int64())),
+                     pa.array([_node(p) for p in prints], pa.int64()), pa.array(maps, pa.binary()),
                      pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                    names=["doc_id", "n_shingles", "print", "nodes", "part", "counts"])
-        parts = np.minimum(counts, RARE_COUNT + 1).astype(np.uint8).reshape(SKETCH_PARTS, -1)
+                    names=["doc_id", "n_shingles", "print", "node", "map", "part", "counts"])
+        # Low bytes, then high bytes, which are nearly all zero.
+        parts = np.minimum(counts, MOST_COUNT).astype("<u2").view(np.uint8).reshape(SKETCH_PARTS, -1, 2).transpose(0, 2, 1)
         if counts.any():
             k = SKETCH_PARTS
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())),
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()),
                  pa.array(range(k), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
-                names=["doc_id", "n_shingles", "print", "nodes", "part", "counts"])
+                names=["doc_id", "n_shingles", "print", "node", "map", "part", "counts"])
     return run
 
 
@@ -147,17 +190,17 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, payload in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
-            counts = np.frombuffer(zlib.decompress(payload), np.uint8)
-            total[part] = np.minimum(total[part] + counts, RARE_COUNT + 1) if part in total else counts
+            counts = np.frombuffer(zlib.decompress(payload), np.uint8).reshape(2, -1).T.copy().view("<u2")[:, 0].astype(np.uint32)
+            total[part] = np.minimum(total[part] + counts, MOST_COUNT) if part in total else counts
     if total:
-        rare = [np.packbits(c <= RARE_COUNT).tobytes() for c in total.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(rare, pa.binary())], names=["part", "rare"])
+        sums = [c.astype("<u2").tobytes() for c in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(sums, pa.binary())], names=["part", "counts"])
 
 
-def _index(width: int, levels: Levels, rare_bits):
-    """Index rows (key, node, node) of every distinct set; links (any, node, other node) of sets that meet in the task."""
+def _index(width: int, levels: Levels, slot_counts):
+    """Index rows (key, node) of every distinct set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = np.unpackbits(np.frombuffer(rare_bits.value, np.uint8)).astype(bool)
+        counts = np.frombuffer(slot_counts.value, "<u2")
         keys: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
         seen: set[bytes] = set()
@@ -173,45 +216,120 @@ def _index(width: int, levels: Levels, rare_bits):
                     if name in seen:
                         continue
                     seen.add(name)
-                    for level, found in _set_keys(s, rare[(s >> U(64 - SLOT_BITS)).astype(np.int64)], levels, plans):
+                    for _, found in _set_keys(s, counts[(s >> U(64 - SLOT_BITS)).astype(np.int64)], levels, plans):
                         keys.append(found)
-                        nodes.append(np.full(len(found), _node(name, level)))
+                        nodes.append(np.full(len(found), _node(name)))
                         held += len(found)
-                if held > COMBINE_ROWS:
-                    yield _met(np.concatenate(keys), np.concatenate(nodes))
+                if held > INDEX_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
                     keys, nodes, held = [], [], 0
         if held:
-            yield _met(np.concatenate(keys), np.concatenate(nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
     return run
 
 
-def _met(keys: np.ndarray, nodes: np.ndarray, keep: bool = True) -> pa.RecordBatch:
-    """Of rows with one key the first stays an index row; each other is linked with it."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    lead = nodes[new][np.cumsum(new) - 1]
-    links = np.flatnonzero(~new & (lead != nodes))
-    if len(links):
-        pair = np.lexsort((nodes[links], lead[links]))
-        links = links[pair]
-        a, b = lead[links], nodes[links]
-        links = links[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]]
-    rows = np.r_[np.flatnonzero(new), links] if keep else links
-    return pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array(lead[rows]), pa.array(nodes[rows])], names=["key", "a", "b"])
-
-
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the sets of each key; of a crowd its first set with each other, marked as ``crowd``."""
     rows = gathered(batches)
     if rows is None:
         return
-    key, a, b = (column(rows, c) for c in ("key", "a", "b"))
-    link = a != b
-    met = _met(key[~link], a[~link], keep=False)
-    a = np.r_[a[link], met.column("a").to_numpy()]
-    b = np.r_[b[link], met.column("b").to_numpy()]
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    key, node = column(rows, "key"), column(rows, "node")
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+    key, node = key[new], node[new]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, len(key)])
+    end, size, lead = np.repeat(first + size, size), np.repeat(size, size), np.repeat(first, size)
+    at = np.flatnonzero((size > 1) & (size <= PAIRED))
+    lo, hi = [], []
+    for step in range(1, PAIRED):
+        at = at[at + step < end[at]]
+        lo.append(at)
+        hi.append(at + step)
+    at = np.flatnonzero((size > PAIRED) & (lead < np.arange(len(key))))
+    for lo, hi, crowd in ((np.concatenate(lo), np.concatenate(hi), False), (lead[at], at, True)):
+        a, b = node[lo], node[hi]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(np.full(int(new.sum()), crowd))], names=["a", "b", "crowd"])
+
+
+def _stacked(maps: pa.Array) -> np.ndarray:
+    raw, offsets = flat_bytes(maps)
+    return raw.reshape(len(maps), -1) if len(maps) else np.zeros((0, 8), np.uint8)
+
+
+def _sift(percent: int):
+    """Of pairs of sets those whose bitmaps allow a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.diff(flat_bytes(batch.column(c))[1]) for c in ("x_map", "y_map"))
+            both = column(batch, "x_size") + column(batch, "y_size")
+            fits = np.zeros(len(both), bool)
+            for u, v in np.unique(np.stack([x, y], 1), axis=0).tolist():
+                at = np.flatnonzero((x == u) & (y == v))
+                one, other = (folded(_stacked(batch.column(c).take(pa.array(at))), min(u, v)) for c in ("x_map", "y_map"))
+                fits[at] = _apart(np.ascontiguousarray(one), np.ascontiguousarray(other)) * (100 + percent) <= (100 - percent) * both[at]
+            less, more = np.minimum(column(batch, "x_size"), column(batch, "y_size")), np.maximum(column(batch, "x_size"), column(batch, "y_size"))
+            fits &= 100 * less >= percent * more
+            if fits.any():
+                kept = pa.array(fits)
+                yield pa.RecordBatch.from_arrays([batch.column("x").filter(kept), batch.column("y").filter(kept)], names=["a", "b"])
+    return run
+
+
+def allowed_pairs(sizes: np.ndarray, maps: list[bytes], blocks: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs that join all sets of one or two blocks whose bitmaps allow a link; pairs already joined are not looked at again."""
+    order = np.argsort(sizes, kind="stable")
+    sizes, blocks, length = sizes[order], blocks[order], np.array([len(maps[i]) for i in order])
+    two = len(np.unique(blocks)) > 1
+    labels = np.arange(len(sizes))
+    out = []
+    for own in np.unique(length).tolist():
+        # Linked sets are at most twice as large, so their bitmaps have this length or twice it.
+        first, stop, last = np.searchsorted(length, own), np.searchsorted(length, own, "right"), np.searchsorted(length, 2 * own, "right")
+        rows = [np.frombuffer(b"".join(maps[i] for i in order[lo:hi]), np.uint8).reshape(hi - lo, -1) for lo, hi in ((first, stop), (stop, last)) if hi > lo]
+        near = np.ascontiguousarray(np.concatenate([folded(r, own) for r in rows])).view(U)
+        for i in range(first, stop):
+            others = np.arange(i + 1, int(np.searchsorted(sizes, 100 * sizes[i] // percent, "right")))
+            others = others[labels[others] != labels[i]]
+            if two:
+                others = others[blocks[others] != blocks[i]]
+            apart = np.bitwise_count(near[others - first] ^ near[i - first]).sum(1, dtype=np.int64)
+            others = others[apart * (100 + percent) <= (100 - percent) * (sizes[others] + sizes[i])]
+            while len(others):
+                out.append((int(order[i]), int(order[others[0]])))
+                labels[labels == labels[others[0]]] = labels[i]
+                others = others[labels[others] != labels[i]]
+    return out
+
+
+def _sift_crowd(percent: int):
+    """Pairs of sets that join what the bitmaps allow in a block or two of a crowd."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, prints, sizes, maps, blocks = None, [], [], [], []
+
+        def done() -> pa.RecordBatch | None:
+            pairs = allowed_pairs(np.array(sizes, np.int64), maps, np.array(blocks), percent) if len(prints) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([prints[i[k]] for i in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"]) if pairs else None
+
+        for batch in batches:
+            for root, i, j, block, name, n, bits in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "block", "print", "n_shingles", "map"))):
+                if (root, i, j) != current:
+                    if (found := done()) is not None:
+                        yield found
+                    current, prints, sizes, maps, blocks = (root, i, j), [], [], [], []
+                prints.append(name)
+                sizes.append(n)
+                maps.append(bits)
+                blocks.append(block)
+        if (found := done()) is not None:
+            yield found
+    return run
 
 
 def linked_pairs(sets: list[np.ndarray], blocks: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -286,6 +404,19 @@ def _verify(width: int, percent: int):
     return run
 
 
+def _placed(members: DataFrame) -> DataFrame:
+    """``members`` of roots with the number of blocks of the root and their own block."""
+    blocks = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return members.join(blocks, "root").withColumn("block", F.pmod(F.hash("print"), F.col("blocks")))
+
+
+def _met_blocks(placed: DataFrame, *columns: str) -> DataFrame:
+    """Rows once for each block that theirs meets, the rows of two blocks (``i``, ``j``) in one task."""
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "print", *columns)
+    return met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+
 def jaccard_classes(docs: DataFrame, scratch: Scratch, *, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` of every row of ``docs`` (doc_id, text).
 
@@ -296,28 +427,32 @@ def jaccard_classes(docs: DataFrame, scratch: Scratch, *, width: int = 5, percen
     texts = docs.select("doc_id", "text")
     context = texts.sparkSession.sparkContext
     scanned = scratch.write(
-        texts.mapInArrow(released(_scan(width, levels)), "doc_id long, n_shingles long, print binary, nodes array<long>, part int, counts binary"), "sets")
-    sets = scanned.where("part is null").select("doc_id", "n_shingles", "print", "nodes")
+        texts.mapInArrow(released(_scan(width, levels)),
+                         "doc_id long, n_shingles long, print binary, node long, map binary, part int, counts binary"), "sets")
+    sets = scanned.where("part is null").select("doc_id", "n_shingles", "print", "node", "map")
     counts = scanned.where("part is not null").select("part", "counts").repartition(SKETCH_PARTS, "part")
-    rare = {r.part: bytes(r.rare) for r in counts.mapInArrow(released(_add_counts), "part int, rare binary").collect()}
-    blank = np.packbits(np.ones((1 << SLOT_BITS) // SKETCH_PARTS, bool)).tobytes()
-    rare_bits = context.broadcast(b"".join(rare.get(k, blank) for k in range(SKETCH_PARTS)))
-
-    keys = texts.select("text").mapInArrow(released(_index(width, levels, rare_bits)), "key long, a long, b long")
-    proposed = keys.repartition("key").mapInArrow(released(_meet), "a long, b long")
-    clusters = components(scratch.write(proposed, "proposed"), scratch)
-
-    one = sets.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes"))
-    members = scratch.write(
-        one.select("print", "rep", F.explode("nodes").alias("node")).join(clusters, "node").select("print", "rep", "root"), "members")
-    blocks = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(blocks, "root").withColumn("block", F.pmod(F.hash("print"), F.col("blocks")))
-    met = (
-        texts.join(placed, F.col("doc_id").eqNullSafe(F.col("rep")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "print", "text")
-        .repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    )
+    sums = {r.part: bytes(r.counts) for r in counts.mapInArrow(released(_add_counts), "part int, counts binary").collect()}
+    blank = bytes(2 * (1 << SLOT_BITS) // SKETCH_PARTS)
+    slot_counts = context.broadcast(b"".join(sums.get(k, blank) for k in range(SKETCH_PARTS)))
+
+    keys = texts.select("text").mapInArrow(released(_index(width, levels, slot_counts)), "key long, node long")
+    proposed = scratch.write(keys.repartition("key").mapInArrow(released(_meet), "a long, b long, crowd boolean"), "proposed")
+
+    one = sets.where("n_shingles > 0").groupBy("print").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("node").alias("node"), F.first("map").alias("map"))
+    one = scratch.write(one, "distinct")
+    ends = one.where("map is not null")
+    x, y = (ends.select(F.col("node").alias(n), F.col("print").alias(p), F.col("n_shingles").alias(f"{p}_size"), F.col("map").alias(f"{p}_map"))
+            for n, p in (("a", "x"), ("b", "y")))
+    pairs = proposed.where("not crowd").select("a", "b").distinct().join(x, "a").join(y, "b").drop("a", "b")
+    allowed = scratch.write(pairs.mapInArrow(released(_sift(percent)), "a binary, b binary"), "pairs")
+    crowds = components(proposed.where("crowd").select("a", "b"), scratch)
+    met = _met_blocks(_placed(ends.join(crowds, "node")), "n_shingles", "map")
+    crowded = scratch.write(met.mapInArrow(released(_sift_crowd(percent)), "a binary, b binary"), "crowds")
+
+    clusters = components(allowed.unionByName(crowded), scratch)
+    members = scratch.write(one.join(clusters, one["print"] == clusters["node"]).select("print", "rep", "root"), "members")
+    met = _met_blocks(texts.join(_placed(members), F.col("doc_id").eqNullSafe(F.col("rep"))), "text")
     links = scratch.write(met.mapInArrow(released(_verify(width, percent)), "a binary, b binary"), "links")
     joined = components(links, scratch)
 

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 from math import comb
+from pathlib import Path
 from types import SimpleNamespace
 
 import duckdb
@@ -18,7 +19,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strataframe.llm import role_repair, special, suffix_dedup
+from strataframe.llm import jaccard_join, role_repair, special, suffix_dedup
 from strataframe.llm.hashing import shingle_sets
 from strataframe.llm.jaccard_join import Levels, jaccard_classes
 from strataframe.llm.mixing import Mix
@@ -89,6 +90,67 @@ def test_levels_share_a_key_level():
                 assert all(levels.differing(x + y) < levels.classes(k)[0] for k in common)
 
 
+def test_linked_sets_share_a_key():
+    rng = np.random.default_rng(5)
+    slots = rng.choice(np.array([1, 3, 40, 5000, 65535], "<u2"), 1 << 12)
+    for percent in (60, 80, 90):
+        levels, plans = Levels(percent), {}
+        for _ in range(200):
+            x = rng.integers(1 << 63, size=int(rng.integers(levels.first, 300)), dtype=np.uint64)
+            y = np.r_[x[int(rng.integers(0, max(1, len(x) // 5))):], rng.integers(1 << 63, size=int(rng.integers(0, 30)), dtype=np.uint64)]
+            both = len(np.intersect1d(x, y))
+            if len(y) < levels.first or 100 * both < percent * (len(x) + len(y) - both):
+                continue
+            keys = [{(level, k) for level, found in jaccard_join._set_keys(np.sort(s), slots[(np.sort(s) >> np.uint64(50)).astype(int) % len(slots)], levels, plans)
+                     for k in found.tolist()} for s in (x, y)]
+            assert keys[0] & keys[1]
+
+
+def test_bitmaps_allow_every_link():
+    rng = np.random.default_rng(3)
+    for percent in (60, 80):
+        sets = []
+        for n in (4, 40, 250, 260, 520, 9000):
+            base = rng.integers(1 << 63, size=n, dtype=np.uint64)
+            sets += [np.sort(np.r_[base[k * n // 40:], rng.integers(1 << 63, size=k * n // 60, dtype=np.uint64)]) for k in range(8)]
+        sizes, maps = np.array([len(s) for s in sets]), [jaccard_join.parity(s) for s in sets]
+        for blocks in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+            group = list(range(len(sets)))
+            for i, j in jaccard_join.allowed_pairs(sizes, maps, blocks, percent):
+                assert not blocks.any() or blocks[i] != blocks[j]
+                group = [group[i] if g == group[j] else g for g in group]
+            for i, j in itertools.combinations(range(len(sets)), 2):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if (not blocks.any() or blocks[i] != blocks[j]) and 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                    assert group[i] == group[j]
+            assert len(set(group)) >= 6
+
+
+def test_jaccard_crowds_meet_in_blocks(spark, scratch, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PAIRED", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(8)
+    line = " ".join(f"c{k}" for k in range(9))
+    rows = [(i, " ".join([line, *(f"w{rng.randrange(12)}" for _ in range(3))])) for i in range(60)]
+    rows += [(60 + i, " ".join(f"v{k}" if k != i else "other" for k in range(80))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter(tuple(r) for r in jaccard_classes(df, scratch, width=5, percent=80).collect())
+    assert got == classes(rows, 5, 80)
+    assert spark.read.parquet(*map(str, Path(scratch.folder).glob("*-proposed"))).where("crowd").count()
+
+
+def test_common_lines_do_not_join_documents(spark, scratch):
+    """Texts of unlinked documents are not sent to each other, however many lines are common."""
+    rng = random.Random(1)
+    lines = [" ".join(f"l{i}x{k}" for k in range(40)) for i in range(300)]
+    rows = [(i, "\n".join(rng.sample(lines, 4))) for i in range(600)]
+    rows += [(1000 + i, text + " end") for i, text in rows[:7]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(tuple(r)[::2] for r in jaccard_classes(df, scratch, width=5, percent=80).collect())
+    assert got == Counter((i, i - 1000 if i >= 1000 else i) for i, _ in rows)
+    assert spark.read.parquet(*map(str, Path(scratch.folder).glob("*-members"))).count() <= 3 * 14
+
+
 # Suffix dedup
 
 def repeats(rows, length):
