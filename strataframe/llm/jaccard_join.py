@@ -48,6 +48,8 @@ INDEX_ROWS = 1 << 20
 PAIRED = 16
 #: Documents of a cluster or crowd that meet in one task.
 BLOCK = 1024
+#: Slots of the marks of wanted documents (2 MB), as a power of two.
+WANTED_BITS = 24
 #: Bits of a parity bitmap, as powers of two.
 MAP_BITS = 9, 14
 
@@ -417,6 +419,27 @@ def _met_blocks(placed: DataFrame, *columns: str) -> DataFrame:
     return met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
 
 
+def _wanted(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """``texts`` without nearly all that are no ``rep`` of ``members``, so that the join does not shuffle every text."""
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - WANTED_BITS)
+    at = slot("rep") + 1
+    marked = members.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    bits = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
+    for r in marked.collect():
+        part = np.frombuffer(bytes(r.bits), np.uint8)
+        bits[(r.bucket - 1) * len(part):r.bucket * len(part)] = part
+    marks = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(marks.value, np.uint8)
+        for batch in batches:
+            slots = column(batch, "slot")
+            kept = batch.filter(pa.array((held[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)))
+            if kept.num_rows:
+                yield kept.select(["doc_id", "text"])
+    return texts.withColumn("slot", slot("doc_id")).mapInArrow(released(run), texts.schema)
+
+
 def jaccard_classes(docs: DataFrame, scratch: Scratch, *, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` of every row of ``docs`` (doc_id, text).
 
@@ -452,7 +475,7 @@ def jaccard_classes(docs: DataFrame, scratch: Scratch, *, width: int = 5, percen
 
     clusters = components(allowed.unionByName(crowded), scratch)
     members = scratch.write(one.join(clusters, one["print"] == clusters["node"]).select("print", "rep", "root"), "members")
-    met = _met_blocks(texts.join(_placed(members), F.col("doc_id").eqNullSafe(F.col("rep"))), "text")
+    met = _met_blocks(_wanted(texts, members).join(_placed(members), F.col("doc_id").eqNullSafe(F.col("rep"))), "text")
     links = scratch.write(met.mapInArrow(released(_verify(width, percent)), "a binary, b binary"), "links")
     joined = components(links, scratch)
 

@@ -151,6 +151,15 @@ def test_common_lines_do_not_join_documents(spark, scratch):
     assert spark.read.parquet(*map(str, Path(scratch.folder).glob("*-members"))).count() <= 3 * 14
 
 
+def test_wanted_texts_are_all_kept(spark):
+    texts = spark.range(5000).selectExpr("if(id = 7, null, id * id - 900) doc_id", "cast(id as string) text").repartition(3)
+    members = texts.where("doc_id % 50 = 0 or doc_id is null").select(F.col("doc_id").alias("rep"))
+    kept = jaccard_join._wanted(texts, members)
+    assert kept.join(members, F.col("doc_id").eqNullSafe(F.col("rep"))).count() == members.count() and kept.where("doc_id is null").count() == 1
+    assert kept.count() <= members.count() + 20 and kept.columns == ["doc_id", "text"]
+    assert jaccard_join._wanted(texts, members.limit(0)).count() == 0
+
+
 # Suffix dedup
 
 def repeats(rows, length):
